@@ -5,6 +5,12 @@ key, and carried as a ``bigint`` column.  ``with_ord`` never funnels the data
 through one task: it range-partitions by the key, numbers rows inside each
 partition, and adds per-partition offsets from a table with one row per
 partition (its size is bounded by the partition count, so it is broadcast).
+
+The range-partitioned rows are checkpointed (reliable checkpoint in the
+session's shared ``spark.checkpoint.dir``) before they are counted: range
+bounds come from a sample whose result depends on row order inside upstream
+shuffle output, so counting and numbering must read one materialised
+partitioning, not two recomputations of it.
 """
 
 from __future__ import annotations
@@ -12,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 _LOCAL_BITS = 33   # monotonically_increasing_id(): partition id << 33 | row index
 
 
@@ -20,8 +28,9 @@ def with_ord(df: DataFrame, order_by, ord_col: str = "ord",
     """Add a dense 0-based position in ``order_by`` order (keys must be unique)."""
     cols = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
+    ranged = (ranged.withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     per_part = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
