@@ -44,14 +44,25 @@ def let(value, fn) -> Column:
 def first_tag_or_null(col, tag) -> Column:
     """Content of the first ``<tag>…</tag>`` block, untouched; null if absent.
 
-    ``tag`` may be a string or a Column (per-row tag names such as
-    ``sample_3``).  The text is referenced once, so nesting stays linear."""
+    Same result as ``re.search(r"<tag>(.*?)</tag>", text, re.DOTALL)``: the
+    match starts at the first opening tag and ends at the first closing tag
+    after it (if no closing tag follows the first opening tag, none follows a
+    later one).  So two ``locate`` (indexOf) calls replace the regex engine.
+    ``tag`` may be a string or a Column (per-row names such as ``sample_3``).
+    Pass a column (not a large expression) as ``col``: it is referenced
+    several times."""
+    s = _c(col)
     if isinstance(tag, str):
-        t = re.escape(tag)
-        pat = F.lit(f"(?s)<{t}>(.*?)</{t}>")
+        open_, close = F.lit(f"<{tag}>"), F.lit(f"</{tag}>")
+        width = F.lit(len(tag) + 2)
     else:
-        pat = F.concat(F.lit("(?s)<"), tag, F.lit(">(.*?)</"), tag, F.lit(">"))
-    return F.get(F.regexp_extract_all(_c(col), pat, 1), 0)
+        open_ = F.concat(F.lit("<"), tag, F.lit(">"))
+        close = F.concat(F.lit("</"), tag, F.lit(">"))
+        width = F.length(tag) + F.lit(2)
+    p = F.call_function("locate", open_, s)
+    start = p + width
+    q = F.call_function("locate", close, s, start)
+    return F.when((p > 0) & (q > 0), F.substring(s, start, q - start))
 
 
 def first_tag(col, tag) -> Column:
@@ -66,9 +77,32 @@ def first_tag_stripped_or_null(col, tag) -> Column:
 
 def numbered_tag(col, name: str, i) -> Column:
     """``<name_i>`` block (stripped, null if absent) with ``i`` an int or Column."""
-    tag = F.concat(F.lit(f"{name}_"), F.lit(i).cast("string") if not isinstance(i, Column)
-                   else i.cast("string"))
-    return first_tag_stripped_or_null(col, tag)
+    if not isinstance(i, Column):
+        return first_tag_stripped_or_null(col, f"{name}_{i}")
+    return first_tag_stripped_or_null(col, F.concat(F.lit(f"{name}_"), i.cast("string")))
+
+
+def tag_tokens(col, names) -> tuple[Column, Column]:
+    """Tokenise a text once for numbered tags ``<name_i>`` / ``</name_i>``:
+    ``(tags, pieces)`` where ``tags`` lists every tag in text order and
+    ``pieces`` the text around them (``len(pieces) = len(tags) + 1``)."""
+    rx = "</?(?:" + "|".join(re.escape(n) for n in names) + ")_[0-9]+>"
+    return (F.regexp_extract_all(_c(col), F.lit(f"({rx})"), 1), F.split(_c(col), rx, -1))
+
+
+def tag_from_tokens(tags, pieces, tag: str) -> Column:
+    """First ``<tag>…</tag>`` content from ``tag_tokens`` output, or null.
+
+    Equals the ``locate`` form: the first opening token, then the first
+    closing token after it; text and any other tags between them are kept."""
+    t, pc = _c(tags), _c(pieces)
+    a = F.array_position(t, F.lit(f"<{tag}>"))
+    rel = F.array_position(F.slice(t, F.greatest(a, F.lit(0)) + 1, F.greatest(F.size(t), F.lit(1))),
+                           F.lit(f"</{tag}>"))
+    b = a + rel
+    inner = F.array_join(F.transform(F.sequence(a, b - 1), lambda k: F.concat(
+        F.get(pc, k), F.when(k < b - 1, F.get(t, k)).otherwise(F.lit("")))), "")
+    return F.when((a > 0) & (rel > 0), F.when(rel == 1, F.get(pc, a)).otherwise(inner))
 
 
 def description_block(col) -> Column:

@@ -80,9 +80,13 @@ def _op(linenumber) -> F.Column:
 def cad_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, items``: per order, its lines as parts in a total order
     (``array<struct<k, q, op, s>>``, ``s`` = the part's JSON member text).
-    One shuffle by order key; a group is one order's lines."""
-    li = table(spark, sf_dir, "lineitem")
-    g = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(
+    One shuffle by order key; a group is one order's lines.  The rows are
+    hash-partitioned by the key first: ``collect_list`` keeps every row, so a
+    map-side partial aggregate would only add a sort, and the grouping below
+    reuses this partitioning (no second exchange)."""
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "id")
+    li = li.repartition("id")
+    g = li.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
         F.col("l_quantity").cast("bigint").alias("q"), _op(F.col("l_linenumber")).alias("op")))
     ).alias("lines"))
@@ -94,12 +98,17 @@ def cad_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", items.alias("items"))
 
 
-def cad_from_items(items: DataFrame) -> DataFrame:
+def with_completion(items: DataFrame) -> DataFrame:
+    """Add the document text ``completion`` and part count ``n`` to ``items``."""
     completion = F.concat(F.lit('<json>\n{"final_shape":"","parts":{'),
                           F.array_join(F.transform("items", lambda x: x["s"]), ","),
                           F.lit("}}\n</json>"))
-    return items.select("id", completion.alias("completion"),
-                        F.size("items").cast("bigint").alias("n"))
+    return items.withColumn("completion", completion).withColumn(
+        "n", F.size("items").cast("bigint"))
+
+
+def cad_from_items(items: DataFrame) -> DataFrame:
+    return with_completion(items).select("id", "completion", "n")
 
 
 def cad(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,9 +163,7 @@ def stand_in_model(batched_items: DataFrame) -> DataFrame:
 
 def batched_cad(spark: SparkSession, sf_dir: str, batch_size: int = 4) -> DataFrame:
     """``id, completion, n, items, ord, batch_id, pos`` — cad in id order."""
-    items = cad_items(spark, sf_dir)
-    c = cad_from_items(items).join(items, "id")
-    return with_batches(with_ord(c, "id"), batch_size)
+    return with_batches(with_completion(with_ord(cad_items(spark, sf_dir), "id")), batch_size)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,9 @@ def retry_job(data: DataFrame, ids: DataFrame, responder: Responder, batch_size:
     Found rows keep dataset order through their ``ord``; batches number them
     again from 0 (``retry_ord``)."""
     found = retry.failed_rows(data, ids, id_col)
+    # number the found rows first: the checkpoint inside with_ord materialises
+    # the semi join once for the survey, the batches and the summary
+    found = position.with_ord(found.drop("retry_ord"), ord_col, "retry_ord")
     found = survey.with_part_count(found)
     dist = survey.histogram(found, include_zero=True)
     if expected_parts:
@@ -157,7 +160,6 @@ def retry_job(data: DataFrame, ids: DataFrame, responder: Responder, batch_size:
         max_parts = int(found.agg(F.max("part_count")).first()[0] or 0)
         if max_parts == 0:
             raise survey.SurveyGateError("cannot determine max_parts from failed rows")
-    found = position.with_ord(found.drop("retry_ord"), ord_col, "retry_ord")
     batched = position.with_batches(found, batch_size, 0, "retry_ord")
     reqs = rq.batch_requests(batched)
     judged = rs.verdict(rs.unbatch(batched, responder(batched, reqs), batch_size), max_parts)

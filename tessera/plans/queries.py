@@ -160,9 +160,9 @@ def _responder(batched, _requests):
 
 
 def _first_pass(spark, d):
-    b = fx.batched_cad(spark, d, BATCH)
+    b = fx.batched_cad(spark, d, BATCH)          # checkpointed by with_ord
     parsed = rs.unbatch(b, fx.stand_in_model(b), BATCH)
-    max_parts = survey.gate(survey.survey(survey.with_part_count(fx.cad(spark, d))))["max_parts"]
+    max_parts = survey.gate(survey.survey(survey.with_part_count(b)))["max_parts"]
     return parsed, int(max_parts)
 
 
@@ -191,21 +191,25 @@ def verdict(spark, d):
     return j.select("id", "batch_id", "pos", "new_length", "original_parts", "generated", "is_failed")
 
 
-def failed_log(spark, d):
+def _write_failed_log(spark, d):
     j, _ = _judged(spark, d)
     folder, _ = logs.write_failed_log(j.where("is_failed"), scratch_dir(spark, "logs"), "tables/cad",
                                       "orders", 0)
-    ids, _ = logs.read_failed_log(spark, folder)
+    return folder
+
+
+def failed_log(spark, d):
+    ids, _ = logs.read_failed_log(spark, _write_failed_log(spark, d))
     return ids.select("id")
 
 
 def _failed_ids(spark, d):
-    """Failed ids of the first pass, plus two ids that are not in the data and
-    one repeated id (a log can hold both)."""
-    j, _ = _judged(spark, d)
-    f = j.where("is_failed").select("id")
+    """Failed ids of the first pass as read back from its written log, plus two
+    ids that are not in the data and one repeated id (a log can hold both)."""
+    ids, _ = logs.read_failed_log(spark, _write_failed_log(spark, d))
+    f = ids.select(F.col("id").cast("bigint").alias("id"))
     extra = spark.range(-2, 0).select(F.col("id").cast("bigint"))
-    rep = j.where((F.col("id") % 7 == 0)).agg(F.min("id").alias("id"))
+    rep = f.where(F.col("id") % 7 == 0).agg(F.min("id").alias("id"))
     return f.unionByName(extra).unionByName(rep)
 
 
@@ -223,9 +227,7 @@ def retry_parts(spark, d):
 
 
 def _retry(spark, d):
-    items = fx.cad_items(spark, d)
-    data = fx.cad_from_items(items).join(items, "id")
-    data = position.with_ord(data, "id")
+    data = fx.with_completion(position.with_ord(fx.cad_items(spark, d), "id"))
     return jobs.retry_job(data, _failed_ids(spark, d), _responder, BATCH)
 
 
@@ -238,8 +240,7 @@ def retry_job(spark, d):
 
 
 def multi_turn_job(spark, d):
-    items = fx.cad_items(spark, d)
-    data = position.with_ord(fx.cad_from_items(items).join(items, "id"), "id")
+    data = fx.with_completion(position.with_ord(fx.cad_items(spark, d), "id"))
     res = jobs.multi_turn_job(data, _responder, batch_size=BATCH, split="cad")
     return res["judged"].select("id", F.lit(res["split"]).alias("split"), "new_length",
                                 "generated", "is_failed")
