@@ -1,0 +1 @@
+"""Incremental runs of the row-local jobs with Structured Streaming."""
