@@ -66,15 +66,26 @@ def _complete(t) -> Column:
     return not_blank(t["input"]) & not_blank(t["think"]) & not_blank(t["json"])
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """Return ``df`` unchanged behind a one-row-per-row generator.
+
+    Predicate pushdown rewrites a filter on a computed column into a copy of
+    that column's expression, without a cost check; for the turn arrays that
+    copy is dozens of text scans per row.  Columns produced by a generator
+    cannot be pushed through it, so filters stay above and every expression
+    below is evaluated once."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def verdict(parsed: DataFrame, max_parts: int, content_col: str = "content",
             completion_col: str = "completion") -> DataFrame:
     """Per-row verdict (C2, A13): ``turns`` array, ``generated`` (complete turns),
     ``original_parts`` and ``is_failed``; the row is kept either way."""
-    return (with_turns(parsed, max_parts, content_col)
-                  .withColumn("generated", F.size(F.filter("turns", _complete)).cast("bigint"))
-                  .withColumn("original_parts", completion_part_count(F.col(completion_col)))
-                  .withColumn("is_failed", (F.col("generated") == 0)
-                              | (F.col("generated") != F.col("original_parts"))))
+    step = (with_turns(parsed, max_parts, content_col)
+            .withColumn("generated", F.size(F.filter("turns", _complete)).cast("bigint"))
+            .withColumn("original_parts", completion_part_count(F.col(completion_col))))
+    return barrier(step).withColumn("is_failed", (F.col("generated") == 0)
+                                    | (F.col("generated") != F.col("original_parts")))
 
 
 def turns_long(judged: DataFrame, keep=("id",)) -> DataFrame:
