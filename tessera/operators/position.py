@@ -27,8 +27,10 @@ def with_ord(df: DataFrame, order_by, ord_col: str = "ord",
              num_partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based position in ``order_by`` order (keys must be unique)."""
     cols = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)
+    # the configured shuffle width: downstream work on these rows is narrow and
+    # CPU-bound (text scans), so byte-based coalescing would starve it of tasks
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
     ranged = (ranged.withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))

@@ -191,9 +191,16 @@ def verdict(spark, d):
     return j.select("id", "batch_id", "pos", "new_length", "original_parts", "generated", "is_failed")
 
 
-def _write_failed_log(spark, d):
+def _verdict_summary(spark, d):
+    """The first pass's per-row verdict columns, checkpointed once so the
+    failed log, the retry and the merge read one materialised result."""
     j, _ = _judged(spark, d)
-    folder, _ = logs.write_failed_log(j.where("is_failed"), scratch_dir(spark, "logs"), "tables/cad",
+    return j.select("id", "generated", "original_parts", "is_failed").checkpoint()
+
+
+def _write_failed_log(spark, d, verdicts=None):
+    v = verdicts if verdicts is not None else _verdict_summary(spark, d)
+    folder, _ = logs.write_failed_log(v.where("is_failed"), scratch_dir(spark, "logs"), "tables/cad",
                                       "orders", 0)
     return folder
 
@@ -203,10 +210,10 @@ def failed_log(spark, d):
     return ids.select("id")
 
 
-def _failed_ids(spark, d):
+def _failed_ids(spark, d, verdicts=None):
     """Failed ids of the first pass as read back from its written log, plus two
     ids that are not in the data and one repeated id (a log can hold both)."""
-    ids, _ = logs.read_failed_log(spark, _write_failed_log(spark, d))
+    ids, _ = logs.read_failed_log(spark, _write_failed_log(spark, d, verdicts))
     f = ids.select(F.col("id").cast("bigint").alias("id"))
     extra = spark.range(-2, 0).select(F.col("id").cast("bigint"))
     rep = f.where(F.col("id") % 7 == 0).agg(F.min("id").alias("id"))
@@ -226,9 +233,9 @@ def retry_parts(spark, d):
     return survey.histogram(survey.with_part_count(found), include_zero=True)
 
 
-def _retry(spark, d):
+def _retry(spark, d, verdicts=None):
     data = fx.with_completion(position.with_ord(fx.cad_items(spark, d), "id"))
-    return jobs.retry_job(data, _failed_ids(spark, d), _responder, BATCH)
+    return jobs.retry_job(data, _failed_ids(spark, d, verdicts), _responder, BATCH)
 
 
 def retry_summary(spark, d):
@@ -345,8 +352,8 @@ def union_shards(spark, d):
 
 
 def merge_retry(spark, d):
-    j, _ = _judged(spark, d)
-    r = _retry(spark, d)["judged"]
+    j = _verdict_summary(spark, d)
+    r = _retry(spark, d, j)["judged"]
     m = retry.merge_retry(j.select("id", "generated", "is_failed"),
                           r.select("id", "generated", "is_failed"))
     return m.select("id", "source", "generated", "is_failed")
