@@ -90,15 +90,20 @@ def tag_tokens(col, names) -> tuple[Column, Column]:
     return (F.regexp_extract_all(_c(col), F.lit(f"({rx})"), 1), F.split(_c(col), rx, -1))
 
 
-def tag_from_tokens(tags, pieces, tag: str) -> Column:
+def tag_from_tokens(tags, pieces, tag) -> Column:
     """First ``<tag>…</tag>`` content from ``tag_tokens`` output, or null.
 
     Equals the ``locate`` form: the first opening token, then the first
     closing token after it; text and any other tags between them are kept."""
     t, pc = _c(tags), _c(pieces)
-    a = F.array_position(t, F.lit(f"<{tag}>"))
+    if isinstance(tag, str):
+        open_, close = F.lit(f"<{tag}>"), F.lit(f"</{tag}>")
+    else:
+        open_ = F.concat(F.lit("<"), tag, F.lit(">"))
+        close = F.concat(F.lit("</"), tag, F.lit(">"))
+    a = F.array_position(t, open_)
     rel = F.array_position(F.slice(t, F.greatest(a, F.lit(0)) + 1, F.greatest(F.size(t), F.lit(1))),
-                           F.lit(f"</{tag}>"))
+                           close)
     b = a + rel
     inner = F.array_join(F.transform(F.sequence(a, b - 1), lambda k: F.concat(
         F.get(pc, k), F.when(k < b - 1, F.get(t, k)).otherwise(F.lit("")))), "")

@@ -17,15 +17,18 @@ def unbatch(requests: DataFrame, responses: DataFrame, batch_size: int,
             response_col: str = "response") -> DataFrame:
     """Give every request row its ``<sample_pos>`` block.
 
-    The response side is exploded to ``(batch_id, pos)`` and the sample text is
-    cut out *before* the shuffle, so only sample contents travel; a left join
+    Each response is tokenised once (sample tags and the text around them),
+    all ``batch_size`` samples are cut from those tokens, and the response side
+    is exploded to ``(batch_id, pos)`` *before* the shuffle, so only sample
+    contents travel; a left join
     keeps every request row (``content`` null when the batch failed or the
     sample is missing; ``new_length`` is then 0)."""
-    samples = (responses
-               .select("batch_id", F.col(response_col).alias("_r"),
-                       F.explode(F.sequence(F.lit(1), F.lit(batch_size))).alias("pos"))
-               .select("batch_id", F.col("pos").cast("int").alias("pos"),
-                       numbered_tag(F.col("_r"), "sample", F.col("pos")).alias("content"))
+    tags, pieces = tag_tokens(F.col(response_col), ["sample"])
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(batch_size)), lambda i: strip(
+        tag_from_tokens("_t", "_p", F.concat(F.lit("sample_"), i.cast("string")))))
+    samples = (responses.select("batch_id", tags.alias("_t"), pieces.alias("_p"))
+               .select("batch_id", F.posexplode(blocks).alias("_i", "content"))
+               .select("batch_id", (F.col("_i") + 1).cast("int").alias("pos"), "content")
                .where(F.col("content").isNotNull()))
     out = requests.join(samples, ["batch_id", "pos"], "left")
     return out.withColumn("new_length", F.coalesce(F.length("content"), F.lit(0)).cast("bigint"))

@@ -47,3 +47,16 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(ocols) == cols
     idx = [ocols.index(c) for c in cols]
     assert got == norm([[r[i] for i in idx] for r in res.fetchall()])
+
+
+@pytest.mark.parametrize("name", ["verdict", "clean_and_bucket"])
+def test_same_result_with_1_and_8_partitions(spark, name):
+    results = []
+    for parts in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            df = E.queries()[name](spark, SF)
+            results.append(sorted(map(tuple, df.collect()), key=repr))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1]
