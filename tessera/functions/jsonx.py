@@ -28,6 +28,23 @@ CAD_SCHEMA = f"struct<parts: map<string, {PART}>>"
 OPERATIONS = ["NewBodyFeatureOperation", "JoinFeatureOperation",
               "CutFeatureOperation", "IntersectFeatureOperation"]
 
+def json_maps_last_win() -> None:
+    """A repeated JSON key keeps its first position and its last value (as a
+    Python dict does) when ``dedup_map`` rebuilds a parsed map, instead of
+    failing the job (Spark's default for duplicate map keys)."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get("spark.sql.mapKeyDedupPolicy", "") != "LAST_WIN":
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+
+
+def dedup_map(m) -> Column:
+    """``from_json`` keeps repeated object keys as repeated map entries; rebuild
+    the map so each key appears once (last value wins)."""
+    json_maps_last_win()
+    return F.map_from_entries(F.map_entries(m))
+
+
 _STRICT_OPTS = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
                 "allowNumericLeadingZeros": "false", "allowUnquotedControlChars": "false",
                 "allowBackslashEscapingAnyCharacter": "false", "allowComments": "false"}
@@ -58,7 +75,7 @@ def part_count(doc) -> Column:
     the document is null, empty, has no ``parts`` or ``parts`` is not an object."""
     keys = F.json_object_keys(F.get_json_object(_c(doc), "$.parts"))
     # size(null) is null (ANSI) or -1 (legacy): both become 0
-    n = F.size(F.filter(keys, lambda k: k.rlike("^part_[0-9]+")))
+    n = F.size(F.filter(F.array_distinct(keys), lambda k: k.rlike("^part_[0-9]+")))
     return F.greatest(n, F.lit(0)).cast("bigint")
 
 
@@ -68,6 +85,7 @@ def completion_part_count(completion) -> Column:
 
 
 def _parts_all_objects(doc) -> Column:
+    json_maps_last_win()
     parts = F.get_json_object(doc, "$.parts")
     vals = F.map_values(F.from_json(parts, "map<string,string>"))
     return (parts.isNull()

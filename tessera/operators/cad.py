@@ -7,14 +7,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.jsonx import OPERATIONS, POINT, json_block, part_count
+from tessera.functions.jsonx import (OPERATIONS, POINT, dedup_map, json_block,
+                                     json_maps_last_win, part_count)
 from tessera.functions.text import _c
 
 
 def part_entries(doc) -> Column:
     """``array<struct<key, value>>`` of ``doc.parts`` in document order; each
     value is the part's compact JSON text."""
-    return F.map_entries(F.from_json(_c(doc), "struct<parts: map<string,string>>")["parts"])
+    return F.map_entries(dedup_map(F.from_json(_c(doc), "struct<parts: map<string,string>>")["parts"]))
 
 
 def _json_key(k) -> Column:
@@ -62,9 +63,10 @@ def progressive_check(judged: DataFrame, completion_col: str = "completion",
 def operation_check(df: DataFrame, completion_col: str = "completion", keep=("id",),
                     allowed=OPERATIONS) -> DataFrame:
     """Every part's ``extrusion.operation`` is one of the allowed values."""
+    json_maps_last_win()
     parsed = F.from_json(json_block(F.col(completion_col)),
                          "struct<parts: map<string, struct<extrusion: struct<operation: string>>>>")
-    ops = F.transform(F.map_values(parsed["parts"]), lambda p: p["extrusion"]["operation"])
+    ops = F.transform(F.map_values(dedup_map(parsed["parts"])), lambda p: p["extrusion"]["operation"])
     ok = F.filter(ops, lambda o: F.coalesce(o.isin(*allowed), F.lit(False)))
     return df.select(*keep, F.coalesce(F.size(ops), F.lit(0)).cast("bigint").alias("n_parts"),
                      F.coalesce(F.size(ok), F.lit(0)).cast("bigint").alias("n_valid_ops"),
@@ -94,8 +96,9 @@ def loop_closure(df: DataFrame, completion_col: str = "completion", keep=("id",)
     after ``line_9``).  Row-local higher-order functions, no window."""
     prim = f"struct<`Start Point`: {POINT}, `End Point`: {POINT}, Center: {POINT}, Radius: double>"
     schema = f"struct<parts: map<string, struct<sketch: map<string, map<string, map<string, {prim}>>>>>>"
+    json_maps_last_win()
     parsed = F.from_json(json_block(F.col(completion_col)), schema)
-    rows = (df.select(*keep, F.explode(parsed["parts"]).alias("part", "p"))
+    rows = (df.select(*keep, F.explode(dedup_map(parsed["parts"])).alias("part", "p"))
               .select(*keep, "part", F.explode("p.sketch").alias("face", "f"))
               .select(*keep, "part", "face", F.explode("f").alias("loop", "l")))
     prims = F.array_sort(

@@ -58,3 +58,14 @@ def test_clean_typed_and_exact(spark):
     again = spark.createDataFrame([(r.t,) for r in rows if r.t], "c string").select(
         jsonx.clean_cad_json(jsonx.json_block(F.col("c"))).alias("a"), F.col("c")).collect()
     assert all(r.a == r.c for r in again)
+
+
+def test_repeated_keys_keep_last_value(spark):
+    from tessera.operators import cad
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    df = spark.createDataFrame(
+        [(1, '<json>{"parts":{"part_1":{"extrusion":{"operation":"Cut"}},'
+             '"part_1":{"extrusion":{"operation":"CutFeatureOperation"}}}}</json>')],
+        "id int, completion string")
+    r = cad.operation_check(df).first()
+    assert (r.n_parts, r.n_valid_ops) == (1, 1)
