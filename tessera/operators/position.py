@@ -6,11 +6,12 @@ through one task: it range-partitions by the key, numbers rows inside each
 partition, and adds per-partition offsets from a table with one row per
 partition (its size is bounded by the partition count, so it is broadcast).
 
-The range-partitioned rows are checkpointed (reliable checkpoint in the
-session's shared ``spark.checkpoint.dir``) before they are counted: range
+The range-partitioned, numbered rows are written once as a parquet table under
+the session's shared ``spark.checkpoint.dir`` before they are counted: range
 bounds come from a sample whose result depends on row order inside upstream
-shuffle output, so counting and numbering must read one materialised
-partitioning, not two recomputations of it.
+shuffle output, so counting and numbering must read one materialised result,
+not two recomputations of it.  The table is columnar, so later steps read only
+the columns they use.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import scratch_dir
 
 _LOCAL_BITS = 33   # monotonically_increasing_id(): partition id << 33 | row index
 
@@ -27,12 +28,16 @@ def with_ord(df: DataFrame, order_by, ord_col: str = "ord",
              num_partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based position in ``order_by`` order (keys must be unique)."""
     cols = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
     # the configured shuffle width: downstream work on these rows is narrow and
     # CPU-bound (text scans), so byte-based coalescing would starve it of tasks
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
-    ranged = (ranged.withColumn("_mid", F.monotonically_increasing_id())
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_dir(spark, "ord")
+    (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+       .withColumn("_mid", F.monotonically_increasing_id())
+       .write.parquet(path))
+    # numbering is stored with the rows, so how the table is read back does not matter
+    ranged = (spark.read.parquet(path)
               .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     per_part = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
