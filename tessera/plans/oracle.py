@@ -199,8 +199,28 @@ def _batch_request() -> str:
             f" || chr(10) || chr(10) || 'OUTPUT:' || chr(10) || {skel} || chr(10) || chr(10) || 'RULES:' || chr(10) || {lit(BATCH_RULES)} || chr(10)")
 
 
-LOOP_CTE = ("""SELECT id, max(k) AS n FROM parts GROUP BY id""", ["parts"])
-CTE["loops"] = LOOP_CTE
+CTE["loops"] = ("""SELECT id, max(k) AS n FROM parts GROUP BY id""", ["parts"])
+# the sketch documents, rebuilt as text, then parsed back with DuckDB's JSON functions
+CTE["sk"] = ("""SELECT id, '{"parts":{"part_1":{"sketch":{"face_1":{"loop_1":{' || string_agg(line, ',' ORDER BY k DESC) || '}'
+        || CASE WHEN id % 5 = 0 THEN ',"loop_2":{"circle_1":{"Center":[0.5,0.5],"Radius":0.25}}' ELSE '' END
+        || '}}}}}' AS doc
+        FROM (SELECT p.id, p.k, '"line_' || p.k || '":{"Start Point":[' || p.k || ',' || p.q || '],"End Point":'
+                     || CASE WHEN p.k < m.n THEN '[' || (p.k + 1) || ',' || nx.q || ']'
+                             WHEN p.id % 3 = 0 THEN '[1,' || (f.q + 1) || ']' ELSE '[1,' || f.q || ']' END || '}' AS line
+              FROM parts p JOIN loops m USING (id) JOIN parts f ON f.id = p.id AND f.k = 1
+              LEFT JOIN parts nx ON nx.id = p.id AND nx.k = p.k + 1)
+        GROUP BY id""", ["parts", "loops"])
+CTE["sk_lp"] = ("SELECT id, doc, unnest(json_keys(doc, '$.parts.part_1.sketch.face_1')) AS loop FROM sk", ["sk"])
+CTE["sk_pk"] = ("SELECT id, doc, loop, unnest(json_keys(doc, '$.parts.part_1.sketch.face_1.' || loop)) AS prim FROM sk_lp",
+                ["sk_lp"])
+CTE["sk_prims"] = ("""SELECT id, loop, prim, TRY_CAST(regexp_extract(prim, '([0-9]+)$', 1) AS BIGINT) AS num,
+        json_extract(doc, '$.parts.part_1.sketch.face_1.' || loop || '.' || prim || '."Start Point"')::DOUBLE[] AS sp,
+        json_extract(doc, '$.parts.part_1.sketch.face_1.' || loop || '.' || prim || '."End Point"')::DOUBLE[] AS ep
+        FROM sk_pk""", ["sk_pk"])
+CTE["sk_segs"] = ("""SELECT *, row_number() OVER (PARTITION BY id, loop ORDER BY num) AS i,
+        count(*) OVER (PARTITION BY id, loop) AS ns FROM sk_prims WHERE NOT starts_with(prim, 'circle')""", ["sk_prims"])
+CTE["sk_links"] = ("""SELECT a.id, a.loop, bool_and(coalesce(a.ep = b.sp, false)) AS ok FROM sk_segs a JOIN sk_segs b
+        ON a.id = b.id AND a.loop = b.loop AND b.i = (a.i % a.ns) + 1 GROUP BY a.id, a.loop""", ["sk_segs"])
 
 
 def queries() -> dict[str, str]:
@@ -332,9 +352,9 @@ def queries() -> dict[str, str]:
     Q["progressive_check"] = sql("""SELECT t.id, t.turn, coalesce(t.json = '{"parts":{' || array_to_string(array_agg(ps.s ORDER BY ps.k), ',') || '}}', false) AS matches
         FROM turns t JOIN parts_s ps ON ps.id = t.id AND ps.k <= t.turn JOIN cad c ON c.id = t.id
         WHERE t.turn <= c.n GROUP BY t.id, t.turn, t.json""", "turns", "parts_s", "cad")
-    Q["loop_closure"] = sql("""SELECT id, 'part_1' AS part, 'face_1' AS face, 'loop_1' AS loop, n AS n_prims,
-        (id % 3 <> 0) AS closed FROM loops
-        UNION ALL SELECT id, 'part_1', 'face_1', 'loop_2', 1, true FROM loops WHERE id % 5 = 0""", "loops")
+    Q["loop_closure"] = sql("""SELECT p.id, 'part_1' AS part, 'face_1' AS face, p.loop, count(*)::BIGINT AS n_prims,
+               coalesce(any_value(l.ok), true) AS closed
+        FROM sk_prims p LEFT JOIN sk_links l USING (id, loop) GROUP BY p.id, p.loop""", "sk_prims", "sk_links")
     ops = "regexp_extract_all(completion, '\"operation\":\"([A-Za-z]+)\"', 1)"
     Q["operation_check"] = sql(f"""SELECT id, n AS n_parts,
         len(list_filter({ops}, lambda o: o IN ('NewBodyFeatureOperation', 'JoinFeatureOperation', 'CutFeatureOperation', 'IntersectFeatureOperation')))::BIGINT AS n_valid_ops,
