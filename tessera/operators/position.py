@@ -19,25 +19,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import scratch_dir
+from tessera.session import ensure_checkpoint_dir, scratch_dir
 
 _LOCAL_BITS = 33   # monotonically_increasing_id(): partition id << 33 | row index
 
 
 def with_ord(df: DataFrame, order_by, ord_col: str = "ord",
-             num_partitions: int | None = None) -> DataFrame:
-    """Add a dense 0-based position in ``order_by`` order (keys must be unique)."""
+             num_partitions: int | None = None, materialize: str = "table") -> DataFrame:
+    """Add a dense 0-based position in ``order_by`` order (keys must be unique).
+
+    ``materialize="table"`` writes the numbered rows as parquet under the
+    shared checkpoint folder; ``"checkpoint"`` uses a reliable ``checkpoint()``
+    there instead (row format, no column pruning on re-read)."""
     cols = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     spark = df.sparkSession
     # the configured shuffle width: downstream work on these rows is narrow and
     # CPU-bound (text scans), so byte-based coalescing would starve it of tasks
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_dir(spark, "ord")
-    (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-       .withColumn("_mid", F.monotonically_increasing_id())
-       .write.parquet(path))
-    # numbering is stored with the rows, so how the table is read back does not matter
-    ranged = (spark.read.parquet(path)
+    numbered = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+                .withColumn("_mid", F.monotonically_increasing_id()))
+    if materialize == "checkpoint":
+        ensure_checkpoint_dir(spark)
+        stored = numbered.checkpoint(eager=True)
+    else:
+        path = scratch_dir(spark, "ord")
+        numbered.write.parquet(path)
+        stored = spark.read.parquet(path)
+    # numbering is stored with the rows, so how they are read back does not matter
+    ranged = (stored
               .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
     per_part = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -41,3 +41,10 @@ def test_deinterleave_and_interleave(spark):
     assert [(r.s, r.k) for r in mixed] == [("a", 0), ("b", 0), ("a", 1), ("b", 1), ("a", 2), ("b", 2)]
     lab = position.deinterleave(position.interleave([a, b]))
     assert {r.s: r.lang for r in lab.collect()} == {"a": "en", "b": "vi"}
+
+
+def test_with_ord_checkpoint_mode_matches_table_mode(spark):
+    df = spark.range(0, 500).select((F.col("id") * 37 % 1009).alias("k"))
+    a = sorted(map(tuple, position.with_ord(df, "k", materialize="table").collect()))
+    b = sorted(map(tuple, position.with_ord(df, "k", materialize="checkpoint").collect()))
+    assert a == b
