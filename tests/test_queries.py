@@ -10,7 +10,8 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 FAST = ["tag_first_trimmed", "tag_first_or_null", "description_block", "prompt_wrap",
         "json_strict_filter", "part_count", "part_histogram", "clean_and_bucket", "accept_reject",
-        "chat_messages", "token_buckets", "batch_requests", "verdict", "progressive_docs"]
+        "chat_messages", "token_buckets", "batch_requests", "verdict", "progressive_docs",
+        "predictions", "inference_requests", "number_coverage", "loop_closure", "drop_boilerplate"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
