@@ -34,7 +34,7 @@ def json_maps_last_win() -> None:
     failing the job (Spark's default for duplicate map keys)."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    if spark is not None and spark.conf.get("spark.sql.mapKeyDedupPolicy", "") != "LAST_WIN":
+    if spark is not None and spark.conf.get("spark.sql.mapKeyDedupPolicy") != "LAST_WIN":
         spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
 
 

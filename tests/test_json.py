@@ -69,3 +69,10 @@ def test_repeated_keys_keep_last_value(spark):
         "id int, completion string")
     r = cad.operation_check(df).first()
     assert (r.n_parts, r.n_valid_ops) == (1, 1)
+
+
+def test_works_when_dedup_policy_is_unset(spark):
+    # a plain session has no value for the policy; building the columns must not fail
+    spark.conf.unset("spark.sql.mapKeyDedupPolicy")
+    df = spark.createDataFrame([('{"parts":{"part_1":{}}}',)], "s string")
+    assert df.select(jsonx.clean_cad_json(F.col("s"))).first()[0] == '<json>\n{"parts":{"part_1":{}}}\n</json>'
