@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, mixing, sharding, topk, url_filter
+from tessera.llm import ann, mixing, sharding, topk, toxicity, url_filter
 from tessera.llm.common import table
 
 #: The URL rules of the query.
@@ -36,6 +36,22 @@ def op9_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-REGISTRY = {f.__name__: f for f in (op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op9_ann)}
+def is_held_out(doc_id):
+    """Rows whose labels are never learnt from."""
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def toxicity_model(spark, sf_dir, docs):
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), ~is_held_out(F.col("id")))
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+REGISTRY = {f.__name__: f for f in (op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op9_ann, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
