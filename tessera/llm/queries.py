@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, mixing, sharding, topk, toxicity, url_filter
+from tessera.llm import ann, mixing, packing, sharding, topk, toxicity, url_filter
 from tessera.llm.common import table
 
 #: The URL rules of the query.
@@ -12,6 +12,15 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
              ("org", "/fr/", "allow")]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules, default="allow")
@@ -52,6 +61,6 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op9_ann, op10_toxicity)}
+REGISTRY = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op9_ann, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
