@@ -21,12 +21,17 @@ their own; a source whose size is 0 has target 0; an empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, bucket_of, running_sum, stored, unit_draw
 
 
+def row_keys(id_: Column, text: Column, seed: int) -> list[Column]:
+    """128 bits that name a row's id and text."""
+    return [F.xxhash64(F.lit(seed), id_, text).alias("key1"), F.xxhash64(text, id_, F.lit(seed)).alias("key2")]
+
+
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeats: int = 3) -> DataFrame:
     """``source_key, source_size, target`` from ``source_key, source, size`` rows (one row per
     source after a pre-aggregated sum; the windows run over those rows only)."""
@@ -73,22 +78,21 @@ def split_blocks(blocks: DataFrame, shards: int, seed: int = 7, buckets: int = 2
 
 def mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, shards: int = 8, block_words: int = 65536,
         seed: int = 7, buckets: int = 512, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", keep=()) -> DataFrame:
-    """One row per input row: ``id_col, *keep, size, source_size, target, copies, taken, placements``.
+        source_col: str = "source") -> DataFrame:
+    """One row per input row: ``id_col, size, source_size, target, copies, taken, placements`` and
+    ``key1, key2`` (128 bits that name id and text).
 
     ``placements``: per copy taken (at most ``max_repeats``) its ``epoch``, ``block``, ``shard``
     and ``position`` key; rows of one shard sorted by ``position`` are the shuffled output."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [f"keep_{c}" for c in keep]
     narrow = stored(docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("id"), *[F.col(c).alias(k) for c, k in zip(keep, kept)],
-        F.col(source_col).alias("source"),
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("source_key"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h")), "mix-rows")
-    narrow = narrow.withColumn("_b", bucket_of(buckets, "h"))
-    tape = running_sum(narrow, ["source_key"], "_b", ["h", "id", "size", "row"], "size", "start")
+        *row_keys(F.col(id_col), text, seed)), "mix-rows")
+    narrow = narrow.withColumn("_b", bucket_of(buckets, "key1"))
+    tape = running_sum(narrow, ["source_key"], "_b", ["key1", "key2", "row"], "size", "start")
     # targets travel through the (source, bucket) rows, so no document is shuffled by its source
     targets = source_targets(narrow, weights, max_repeats)
     per_bucket = narrow.select("source_key", "_b").distinct().join(targets, "source_key")
@@ -97,26 +101,33 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, shards: int =
         F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: F.struct(
             e.alias("epoch"), (e * F.col("source_size") + F.col("start")).alias("at"))),
         lambda c: c["at"] + F.col("size") / 2 < F.col("target"))
-    drawn = stored(tape.select("row", "id", *kept, "source_key", "size", "source_size", "target", "h",
+    drawn = stored(tape.select("row", "id", "source_key", "size", "source_size", "target", "key1", "key2",
                                F.explode_outer(copies).alias("c"))
                    .withColumn("epoch", F.col("c.epoch"))
                    .withColumn("block", F.expr(f"c.at div {int(block_words)}L")).drop("c"), "mix-drawn")
     blocks = drawn.where(F.col("block").isNotNull()).select("source_key", "block").distinct()
     dealt = drawn.join(split_blocks(blocks, shards, seed), ["source_key", "block"], "left")
     placement = F.when(F.col("block").isNotNull(), F.struct(
-        "epoch", "block", "shard", F.xxhash64(F.lit(seed), F.lit("position"), "h", "id", "epoch").alias("position")))
-    return (dealt.groupBy("row", "id", *kept, "size", "source_size", "target")
+        "epoch", "block", "shard", F.xxhash64(F.lit(seed), F.lit("position"), "key1", "key2", "row", "epoch").alias("position")))
+    return (dealt.groupBy("row", "id", "size", "source_size", "target", "key1", "key2")
             .agg(F.array_sort(F.collect_list(placement)).alias("placements"))
-            .select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(keep, kept)],
-                    "size", "source_size", "target", F.size("placements").alias("copies"),
-                    (F.size("placements") * F.col("size")).cast("bigint").alias("taken"), "placements"))
+            .select(F.col("id").alias(id_col), "size", "source_size", "target", F.size("placements").alias("copies"),
+                    (F.size("placements") * F.col("size")).cast("bigint").alias("taken"), "placements", "key1", "key2"))
 
 
-def mixed_rows(mixed: DataFrame) -> DataFrame:
-    """One row per copy taken: the columns of ``mix`` with ``epoch, block, shard, position``."""
-    return mixed.select("*", F.inline("placements")).drop("placements")
+def mixed_documents(docs: DataFrame, mixed: DataFrame, seed: int = 7, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` with ``epoch, block, shard, position``: a row per copy taken.  Texts
+    are shuffled once; rows of equal id and text are looked up once and emitted for all of them."""
+    k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), seed)
+    one = Window.partitionBy("_k1", "_k2").orderBy("_k1")
+    rows = (docs.withColumn("_k1", k1).withColumn("_k2", k2).withColumn("_nth", F.row_number().over(one))
+            .where("_nth = 1").drop("_nth"))
+    copies = mixed.where("copies > 0").groupBy(F.col("key1").alias("_k1"), F.col("key2").alias("_k2")).agg(
+        F.flatten(F.collect_list("placements")).alias("_copies"))
+    return rows.join(copies, ["_k1", "_k2"]).select(*docs.columns, F.inline("_copies"))
 
 
 def shuffled_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows of ``mixed_rows`` in their output order: shard by shard, shuffled within the shard."""
+    """Rows of ``mixed_documents`` in their output order: shard by shard, shuffled within the shard."""
     return rows.repartitionByRange(shards, "shard", "position").sortWithinPartitions("shard", "position")

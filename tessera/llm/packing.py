@@ -42,7 +42,7 @@ class Encoder:
 
     #: white space other than a single blank or line end between two words, or characters that the
     #: tokeniser and Python may class differently
-    ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x00\x1c-\x1f᠎​-‍⁠﻿]")
+    ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x00\x1c-\x1f\u180e\u200b-\u200d\u2060\ufeff]")
 
     def __init__(self, path: str, cache: dict):
         if "tokenizer" not in cache:

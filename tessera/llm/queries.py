@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, mixing, near_dup, packing, sharding, substring, topk, toxicity, url_filter
+from tessera.llm import ann, mixing, near_dup, packing, sharding, substring, suffix, topk, toxicity, url_filter
 from tessera.llm.common import table
 
 #: The URL rules of the query.
@@ -49,6 +49,10 @@ def op7_minhash_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix.drop_repeated_strings(table(spark, sf_dir, "documents"), span=200)
+
+
 def op9_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -69,6 +73,6 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op6_substring_dedup, op7_minhash_near_dup, op9_ann, op10_toxicity)}
+REGISTRY = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op6_substring_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_ann, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
