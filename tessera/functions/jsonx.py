@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import _c, first_tag_or_null, let, strip, wrap
 
-# The CAD document (one JSON object per row) without the fields that cleaning
+# The field names of the CAD document (one JSON object per row) without the fields that cleaning
 # removes (top-level ``final_shape`` and each part's ``description``): parsing
 # with this schema prunes them for free.
 POINT = "array<double>"
@@ -28,21 +28,18 @@ CAD_SCHEMA = f"struct<parts: map<string, {PART}>>"
 OPERATIONS = ["NewBodyFeatureOperation", "JoinFeatureOperation",
               "CutFeatureOperation", "IntersectFeatureOperation"]
 
-def json_maps_last_win() -> None:
-    """A repeated JSON key keeps its first position and its last value (as a
-    Python dict does) when ``dedup_map`` rebuilds a parsed map, instead of
-    failing the job (Spark's default for duplicate map keys)."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.conf.get("spark.sql.mapKeyDedupPolicy") != "LAST_WIN":
-        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-
 
 def dedup_map(m) -> Column:
     """``from_json`` keeps repeated object keys as repeated map entries; rebuild
-    the map so each key appears once (last value wins)."""
-    json_maps_last_win()
-    return F.map_from_entries(F.map_entries(m))
+    the map so each key appears once, at its first place with its last value
+    (as a Python dict).  Works under any map-key policy of the session."""
+    def rebuilt(x):
+        back = F.reverse(F.map_entries(x))
+        keys = F.transform(back, lambda e: e["key"])
+        return F.map_from_entries(F.transform(F.array_distinct(F.map_keys(x)), lambda k: F.struct(
+            k.alias("key"), F.get(back, (F.array_position(keys, k) - 1).cast("int"))["value"].alias("value"))))
+    return let(m, lambda x: F.when(F.size(F.array_distinct(F.map_keys(x))) == F.size(F.map_keys(x)), x)
+               .otherwise(rebuilt(x)))
 
 
 _STRICT_OPTS = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
@@ -53,10 +50,14 @@ _STRICT_OPTS = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false"
 def is_strict_json(col) -> Column:
     """True when the text is exactly one JSON value that Python's ``json.loads``
     accepts: no trailing text, no single quotes, no leading zeros.  NaN and
-    Infinity are accepted (as Python does).  Never null."""
-    wrapped = F.concat(F.lit("["), _c(col), F.lit("]"))
-    return F.coalesce(F.size(F.from_json(wrapped, "array<string>", _STRICT_OPTS)) == 1,
-                      F.lit(False))
+    Infinity are accepted (as Python does).  Never null.
+
+    The text is parsed inside an array and inside an object that ends with a
+    marker; one text cannot close both brackets and open them again."""
+    in_array = F.from_json(F.concat(F.lit("["), _c(col), F.lit("]")), "array<string>", _STRICT_OPTS)
+    in_object = F.from_json(F.concat(F.lit('{"_v":'), _c(col), F.lit(',"_e":7}')),
+                            "struct<_v: string, _e: int>", _STRICT_OPTS)
+    return F.coalesce((F.size(in_array) == 1) & (in_object["_e"] == 7), F.lit(False))
 
 
 def is_json_object(col) -> Column:
@@ -73,10 +74,10 @@ def json_block(col) -> Column:
 def part_count(doc) -> Column:
     """Number of keys of ``doc.parts`` that start with ``part_<digits>``; 0 when
     the document is null, empty, has no ``parts`` or ``parts`` is not an object."""
-    keys = F.json_object_keys(F.get_json_object(_c(doc), "$.parts"))
+    keys = F.map_keys(F.from_json(_c(doc), "struct<parts: map<string, string>>")["parts"])
     # size(null) is null (ANSI) or -1 (legacy): both become 0
     n = F.size(F.filter(F.array_distinct(keys), lambda k: k.rlike("^part_[0-9]+")))
-    return F.greatest(n, F.lit(0)).cast("bigint")
+    return F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("bigint")
 
 
 def completion_part_count(completion) -> Column:
@@ -85,8 +86,7 @@ def completion_part_count(completion) -> Column:
 
 
 def _parts_all_objects(doc) -> Column:
-    json_maps_last_win()
-    parts = F.get_json_object(doc, "$.parts")
+    parts = F.from_json(doc, "struct<parts: string>")["parts"]
     vals = F.map_values(F.from_json(parts, "map<string,string>"))
     return (parts.isNull()
             | (F.startswith(parts, F.lit("{"))
@@ -94,7 +94,7 @@ def _parts_all_objects(doc) -> Column:
 
 
 def clean_cad_json(col, schema: str = CAD_SCHEMA) -> Column:
-    """Typed cleaning (X5, native): parse with the CAD schema (which leaves out
+    """Typed, lossy cleaning (X5, JVM-side): parse with the CAD schema (which leaves out
     ``final_shape`` and per-part ``description``), re-serialise compactly and
     wrap as ``<json>\\n…\\n</json>``.  Null when the text is not one JSON object
     or a part is not an object.  Numbers come back as doubles and fields outside

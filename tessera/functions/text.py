@@ -101,13 +101,18 @@ def tag_from_tokens(tags, pieces, tag) -> Column:
     else:
         open_ = F.concat(F.lit("<"), tag, F.lit(">"))
         close = F.concat(F.lit("</"), tag, F.lit(">"))
-    a = F.array_position(t, open_)
-    rel = F.array_position(F.slice(t, F.greatest(a, F.lit(0)) + 1, F.greatest(F.size(t), F.lit(1))),
-                           close)
-    b = a + rel
-    inner = F.array_join(F.transform(F.sequence(a, b - 1), lambda k: F.concat(
-        F.get(pc, k), F.when(k < b - 1, F.get(t, k)).otherwise(F.lit("")))), "")
-    return F.when((a > 0) & (rel > 0), F.when(rel == 1, F.get(pc, a)).otherwise(inner))
+
+    def between(a, rel):
+        b = a + rel
+        inner = F.array_join(F.transform(F.sequence(a, b - 1), lambda k: F.concat(
+            F.get(pc, k.cast("int")), F.when(k < b - 1, F.get(t, k.cast("int"))).otherwise(F.lit("")))), "")
+        return F.when(rel == 1, F.get(pc, a.cast("int"))).when(rel > 0, inner)
+
+    def after(a):
+        rest = F.slice(t, (a + 1).cast("int"), F.greatest(F.size(t), F.lit(1)))
+        return F.when(a > 0, let(F.array_position(rest, close), lambda rel: between(a, rel)))
+
+    return let(F.array_position(t, open_), after)
 
 
 def description_block(col) -> Column:

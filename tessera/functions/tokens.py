@@ -35,7 +35,8 @@ def make_token_counter(count_fn: Callable[[str], int]):
 
 def bucket_start(n, width: int = 500) -> Column:
     """``(n // width) * width``."""
-    return (F.floor(_c(n) / F.lit(width)) * F.lit(width)).cast("bigint")
+    n = _c(n).cast("bigint")
+    return n - F.pmod(n, F.lit(int(width)))
 
 
 def bucket_label(n, width: int = 500) -> Column:

@@ -7,9 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.jsonx import (OPERATIONS, POINT, dedup_map, json_block,
-                                     json_maps_last_win, part_count)
-from tessera.functions.text import _c
+from tessera.functions.jsonx import OPERATIONS, POINT, dedup_map, json_block, part_count
+from tessera.functions.text import _c, let
 
 
 def part_entries(doc) -> Column:
@@ -29,11 +28,11 @@ def progressive_docs(df: DataFrame, completion_col: str = "completion",
     with ``transform(sequence(1, n), …)`` over the parsed part list."""
     e = part_entries(json_block(F.col(completion_col)))
     items = F.transform(e, lambda x: F.concat(_json_key(x["key"]), F.lit(":"), x["value"]))
-    docs = F.transform(F.sequence(F.lit(1), F.size(items)), lambda k: F.struct(
-        k.cast("int").alias("k"),
-        F.concat(F.lit('{"parts":{'), F.array_join(F.slice(items, 1, k), ","), F.lit("}}")).alias("doc")))
-    return (df.select(*keep, F.explode(F.when(F.size(items) > 0, docs)).alias("d"))
-              .select(*keep, "d.k", "d.doc"))
+    docs = let(items, lambda it: F.when(F.size(it) > 0, F.transform(
+        F.sequence(F.lit(1), F.size(it)), lambda k: F.struct(
+            k.cast("int").alias("k"),
+            F.concat(F.lit('{"parts":{'), F.array_join(F.slice(it, 1, k), ","), F.lit("}}")).alias("doc")))))
+    return df.select(*keep, F.explode(docs).alias("d")).select(*keep, "d.k", "d.doc")
 
 
 def same_json(a, b) -> Column:
@@ -63,7 +62,6 @@ def progressive_check(judged: DataFrame, completion_col: str = "completion",
 def operation_check(df: DataFrame, completion_col: str = "completion", keep=("id",),
                     allowed=OPERATIONS) -> DataFrame:
     """Every part's ``extrusion.operation`` is one of the allowed values."""
-    json_maps_last_win()
     parsed = F.from_json(json_block(F.col(completion_col)),
                          "struct<parts: map<string, struct<extrusion: struct<operation: string>>>>")
     ops = F.transform(F.map_values(dedup_map(parsed["parts"])), lambda p: p["extrusion"]["operation"])
@@ -73,7 +71,8 @@ def operation_check(df: DataFrame, completion_col: str = "completion", keep=("id
                      F.coalesce(F.size(ops) == F.size(ok), F.lit(True)).alias("all_valid"))
 
 
-NUMBER_PATTERN = r"-?[0-9]+(?:\.[0-9]+)?"
+NUMBER_PATTERN = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+STRING_PATTERN = r'"(?:[^"\\]|\\.)*"'
 
 
 def numbers(col) -> Column:
@@ -82,11 +81,16 @@ def numbers(col) -> Column:
                                         lambda s: s.try_cast("double")))
 
 
+def json_numbers(col) -> Column:
+    """Distinct number values of a JSON text: keys and string values do not count."""
+    return numbers(F.regexp_replace(_c(col), F.lit(STRING_PATTERN), F.lit('""')))
+
+
 def number_coverage(df: DataFrame, json_col, text_col, keep=("id",)) -> DataFrame:
-    """How many distinct numbers of the JSON also appear in the text."""
-    jn, tn = numbers(json_col), numbers(text_col)
-    return df.select(*keep, F.size(jn).cast("bigint").alias("n_json_numbers"),
-                     F.size(F.array_intersect(jn, tn)).cast("bigint").alias("n_covered"))
+    """How many distinct number values of the JSON also appear in the text."""
+    return (df.select(*keep, json_numbers(json_col).alias("_jn"), numbers(text_col).alias("_tn"))
+              .select(*keep, F.size("_jn").cast("bigint").alias("n_json_numbers"),
+                      F.size(F.array_intersect("_jn", "_tn")).cast("bigint").alias("n_covered")))
 
 
 def loop_closure(df: DataFrame, completion_col: str = "completion", keep=("id",)) -> DataFrame:
@@ -96,7 +100,6 @@ def loop_closure(df: DataFrame, completion_col: str = "completion", keep=("id",)
     after ``line_9``).  Row-local higher-order functions, no window."""
     prim = f"struct<`Start Point`: {POINT}, `End Point`: {POINT}, Center: {POINT}, Radius: double>"
     schema = f"struct<parts: map<string, struct<sketch: map<string, map<string, map<string, {prim}>>>>>>"
-    json_maps_last_win()
     parsed = F.from_json(json_block(F.col(completion_col)), schema)
     rows = (df.select(*keep, F.explode(dedup_map(parsed["parts"])).alias("part", "p"))
               .select(*keep, "part", F.explode("p.sketch").alias("face", "f"))
@@ -106,15 +109,17 @@ def loop_closure(df: DataFrame, completion_col: str = "completion", keep=("id",)
             F.regexp_extract(e["key"], r"([0-9]+)$", 1).try_cast("bigint").alias("n"),
             e["key"].alias("key"), e["value"].alias("v"))),
         lambda a, b: F.when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0))
-    n = F.size(prims)
     segs = F.filter(prims, lambda p: ~F.startswith(p["key"], F.lit("circle")))
-    ns = F.size(segs)
-    links = F.transform(F.sequence(F.lit(0), ns - 1), lambda i: F.get(segs, i)["v"]["End Point"]
-                        == F.get(segs, (i + 1) % ns)["v"]["Start Point"])
-    closed = F.when(ns == 0, F.lit(True)).otherwise(
-        F.coalesce(F.forall(links, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)))
-    return rows.select(*keep, "part", "face", "loop", n.cast("bigint").alias("n_prims"),
-                       closed.alias("closed"))
+    ends = F.transform(segs, lambda p: F.struct(p["v"]["Start Point"].alias("start"), p["v"]["End Point"].alias("end")))
+
+    def is_closed(s):
+        # each end against the start of the next segment: the list beside its rotation
+        turned = F.concat(F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), F.slice(s, 1, 1))
+        same = F.zip_with(s, turned, lambda a, b: F.coalesce(a["end"] == b["start"], F.lit(False)))
+        return F.coalesce(F.forall(same, lambda x: x), F.lit(False))
+
+    return rows.select(*keep, "part", "face", "loop", F.size("l").cast("bigint").alias("n_prims"),
+                       let(ends, is_closed).alias("closed"))
 
 
 def route_by_parts(df: DataFrame, lang_col: str = "lang", completion_col: str = "completion"
@@ -126,4 +131,5 @@ def route_by_parts(df: DataFrame, lang_col: str = "lang", completion_col: str =
 
 
 __all__ = ["part_entries", "progressive_docs", "progressive_check", "operation_check",
-           "number_coverage", "loop_closure", "route_by_parts", "same_json", "numbers"]
+           "number_coverage", "loop_closure", "route_by_parts", "same_json", "numbers",
+           "json_numbers"]

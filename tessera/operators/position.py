@@ -24,18 +24,34 @@ from tessera.session import ensure_checkpoint_dir, scratch_dir
 _LOCAL_BITS = 33   # monotonically_increasing_id(): partition id << 33 | row index
 
 
+PARTITION_BYTES = 128 << 20
+
+
+def input_partitions(df: DataFrame) -> int:
+    """A partition per 128 MB of the tables that ``df`` reads, and at least the configured shuffle
+    width (work on the rows is CPU-bound, so small inputs still get all cores)."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)      # frames without statistics report the largest number
+    return max(width, -(-known // PARTITION_BYTES))
+
+
 def with_ord(df: DataFrame, order_by, ord_col: str = "ord",
              num_partitions: int | None = None, materialize: str = "table") -> DataFrame:
     """Add a dense 0-based position in ``order_by`` order (keys must be unique).
+    A frame that has ``ord_col`` already keeps it: positions are given once, at
+    ingest.  Partitions are sized by the bytes of the tables read
+    (``input_partitions``).
 
     ``materialize="table"`` writes the numbered rows as parquet under the
     shared checkpoint folder; ``"checkpoint"`` uses a reliable ``checkpoint()``
     there instead (row format, no column pruning on re-read)."""
+    if ord_col in df.columns:
+        return df
     cols = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
     spark = df.sparkSession
-    # the configured shuffle width: downstream work on these rows is narrow and
-    # CPU-bound (text scans), so byte-based coalescing would starve it of tasks
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or input_partitions(df)
     numbered = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     if materialize == "checkpoint":
@@ -103,7 +119,7 @@ def with_batches(df: DataFrame, batch_size: int, start: int = 0,
                  ord_col: str = "ord") -> DataFrame:
     """``batch_id = (ord - start) div k`` and 1-based ``pos`` in the batch."""
     rel = F.col(ord_col) - F.lit(start)
-    return (df.withColumn("batch_id", F.floor(rel / F.lit(batch_size)).cast("bigint"))
+    return (df.withColumn("_rel", rel).withColumn("batch_id", F.expr(f"_rel div {int(batch_size)}L")).drop("_rel")
               .withColumn("pos", (rel % F.lit(batch_size) + 1).cast("int")))
 
 
@@ -121,5 +137,5 @@ def worker_slices(df: DataFrame, workers: int, per_worker: int, start: int = 0,
     if per == 0:
         sid = F.lit(0)
     else:
-        sid = F.least(F.floor((F.col(ord_col) - F.lit(start)) / F.lit(per)), F.lit(workers - 1))
+        sid = F.least(F.expr(f"(`{ord_col}` - {int(start)}L) div {int(per)}L"), F.lit(workers - 1))
     return rows.withColumn("slice_id", sid.cast("int")), planned

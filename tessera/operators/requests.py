@@ -102,11 +102,13 @@ def inference_requests(df: DataFrame, text_col: str, template: str = TRAIN_INSTR
 
 
 def chat_pairs(df: DataFrame, prompt_col: str = "prompt", completion_col: str = "completion",
-               chat_template: dict | None = None) -> DataFrame:
-    """Prompt → ``[{user}]``, completion → ``[{assistant}]`` and the rendered
-    training text (P10, P12, C9)."""
-    return (df.withColumn("prompt_messages", chat.messages(("user", F.col(prompt_col))))
-              .withColumn("completion_messages",
-                          chat.messages(("assistant", F.col(completion_col))))
+               system_col: str | None = None, chat_template: dict | None = None) -> DataFrame:
+    """Prompt → ``[{system}, {user}]``, completion → ``[{assistant}]`` and the rendered
+    training text (P10, P12, C9).  A null system, prompt or completion gives no message; an
+    unanswered prompt renders up to its user message."""
+    present = lambda m: F.filter(m, lambda x: x["content"].isNotNull())
+    head = [("system", F.col(system_col))] if system_col else []
+    return (df.withColumn("prompt_messages", present(chat.messages(*head, ("user", F.col(prompt_col)))))
+              .withColumn("completion_messages", present(chat.messages(("assistant", F.col(completion_col)))))
               .withColumn("text", chat.render(F.concat("prompt_messages", "completion_messages"),
                                               chat_template)))

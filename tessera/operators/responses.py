@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.jsonx import completion_part_count
-from tessera.functions.text import (first_tag_or_null, is_blank, not_blank, numbered_tag,
-                                    strip, tag_from_tokens, tag_tokens)
+from tessera.functions.text import (first_tag_or_null, is_blank, not_blank, strip, tag_from_tokens,
+                                    tag_tokens)
 
 TURN_FIELDS = (("input", "prompt"), ("think", "think"), ("json", "json"))
 
@@ -34,61 +34,47 @@ def unbatch(requests: DataFrame, responses: DataFrame, batch_size: int,
     return out.withColumn("new_length", F.coalesce(F.length("content"), F.lit(0)).cast("bigint"))
 
 
-def turns(content, max_parts: int) -> Column:
-    """``array<struct<turn, input, think, json>>`` for turns 1..max_parts (X8, P16);
-    absent tags are ``""``.  One ``locate`` pair per tag; ``with_turns`` is the
-    faster form for many turns."""
-    c = content if isinstance(content, Column) else F.col(content)
-    items = []
-    for i in range(1, max_parts + 1):
-        fields = [F.lit(i).alias("turn")]
-        for out, tag in TURN_FIELDS:
-            fields.append(F.coalesce(numbered_tag(c, tag, i), F.lit("")).alias(out))
-        items.append(F.struct(*fields))
-    return F.array(*items)
-
-
-def with_turns(df: DataFrame, max_parts: int, content_col: str = "content",
+def with_turns(df: DataFrame, max_parts: int | None = None, content_col: str = "content",
                out: str = "turns") -> DataFrame:
-    """Add the ``turns`` array by tokenising the content once (two regex
-    passes) instead of scanning it once per tag: the tag arrays are columns of
-    an intermediate projection and every turn field reads them."""
+    """Add ``array<struct<turn, input, think, json>>`` of the turns that exist in the row's own tags,
+    in order (X8, P16); an absent field of an existing turn is ``""``.
+
+    The content is tokenised once (two regex passes); a row's work depends on its own tags only.
+    Turns after ``max_parts`` are ignored, as the answers of parts the dataset does not have."""
     tags, pieces = tag_tokens(F.col(content_col), [t for _, t in TURN_FIELDS])
     step = df.withColumn("_tags", tags).withColumn("_pieces", pieces)
-    items = []
-    for i in range(1, max_parts + 1):
-        fields = [F.lit(i).alias("turn")]
-        for name, tag in TURN_FIELDS:
-            fields.append(F.coalesce(strip(tag_from_tokens("_tags", "_pieces", f"{tag}_{i}")),
-                                     F.lit("")).alias(name))
-        items.append(F.struct(*fields))
-    return step.withColumn(out, F.array(*items)).drop("_tags", "_pieces")
+    rx = r"^<(?:" + "|".join(t for _, t in TURN_FIELDS) + r")_([1-9][0-9]*)>$"
+    numbers = F.array_sort(F.array_distinct(F.filter(
+        F.transform("_tags", lambda t: F.regexp_extract(t, rx, 1).try_cast("int")), lambda n: n.isNotNull())))
+    if max_parts is not None:
+        numbers = F.filter(numbers, lambda n: n <= F.lit(max_parts))
+    items = F.transform(numbers, lambda n: F.struct(n.alias("turn"), *[
+        strip(tag_from_tokens("_tags", "_pieces", F.concat(F.lit(f"{tag}_"), n.cast("string")))).alias(name)
+        for name, tag in TURN_FIELDS]))
+    found = F.filter(items, lambda t: F.coalesce(*[t[name] for name, _ in TURN_FIELDS]).isNotNull())
+    filled = F.transform(found, lambda t: F.struct(t["turn"].alias("turn"), *[
+        F.coalesce(t[name], F.lit("")).alias(name) for name, _ in TURN_FIELDS]))
+    # a row without content has no turns
+    return step.withColumn(out, F.coalesce(filled, F.filter(F.array(F.struct(
+        F.lit(0).alias("turn"), *[F.lit("").alias(name) for name, _ in TURN_FIELDS])), lambda t: t["turn"] > 0))
+        ).drop("_tags", "_pieces")
 
 
 def _complete(t) -> Column:
     return not_blank(t["input"]) & not_blank(t["think"]) & not_blank(t["json"])
 
 
-def barrier(df: DataFrame) -> DataFrame:
-    """Return ``df`` unchanged behind a one-row-per-row generator.
-
-    Predicate pushdown rewrites a filter on a computed column into a copy of
-    that column's expression, without a cost check; for the turn arrays that
-    copy is dozens of text scans per row.  Columns produced by a generator
-    cannot be pushed through it, so filters stay above and every expression
-    below is evaluated once."""
-    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
-
-
-def verdict(parsed: DataFrame, max_parts: int, content_col: str = "content",
+def verdict(parsed: DataFrame, max_parts: int | None = None, content_col: str = "content",
             completion_col: str = "completion") -> DataFrame:
     """Per-row verdict (C2, A13): ``turns`` array, ``generated`` (complete turns),
-    ``original_parts`` and ``is_failed``; the row is kept either way."""
-    step = (with_turns(parsed, max_parts, content_col)
+    ``original_parts`` and ``is_failed``; the row is kept either way.  A
+    ``part_count`` column is used if there is one.  Store the result once (as the jobs do) before
+    filtering on it: pushdown would copy the turn expressions into the filter."""
+    parts = F.col("part_count") if "part_count" in parsed.columns else completion_part_count(F.col(completion_col))
+    return (with_turns(parsed, max_parts, content_col)
             .withColumn("generated", F.size(F.filter("turns", _complete)).cast("bigint"))
-            .withColumn("original_parts", completion_part_count(F.col(completion_col))))
-    return barrier(step).withColumn("is_failed", (F.col("generated") == 0)
-                                    | (F.col("generated") != F.col("original_parts")))
+            .withColumn("original_parts", parts)
+            .withColumn("is_failed", (F.col("generated") == 0) | (F.col("generated") != F.col("original_parts"))))
 
 
 def turns_long(judged: DataFrame, keep=("id",)) -> DataFrame:
@@ -101,15 +87,17 @@ def turns_long(judged: DataFrame, keep=("id",)) -> DataFrame:
 
 def widen(judged: DataFrame, max_parts: int, keep=("id",),
           original_col: str = "completion") -> DataFrame:
-    """Wide rows ``id, original_completion, new_length, input_i, think_i, json_i``
+    """``max_parts``: the width that the survey measured.  Wide rows ``id, original_completion, new_length, input_i, think_i, json_i``
     for i in 1..max_parts with ``""`` defaults (P14, P15) — a projection of the
     row's own turn array, no pivot and no shuffle."""
     cols = [*keep, F.coalesce(F.col(original_col), F.lit("")).alias("original_completion"),
             F.coalesce(F.col("new_length"), F.lit(0)).cast("bigint").alias("new_length")]
+    by_turn = judged.withColumn("_turns", F.map_from_entries(F.transform(
+        "turns", lambda t: F.struct(t["turn"], t))))
     for i in range(1, max_parts + 1):
         for out, _ in TURN_FIELDS:
-            cols.append(F.coalesce(F.get(F.col("turns"), i - 1)[out], F.lit("")).alias(f"{out}_{i}"))
-    return judged.select(*cols)
+            cols.append(F.coalesce(F.try_element_at("_turns", F.lit(i))[out], F.lit("")).alias(f"{out}_{i}"))
+    return by_turn.select(*cols)
 
 
 def unwiden(wide: DataFrame, max_parts: int, keep=("id",)) -> DataFrame:
@@ -125,6 +113,12 @@ def unwiden(wide: DataFrame, max_parts: int, keep=("id",)) -> DataFrame:
                              F.col("t.json"), F.lit("\n</json>")).alias("completion"))
 
 
+def accept_counts(judged: DataFrame) -> DataFrame:
+    """Accepted and rejected rows (A12), one row."""
+    return judged.agg(F.count_if("accepted").cast("bigint").alias("n_accepted"),
+                      F.count_if(~F.col("accepted")).cast("bigint").alias("n_rejected"))
+
+
 def accept(df: DataFrame, response_col: str = "response") -> DataFrame:
     """Accept/reject one answer (F2, P6): ``<valid>`` stripped must equal ``Yes``
     and the untrimmed description and think blocks must be non-empty
@@ -141,4 +135,4 @@ def accept(df: DataFrame, response_col: str = "response") -> DataFrame:
                   F.lit("<think>"), think, F.lit("</think>")))))
 
 
-__all__ = ["unbatch", "turns", "verdict", "turns_long", "widen", "unwiden", "accept", "is_blank"]
+__all__ = ["unbatch", "with_turns", "verdict", "turns_long", "widen", "unwiden", "accept", "is_blank"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.jsonx import completion_part_count
+from tessera.functions.jsonx import json_block, part_count as doc_part_count
 from tessera.functions.tokens import approx_token_count
 
 
@@ -15,7 +15,10 @@ class SurveyGateError(RuntimeError):
 
 def with_part_count(df: DataFrame, completion_col: str = "completion",
                     out: str = "part_count") -> DataFrame:
-    return df.withColumn(out, completion_part_count(F.col(completion_col)))
+    """Add the part count and ``parsed``: the document is one non-empty JSON object."""
+    return (df.withColumn("_doc", json_block(F.col(completion_col)))
+              .withColumn(out, doc_part_count(F.col("_doc")))
+              .withColumn("parsed", F.coalesce(F.size(F.json_object_keys("_doc")) > 0, F.lit(False))).drop("_doc"))
 
 
 def survey(df: DataFrame, expected_parts: int | None = None,
@@ -42,10 +45,12 @@ def survey(df: DataFrame, expected_parts: int | None = None,
 def histogram(df: DataFrame, part_col: str = "part_count",
               include_zero: bool = False) -> DataFrame:
     """Part-count histogram (A2/A4): ``part_count, n, pct`` ordered by count.
+    With ``include_zero`` parsed documents without parts count too (``parsed``
+    of ``with_part_count``); rows without a document never do.
     ``pct`` is the share of counted rows, rounded half-up to one decimal with
     integer arithmetic.  The histogram has one row per distinct count, so the
     ``sum over ()`` window runs on a handful of rows."""
-    rows = df if include_zero else df.where(F.col(part_col) > 0)
+    rows = df.where("parsed") if include_zero else df.where(F.col(part_col) > 0)
     h = rows.groupBy(part_col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     tot = F.sum("n").over(Window.partitionBy())
     return (h.withColumn("_tot", tot)

@@ -167,12 +167,21 @@ def batched_cad(spark: SparkSession, sf_dir: str, batch_size: int = 4) -> DataFr
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turn t with the assistant turn t+1 of the same conversation."""
+    """``conv_id, turn, system, prompt, completion``: every user turn with the assistant turn after it
+    (null if unanswered) and the system text of its conversation (null if there is none); an
+    assistant turn that answers no user turn is a pair without prompt.  Every row of the table is
+    in a pair.  The rows of a conversation are grouped once (a conversation is one example)."""
     c = table(spark, sf_dir, "conversations")
-    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    a = c.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion"))
-    return u.join(a, ["conv_id", "turn"])
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    role = lambda r: F.filter("t", lambda x: x["role"] == r)
+    pair = lambda turn, u, a: F.struct(turn.alias("turn"), u.alias("prompt"), a.alias("completion"))
+    asked = F.transform("u", lambda u: pair(u["turn"], u["text"], F.get(F.filter(
+        "a", lambda a: a["turn"] == u["turn"] + 1), 0)["text"]))
+    unasked = F.transform(F.filter("a", lambda a: ~F.exists("u", lambda u: u["turn"] + 1 == a["turn"])),
+                          lambda a: pair(a["turn"], F.lit(None).cast("string"), a["text"]))
+    system = F.when(F.size(role("system")) > 0, F.array_join(F.transform(role("system"), lambda x: x["text"]), "\n"))
+    g = g.select("conv_id", system.alias("system"), role("user").alias("u"), role("assistant").alias("a"))
+    return g.select("conv_id", "system", F.inline_outer(F.concat(asked, unasked)))
 
 
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

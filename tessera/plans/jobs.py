@@ -1,9 +1,12 @@
 """End-to-end jobs (C3-C8) composed from the operators.
 
-Each job returns lazy DataFrames; ``publish_*`` helpers write them.  Model
-calls are not part of the library: a *responder* turns requests into a
-``(key, response)`` table — a stand-in in tests, or a user's
-``mapInPandas`` hook around a model client (see ``model_hook``).
+Model calls are not part of the library: a *responder* turns requests into a
+``(key, response)`` table — a stand-in in tests, or a user's ``mapInPandas``
+hook around a model client (see ``model_hook``).  Jobs write the requests, the
+responses and the judged rows once and read them back, so each request is sent
+once however many consumers follow, and the logs match the published rows.
+``publish_*`` helpers write the results as named splits and the logs; run a job
+and its publishing inside ``session.scratch_space`` to drop its tables.
 """
 
 from __future__ import annotations
@@ -14,11 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.jsonx import clean_cad_json, clean_cad_json_exact, json_block
-from tessera.functions.names import bucket_split_name, range_split_name
+from tessera.functions.jsonx import clean_cad_json, clean_cad_json_exact
+from tessera.functions.names import (bucket_split_name, parts_split_name, range_split_name,
+                                     retry_split_name)
 from tessera.functions.text import description_block, first_tag
 from tessera.functions.tokens import approx_token_count, bucket_label
 from tessera.operators import position, requests as rq, responses as rs, retry, survey
+from tessera.session import stored
+from tessera.sources import logs, splits
 
 Responder = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -48,12 +54,13 @@ def model_hook(call: Callable[[str], str | None], key_col: str = "batch_id",
 
 # ---------------------------------------------------------------- C6
 def clean_and_bucket(stage1: DataFrame, width: int = 500, labels=("en", "vi"),
-                     json_mode: str = "typed", counter=approx_token_count,
+                     json_mode: str = "exact", counter=approx_token_count,
                      ord_col: str = "ord") -> DataFrame:
-    """Language by position → description block → cleaned JSON → drop invalid
+    """``json_mode``: "exact" keeps every field and spelling of the cleaned document;
+    "typed_lossy" stays in the JVM but keeps schema fields only.  Language by position → description block → cleaned JSON → drop invalid
     → token count → ``range_{a}_{b}_{lang}`` split (C6).  One narrow plan; the
     only wide step is the final partitioned write."""
-    clean = clean_cad_json_exact if json_mode == "exact" else clean_cad_json
+    clean = {"exact": clean_cad_json_exact, "typed_lossy": clean_cad_json}[json_mode]
     df = position.deinterleave(stage1, labels, ord_col)
     df = (df.withColumn("prompt", description_block(F.col("prompt")))
             .withColumn("completion", clean(F.col("completion")))
@@ -62,6 +69,11 @@ def clean_and_bucket(stage1: DataFrame, width: int = 500, labels=("en", "vi"),
     return df.withColumn("split", bucket_split_name(bucket_label(F.col("n_tokens"), width), F.col("lang")))
 
 
+def publish_buckets(cleaned: DataFrame, path: str) -> None:
+    """Write every bucket of ``clean_and_bucket`` as a named split."""
+    splits.write_splits(cleaned, path)
+
+
 # ---------------------------------------------------------------- P3-P5
 def assemble_train(reasoned: DataFrame, instruction: str = rq.TRAIN_INSTRUCTION,
                    keep=("doc_id",)) -> DataFrame:
@@ -84,10 +96,33 @@ def reasoning_job(bucket: DataFrame, responses: DataFrame, split: str, start: in
     return judged, range_split_name(split, start, e)
 
 
+def run_reasoning(bucket: DataFrame, responder: Responder, split: str, start: int, end: int | None,
+                  clamp_name: bool = False, ord_col: str = "ord") -> dict:
+    """C5 from rows to verdicts: slice → one request per row (P7) → responses, stored once →
+    accept/reject, stored once.  ``bucket`` has ``ord, prompt, completion``."""
+    sliced = position.slice_range(bucket, start, end, ord_col)
+    reqs = stored(rq.single_requests(sliced).select(ord_col, "request"), "reasoning-requests")
+    responses = stored(responder(sliced, reqs).select(ord_col, "response"), "reasoning-responses")
+    judged, name = reasoning_job(bucket, responses, split, start, end, clamp_name, ord_col)
+    judged = stored(judged, "reasoning-judged")
+    return {"judged": judged, "requests": reqs, "split": name, "counts": rs.accept_counts(judged)}
+
+
+def publish_reasoning(job: dict, path: str, log_base: str, ord_col: str = "ord") -> dict:
+    """Accepted rows as a named split (S3), rejected positions as a log."""
+    judged = job["judged"]
+    splits.write_splits(judged.where("accepted").select(
+        "description", "reasoning", "completion", F.lit(job["split"]).alias("split")), path)
+    folder = f"{log_base}/valid_{job['split']}"
+    logs.write_invalid_positions(judged.where(~F.col("accepted")), folder, ord_col)
+    return {"split": job["split"], "invalid": folder}
+
+
 # ---------------------------------------------------------------- C7 / C8
 def predictions(source: DataFrame, responses: DataFrame, key: str = "uid",
                 input_col: str = "input", output_col: str = "output") -> DataFrame:
-    """Inference results beside the truth."""
+    """Inference results beside the truth (C7, J4, P13).  ``key`` is unique in
+    ``responses``; a repeated key would repeat its source row."""
     r = F.col("response")
     j = source.join(responses, key, "left")
     return j.select(key, F.col(input_col).alias("input"),
@@ -105,7 +140,42 @@ def predictions_range(source: DataFrame, responses: DataFrame, split: str, start
     return predictions(sliced, responses, key, **kw), range_split_name(split, start, e)
 
 
+def run_predictions(source: DataFrame, responder: Responder, split: str, start: int = 0,
+                    end: int | None = None, key: str = "uid", ord_col: str = "ord",
+                    input_col: str = "input", output_col: str = "output") -> dict:
+    """C7/C8 from rows to predictions: slice → rendered requests (P9) → responses, stored once →
+    results beside the truth.  ``source`` has ``ord`` if a range is asked for."""
+    name = split
+    if start or end is not None:
+        e = position.clamped_end(source, end)
+        source, name = position.slice_range(source, start, e, ord_col), range_split_name(split, start, e)
+    reqs = stored(rq.inference_requests(source, input_col).select(key, F.col("rendered").alias("request")), "pred-requests")
+    responses = stored(responder(source, reqs).select(key, "response"), "pred-responses")
+    out = stored(predictions(source, responses, key, input_col, output_col), "predictions")
+    return {"predictions": out, "requests": reqs, "split": name}
+
+
+def publish_predictions(job: dict, path: str) -> str:
+    """The predictions as a named split (S3)."""
+    splits.write_splits(job["predictions"].withColumn("split", F.lit(job["split"])), path)
+    return job["split"]
+
+
 # ---------------------------------------------------------------- C3
+def _with_id(data: DataFrame, id_col: str, ord_col: str) -> DataFrame:
+    """Rows without an id column are named by their position (X13); a null id stays null."""
+    if id_col in data.columns:
+        return data
+    return data.withColumn(id_col, F.concat(F.lit("unknown_"), F.col(ord_col).cast("string")))
+
+
+def _respond(batched: DataFrame, responder: Responder, batch_size: int, max_parts: int) -> tuple[DataFrame, DataFrame]:
+    """Requests, then the judged rows: requests, responses and verdicts are each written once."""
+    reqs = stored(rq.batch_requests(batched), "requests")
+    responses = stored(responder(batched, reqs).select("batch_id", "response"), "responses")
+    return reqs, stored(rs.verdict(rs.unbatch(batched, responses, batch_size), max_parts), "judged")
+
+
 def multi_turn_job(data: DataFrame, responder: Responder, batch_size: int = 5,
                    expected_parts: int | None = None, start: int = 0,
                    workers: int | None = None, per_worker: int | None = None,
@@ -114,59 +184,73 @@ def multi_turn_job(data: DataFrame, responder: Responder, batch_size: int = 5,
     """Survey → gate → slice → batch → respond → un-batch → verdict.
 
     ``data`` has ``completion`` and ``ord`` (and ``id``; without it the id is
-    ``unknown_{ord}``).  Returns lazy frames ``judged`` (one row per input row,
-    ok or failed), ``requests``, ``failed_ids`` and the driver-side survey
-    dict, ``max_parts`` and ``split`` name."""
-    if id_col not in data.columns:
-        data = data.withColumn(id_col, F.concat(F.lit("unknown_"), F.col(ord_col).cast("string")))
-    data = survey.with_part_count(data)
+    ``unknown_{ord}``).  Returns the stored frames ``judged`` (one row per input
+    row, ok or failed) and ``requests``, ``failed_ids``, and the driver-side
+    survey dict, ``max_parts`` and ``split`` name."""
+    data = survey.with_part_count(_with_id(data, id_col, ord_col))
     s = survey.gate(survey.survey(data, expected_parts), expected_parts, on_mismatch)
     max_parts = int(s["max_parts"])
     rows = position.slice_range(data, start, None, ord_col)
-    total = None
     if workers and per_worker:
-        rows, plan = position.worker_slices(data, workers, per_worker, start, ord_col)
-        total = plan["planned"]
-    else:
-        total = rows.count()
-    batched = position.with_batches(rows, batch_size, start, ord_col)
-    reqs = rq.batch_requests(batched)
-    responses = responder(batched, reqs)
-    judged = rs.verdict(rs.unbatch(batched, responses, batch_size), max_parts)
-    consistent = bool(s["is_consistent"]) and expected_parts is not None
-    name = range_split_name(split, start, start + total)
-    if consistent:
-        name = f"{name}_{expected_parts}parts"
+        rows, _ = position.worker_slices(rows, workers, per_worker, start, ord_col)
+    batched = stored(position.with_batches(rows, batch_size, start, ord_col), "batched")
+    total = batched.count()
+    reqs, judged = _respond(batched, responder, batch_size, max_parts)
+    name = parts_split_name(split, start, start + total, bool(s["is_consistent"]), expected_parts)
     return {"judged": judged, "requests": reqs, "survey": s, "max_parts": max_parts,
-            "split": name, "failed_ids": judged.where(F.col("is_failed")).select(id_col)}
+            "split": name, "start": start, "failed_ids": judged.where(F.col("is_failed")).select(id_col)}
+
+
+def publish_multi_turn(job: dict, path: str, log_base: str, dataset: str, source_split: str,
+                       id_col: str = "id", ts: str | None = None) -> dict:
+    """Wide rows of every judged row as a named split (P15, S3, S12), failed ids as a log."""
+    wide = rs.widen(job["judged"], job["max_parts"], keep=(id_col,))
+    splits.write_splits(wide.withColumn("split", F.lit(job["split"])), path)
+    folder, n = logs.write_failed_log(job["failed_ids"], log_base, dataset, source_split, job["start"], id_col, ts)
+    return {"split": job["split"], "log": folder, "n_failed": n}
 
 
 # ---------------------------------------------------------------- C4
 def retry_job(data: DataFrame, ids: DataFrame, responder: Responder, batch_size: int = 4,
               expected_parts: int | None = None, id_col: str = "id",
-              ord_col: str = "ord") -> dict:
+              ord_col: str = "ord", on_mismatch: str = "warn") -> dict | None:
     """Failed ids → rows (semi join) → parts survey → the C3 tail (C4).
     Found rows keep dataset order through their ``ord``; batches number them
-    again from 0 (``retry_ord``)."""
-    found = retry.failed_rows(data, ids, id_col)
-    # number the found rows first: the checkpoint inside with_ord materialises
-    # the semi join once for the survey, the batches and the summary
+    again from 0 (``retry_ord``).  None when the list is empty or no row is found.
+    ``warnings`` says when no found row has ``expected_parts`` (an error with
+    ``on_mismatch="stop"``)."""
+    data = _with_id(data, id_col, ord_col)
+    found = survey.with_part_count(retry.failed_rows(data, ids, id_col))
+    # number the found rows first: the table of with_ord holds the semi join's result once
     found = position.with_ord(found.drop("retry_ord"), ord_col, "retry_ord")
-    found = survey.with_part_count(found)
+    if found.isEmpty():
+        return None
     dist = survey.histogram(found, include_zero=True)
-    if expected_parts:
-        max_parts = expected_parts
-    else:
+    warnings = []
+    max_parts = expected_parts
+    if expected_parts and found.where(F.col("parsed") & (F.col("part_count") == expected_parts)).isEmpty():
+        warnings.append(f"no failed row has {expected_parts} parts")
+        if on_mismatch == "stop":
+            raise survey.SurveyGateError(warnings[0])
+    if not expected_parts:
         max_parts = int(found.agg(F.max("part_count")).first()[0] or 0)
         if max_parts == 0:
             raise survey.SurveyGateError("cannot determine max_parts from failed rows")
     batched = position.with_batches(found, batch_size, 0, "retry_ord")
-    reqs = rq.batch_requests(batched)
-    judged = rs.verdict(rs.unbatch(batched, responder(batched, reqs), batch_size), max_parts)
-    summary = retry.retry_summary(ids, found, judged, id_col)
-    return {"found": found, "distribution": dist, "max_parts": max_parts, "judged": judged,
-            "summary": summary, "missing": retry.missing_ids(ids, data, id_col)}
+    reqs, judged = _respond(batched, responder, batch_size, max_parts)
+    return {"found": found, "distribution": dist, "max_parts": max_parts, "judged": judged, "requests": reqs,
+            "summary": retry.retry_summary(ids, found, judged, id_col), "warnings": warnings,
+            "missing": retry.missing_ids(ids, data, id_col), "n_ids": ids.count(),
+            "failed_ids": judged.where(F.col("is_failed")).select(id_col)}
 
 
-def json_document(col) -> F.Column:
-    return json_block(col)
+def publish_retry(job: dict, path: str, log_base: str, log_path: str, dataset: str, source_split: str,
+                  id_col: str = "id", ts: str | None = None) -> dict:
+    """Wide rows of the retried rows as a named split (S13), ids that failed again as a log."""
+    spark = job["judged"].sparkSession
+    name = spark.range(1).select(retry_split_name(F.lit(log_path), F.lit(source_split), F.lit(job["n_ids"]),
+                                                  F.current_timestamp())).first()[0]
+    wide = rs.widen(job["judged"], job["max_parts"], keep=(id_col,))
+    splits.write_splits(wide.withColumn("split", F.lit(name)), path)
+    folder, n = logs.write_retry_log(job["failed_ids"], log_base, log_path, dataset, name, id_col, ts)
+    return {"split": name, "log": folder, "n_failed": n}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from tessera.functions.text import PY_WHITESPACE, WS_CLASS
 from tessera.functions.tokens import APPROX_TOKEN_PATTERN
-from tessera.operators.cad import NUMBER_PATTERN
+from tessera.operators.cad import NUMBER_PATTERN, STRING_PATTERN
 from tessera.operators.requests import (BATCH_RULES, REVIEW_TEMPLATE, STAGE1_INSTRUCTION,
                                         SYSTEM_MESSAGE, TRAIN_INSTRUCTION)
 from tessera.functions.chat import CHATML
@@ -98,9 +98,18 @@ CTE = {
         FROM cad""", ["cad"]),
     "batched": ("""SELECT *, ord // 4 AS batch_id, CAST(ord % 4 + 1 AS INTEGER) AS pos
         FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS ord FROM cad)""", ["cad"]),
-    "pairs": ("""SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS completion
-        FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
-        WHERE u.role = 'user' AND a.role = 'assistant'""", []),
+    "pairs": ("""SELECT p.conv_id, p.turn, s.system, p.prompt, p.completion FROM (
+          SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS completion
+          FROM conversations u LEFT JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+          WHERE u.role = 'user'
+          UNION ALL
+          SELECT conv_id, turn, NULL, text FROM conversations x WHERE role = 'assistant' AND NOT EXISTS (
+            SELECT 1 FROM conversations y WHERE y.conv_id = x.conv_id AND y.role = 'user' AND y.turn + 1 = x.turn)
+          UNION ALL
+          SELECT DISTINCT conv_id, NULL::INTEGER, NULL, NULL FROM conversations x WHERE NOT EXISTS (
+            SELECT 1 FROM conversations y WHERE y.conv_id = x.conv_id AND y.role IN ('user', 'assistant'))) p
+        LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS system FROM conversations
+                   WHERE role = 'system' GROUP BY conv_id) s USING (conv_id)""", []),
     "maxp": ("SELECT max(n) AS m FROM cad", ["cad"]),
 }
 
@@ -130,7 +139,8 @@ def _answers_ctes(src: str, prefix: str) -> dict:
             {numbered('u.content', 'prompt', 'i.turn')} AS input,
             {numbered('u.content', 'think', 'i.turn')} AS think,
             {numbered('u.content', 'json', 'i.turn')} AS json
-            FROM {p}unbatched u CROSS JOIN (SELECT range::INTEGER AS turn FROM range(1, (SELECT max(n) FROM {src}) + 1)) i""",
+            FROM {p}unbatched u CROSS JOIN (SELECT range::INTEGER AS turn FROM range(1, (SELECT max(n) FROM {src}) + 1)) i
+            WHERE regexp_matches(u.content, '(?s)<(prompt|think|json)_' || i.turn || '>')""",
                       [f"{p}unbatched"]),
         f"{p}verdict": (f"""SELECT u.id, u.batch_id, u.pos, coalesce(length(u.content), 0)::BIGINT AS new_length,
             {part_count(json_block('u.completion'))} AS original_parts, coalesce(g.generated, 0)::BIGINT AS generated
@@ -266,10 +276,11 @@ def queries() -> dict[str, str]:
         FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS ord, {json_block('completion')} AS doc FROM cad_damaged)
         GROUP BY 1""", "cad_damaged")
     Q["interleave"] = sql("""SELECT ord, doc_id, lang FROM (
-        SELECT o * 2 + s AS ord, doc_id, lang, o FROM (
+        SELECT o * 4 + s AS ord, doc_id, lang, o, s FROM (
           SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS o,
-                 CASE lang WHEN 'en' THEN 0 ELSE 1 END AS s FROM documents WHERE lang IN ('en', 'fr')))
-        WHERE o < (SELECT least(count_if(lang = 'en'), count_if(lang = 'fr')) FROM documents)""")
+                 CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 END AS s FROM documents))
+        WHERE s IS NOT NULL AND o < (SELECT least(count_if(lang = 'en'), count_if(lang = 'fr'), count_if(lang = 'de'),
+                                                  count_if(lang = 'es')) FROM documents)""")
     Q["index_slice"] = sql("""SELECT ord, o_orderkey, 'orders_1000_20000' AS split FROM (
         SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord FROM orders)
         WHERE ord >= 1000 AND ord < 20000""")
@@ -301,23 +312,27 @@ def queries() -> dict[str, str]:
                               "batched")
     user = f"{lit(TRAIN_INSTRUCTION + chr(10) + chr(10) + '<description>' + chr(10))} || text || chr(10) || '</description>'"
     Q["inference_requests"] = sql(f"SELECT doc_id, {_render([('system', lit(SYSTEM_MESSAGE)), ('user', user)], True)} AS rendered FROM documents")
-    Q["chat_messages"] = sql(f"SELECT conv_id, turn, {_render([('user', 'prompt'), ('assistant', 'completion')], False)} AS text FROM pairs",
-                             "pairs")
+    one = lambda role, x: f"coalesce({_render([(role, x)], False)}, '')"
+    Q["chat_messages"] = sql(f"""SELECT conv_id, turn, completion IS NOT NULL AS answered,
+        {one('system', 'system')} || {one('user', 'prompt')} || {one('assistant', 'completion')} AS text FROM pairs""", "pairs")
     Q["unbatch"] = sql("SELECT id, batch_id, pos, coalesce(length(content), 0)::BIGINT AS new_length FROM unbatched", "unbatched")
     Q["turns_long"] = sql("""SELECT id, turn, input, think, json, (input <> '' AND think <> '' AND json <> '') AS complete
         FROM turns""", "turns")
-    wide = ", ".join(f"coalesce(max(CASE WHEN t.turn = {i} THEN t.{f} END), '') AS {f}_{i}"
-                     for i in range(1, 5) for f in ("input", "think", "json"))
-    Q["turns_wide"] = sql(f"""SELECT u.id, u.completion AS original_completion, coalesce(length(u.content), 0)::BIGINT AS new_length,
-        {wide} FROM unbatched u JOIN turns t ON t.id = u.id AND t.turn <= 4 GROUP BY u.id, u.completion, u.content""",
-                          "unbatched", "turns")
+    Q["turns_wide"] = sql("""SELECT u.id, u.completion AS original_completion, coalesce(length(u.content), 0)::BIGINT AS new_length,
+        m.m AS width, to_json(list_transform(range(0, 3 * m.m), lambda i: coalesce(
+            list_extract(w.fields, 1 + list_position(w.places, i)::INTEGER - 1), '')))::VARCHAR AS turns
+        FROM unbatched u CROSS JOIN maxp m LEFT JOIN (
+          SELECT id, list(f ORDER BY p) AS fields, list(p ORDER BY p) AS places FROM (
+            SELECT id, 3 * (turn - 1) AS p, input AS f FROM turns UNION ALL SELECT id, 3 * (turn - 1) + 1, think FROM turns
+            UNION ALL SELECT id, 3 * (turn - 1) + 2, json FROM turns) GROUP BY id) w USING (id)""", "unbatched", "turns", "maxp")
     Q["verdict"] = sql(verdict_cols(), "verdict")
     Q["failed_log"] = sql("SELECT CAST(id AS VARCHAR) AS id FROM verdict WHERE generated = 0 OR generated <> original_parts",
                           "verdict")
     Q["failed_rows"] = sql("SELECT id, n FROM cad WHERE id IN (SELECT id FROM failed)", "cad", "failed")
     Q["missing_ids"] = sql("SELECT id FROM failed WHERE id NOT IN (SELECT id FROM cad)", "cad", "failed")
     Q["retry_parts"] = sql(f"""SELECT pc AS part_count, count(*)::BIGINT AS n, {pct('count(*)', 'sum(count(*)) OVER ()')} AS pct
-        FROM {pc} WHERE id IN (SELECT id FROM failed) GROUP BY pc""", "cad_damaged", "failed")
+        FROM (SELECT id, {json_block('completion')} AS doc, {part_count(json_block('completion'))} AS pc FROM cad_damaged)
+        WHERE id IN (SELECT id FROM failed) AND len(json_keys(doc)) > 0 GROUP BY pc""", "cad_damaged", "failed")
     Q["retry_summary"] = sql("""SELECT (SELECT count(*) FROM failed)::BIGINT AS requested,
         (SELECT count(*) FROM retry_batched)::BIGINT AS found,
         (SELECT count(*) FROM failed WHERE id NOT IN (SELECT id FROM cad))::BIGINT AS not_found,
@@ -349,6 +364,27 @@ def queries() -> dict[str, str]:
     Q["progressive_docs"] = sql("""SELECT id, CAST(k AS INTEGER) AS k, '{"parts":{' || array_to_string(array_agg(s) OVER (
         PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ',') || '}}' AS doc FROM parts_s""",
                                 "parts_s")
+    is_failed = "(generated = 0 OR generated <> original_parts)"
+    Q["publish_multi_turn"] = sql(f"""SELECT id, 'cad_0_' || (SELECT count(*) FROM cad) AS split, new_length, {is_failed} AS logged,
+        CASE WHEN {is_failed} THEN row_number() OVER (PARTITION BY {is_failed} ORDER BY CAST(id AS VARCHAR)) - 1 END AS list_pos
+        FROM verdict""", "verdict", "cad")
+    Q["publish_retry"] = sql(f"""SELECT id, 'retry_tables_cad_orders_0_' || (SELECT count(*) FROM verdict WHERE {is_failed}) || 'samples' AS split,
+        {is_failed} AS failed_again, (SELECT count(*) FROM r_verdict WHERE {is_failed})::BIGINT AS n_failed_again FROM r_verdict""",
+                             "verdict", "r_verdict")
+    Q["default_ids"] = sql(f"""SELECT 'unknown_' || b.ord AS id, r.id AS order_id, (r.generated = 0 OR r.generated <> r.original_parts) AS is_failed
+        FROM r_verdict r JOIN batched b ON b.id = r.id""", "r_verdict", "batched")
+    Q["consistent_split"] = sql("""SELECT 'cad_0_' || count(*) || '_3parts' AS split, count(*)::BIGINT AS n_rows
+        FROM cad WHERE n = 3""", "cad")
+    Q["publish_buckets"] = "SELECT split, count(*)::BIGINT AS n_rows FROM (" + Q["clean_and_bucket"] + ") GROUP BY split"
+    Q["model_calls"] = sql("""SELECT id, pos, (CASE WHEN pos = 1 THEN 1 ELSE 0 END)::BIGINT AS generated, NOT (pos = 1 AND n = 1) AS is_failed
+        FROM batched""", "batched")
+    Q["reasoning_counts"] = sql(f"""SELECT count_if({valid_ok})::BIGINT AS n_accepted, count_if(NOT {valid_ok})::BIGINT AS n_rejected
+        FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM tagged) WHERE ord >= 10""", "tagged")
+    Q["publish_reasoning"] = sql(f"""SELECT 'stage1_10_' || (SELECT count(*) FROM tagged) AS split, count_if(ok)::BIGINT AS n_rows,
+        count_if(NOT ok)::BIGINT AS n_invalid, sum(CASE WHEN NOT ok THEN ord END)::BIGINT AS sum_invalid
+        FROM (SELECT {valid_ok} AS ok, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM tagged) WHERE ord >= 10""", "tagged")
+    Q["publish_predictions"] = ("SELECT uid, split, reasoning, predicted_output, ground_truth_output FROM ("
+                                + Q["predictions_range"] + ")")
     Q["progressive_check"] = sql("""SELECT t.id, t.turn, coalesce(t.json = '{"parts":{' || array_to_string(array_agg(ps.s ORDER BY ps.k), ',') || '}}', false) AS matches
         FROM turns t JOIN parts_s ps ON ps.id = t.id AND ps.k <= t.turn JOIN cad c ON c.id = t.id
         WHERE t.turn <= c.n GROUP BY t.id, t.turn, t.json""", "turns", "parts_s", "cad")
@@ -364,7 +400,7 @@ def queries() -> dict[str, str]:
     nums = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, '{NUMBER_PATTERN}'), lambda s: TRY_CAST(s AS DOUBLE)))"
     Q["number_coverage"] = sql(f"""SELECT doc_id, coalesce(len(jn), 0)::BIGINT AS n_json_numbers,
         coalesce(len(list_filter(jn, lambda x: list_contains(tn, x))), 0)::BIGINT AS n_covered FROM (
-        SELECT doc_id, {nums(tag_or_null(a, 'json'))} AS jn, {nums(tag_or_null(a, 'description'))} AS tn FROM tagged)""",
+        SELECT doc_id, {nums(f"regexp_replace({tag_or_null(a, 'json')}, '{STRING_PATTERN}', '', 'g')")} AS jn, {nums(tag_or_null(a, 'description'))} AS tn FROM tagged)""",
                                "tagged")
     Q["drop_boilerplate"] = sql("""SELECT doc_id, length(text)::BIGINT AS n_chars_before,
         length(regexp_replace(text, '(?i)[^.\\n]*(copyright|licen[cs]e)[^.\\n]*\\.?', '', 'g'))::BIGINT AS n_chars_after
@@ -385,5 +421,5 @@ def queries() -> dict[str, str]:
         WHERE input <> '' AND think <> '' AND json <> ''""", "turns")
     Q["length_audit"] = sql(f"""SELECT count(*)::BIGINT AS n_rows, count_if(np + nc > 200)::BIGINT AS n_over_limit,
         max(np + nc)::BIGINT AS max_tokens, sum(np)::BIGINT AS sum_prompt_tokens, sum(nc)::BIGINT AS sum_completion_tokens
-        FROM (SELECT {tokens('prompt')} AS np, {tokens('completion')} AS nc FROM pairs)""", "pairs")
+        FROM (SELECT {tokens("concat_ws(chr(10), system, prompt)")} AS np, {tokens("coalesce(completion, '')")} AS nc FROM pairs)""", "pairs")
     return Q

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import chat, jsonx, text as tx, tokens
 from tessera.operators import cad, position, requests as rq, responses as rs, retry, survey
 from tessera.plans import fixtures as fx, jobs
-from tessera.session import scratch_dir
+from tessera.session import scratch_dir, stored
 from tessera.sources import logs, splits
 
 BATCH = 4
@@ -88,9 +88,8 @@ def deinterleave_lang(spark, d):
 
 def interleave(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "lang")
-    en = position.with_ord(docs.where(F.col("lang") == "en"), "doc_id")
-    fr = position.with_ord(docs.where(F.col("lang") == "fr"), "doc_id")
-    return position.interleave([en, fr]).select("ord", "doc_id", "lang")
+    by_lang = [position.with_ord(docs.where(F.col("lang") == x), "doc_id") for x in ("en", "fr", "de", "es")]
+    return position.interleave(by_lang).select("ord", "doc_id", "lang")
 
 
 def index_slice(spark, d):
@@ -152,7 +151,8 @@ def inference_requests(spark, d):
 
 
 def chat_messages(spark, d):
-    return rq.chat_pairs(fx.pairs(spark, d)).select("conv_id", "turn", "text")
+    p = rq.chat_pairs(fx.pairs(spark, d), system_col="system")
+    return p.select("conv_id", "turn", F.col("completion").isNotNull().alias("answered"), "text")
 
 
 def _responder(batched, _requests):
@@ -182,8 +182,12 @@ def turns_long(spark, d):
 
 
 def turns_wide(spark, d):
-    parsed, _ = _first_pass(spark, d)
-    return rs.widen(rs.verdict(parsed, 4), 4)
+    j, n = _judged(spark, d)
+    wide = rs.widen(j, n)
+    # as many columns as the survey measured; one row-count-independent schema for the comparison
+    fields = [f for i in range(1, n + 1) for f in (f"input_{i}", f"think_{i}", f"json_{i}")]
+    return wide.select("id", "original_completion", "new_length", F.lit(n).cast("bigint").alias("width"),
+                       F.to_json(F.array(*fields)).alias("turns"))
 
 
 def verdict(spark, d):
@@ -192,10 +196,10 @@ def verdict(spark, d):
 
 
 def _verdict_summary(spark, d):
-    """The first pass's per-row verdict columns, checkpointed once so the
-    failed log, the retry and the merge read one materialised result."""
+    """The first pass's per-row verdict columns, written once so the failed log,
+    the retry and the merge read one materialised result."""
     j, _ = _judged(spark, d)
-    return j.select("id", "generated", "original_parts", "is_failed").checkpoint()
+    return stored(j.select("id", "generated", "original_parts", "is_failed"), "verdicts")
 
 
 def _write_failed_log(spark, d, verdicts=None):
@@ -253,6 +257,72 @@ def multi_turn_job(spark, d):
                                 "generated", "is_failed")
 
 
+def _cad_ord(spark, d):
+    return fx.with_completion(position.with_ord(fx.cad_items(spark, d), "id"))
+
+
+def publish_multi_turn(spark, d):
+    """Run, publish and log, then read back: rows and failed ids of the published split."""
+    job = jobs.multi_turn_job(_cad_ord(spark, d), _responder, batch_size=BATCH, split="cad")
+    path, base = scratch_dir(spark, "published"), scratch_dir(spark, "logs")
+    done = jobs.publish_multi_turn(job, path, base, "tables/cad", "orders")
+    ids, _ = logs.read_failed_log(spark, done["log"], missing_ok=True)
+    rows = splits.read_split(spark, path)
+    return rows.join(ids.withColumn("logged", F.lit(True)), rows["id"].cast("string") == ids["id"], "left").select(
+        rows["id"], "split", "new_length", F.coalesce("logged", F.lit(False)).alias("logged"), "list_pos")
+
+
+def publish_retry(spark, d):
+    """Retry from the written log, publish and log again, read the rows and the retry log back."""
+    folder = _write_failed_log(spark, d)
+    ids, _ = logs.read_failed_log(spark, folder, missing_ok=True)
+    job = jobs.retry_job(_cad_ord(spark, d), ids.select(F.col("id").cast("bigint").alias("id")), _responder, BATCH)
+    path, base = scratch_dir(spark, "published"), scratch_dir(spark, "logs")
+    done = jobs.publish_retry(job, path, base, folder, "tables/cad", "orders")
+    again, summary = logs.read_retry_log(spark, done["log"])
+    rows = splits.read_split(spark, path)
+    name = F.regexp_replace("split", "_[0-9]{8}_[0-9]{6}", "")       # without the log's time
+    return rows.join(again.withColumn("again", F.lit(True)), rows["id"].cast("string") == again["id"], "left").select(
+        rows["id"], name.alias("split"), F.coalesce("again", F.lit(False)).alias("failed_again"),
+        F.lit(summary["retry_failed_count"]).cast("bigint").alias("n_failed_again"))
+
+
+def consistent_split(spark, d):
+    """Rows whose documents all have three parts: the published name says so."""
+    three = fx.with_completion(fx.cad_items(spark, d)).where("n = 3")
+    job = jobs.multi_turn_job(position.with_ord(three, "id"), _responder, batch_size=BATCH, expected_parts=3, split="cad")
+    path, base = scratch_dir(spark, "published"), scratch_dir(spark, "logs")
+    jobs.publish_multi_turn(job, path, base, "tables/cad", "orders")
+    return splits.split_sizes(splits.read_split(spark, path))
+
+
+def default_ids(spark, d):
+    """Rows without an id column are named by position, in the run and in the retry."""
+    data = _cad_ord(spark, d)
+    items = data.select("ord", F.col("id").alias("order_id"), "items", "completion")
+
+    def responder(batched, _requests):
+        return fx.stand_in_model(batched.withColumn("id", F.col("order_id")))
+
+    job = jobs.multi_turn_job(items, responder, batch_size=BATCH, split="cad")
+    again = jobs.retry_job(items, job["failed_ids"], responder, BATCH)
+    return again["judged"].select("id", "order_id", "is_failed")
+
+
+def model_calls(spark, d):
+    """A Python model behind ``model_hook``: each request's answer is stored once (D3)."""
+    hook = jobs.model_hook(lambda request: f"<sample_1><json_1>{len(request)}</json_1><prompt_1>p</prompt_1>"
+                                           "<think_1>t</think_1></sample_1>")
+    job = jobs.multi_turn_job(_cad_ord(spark, d), lambda b, reqs: hook(reqs), batch_size=BATCH, split="cad")
+    return job["judged"].select("id", "pos", "generated", "is_failed")
+
+
+def publish_buckets(spark, d):
+    path = scratch_dir(spark, "published")
+    jobs.publish_buckets(jobs.clean_and_bucket(_stage1_ord(spark, d)), path)
+    return splits.split_sizes(splits.read_split(spark, path))
+
+
 def _tagged_ord(spark, d):
     return position.with_ord(fx.tagged(spark, d), "doc_id")
 
@@ -270,6 +340,44 @@ def reasoning_job(spark, d):
     return judged.select("ord", "doc_id", "accepted", F.lit(name).alias("split"))
 
 
+def _reasoned(spark, d):
+    """The reasoning job over all stage-1 rows; the stand-in answers a row with its tagged text."""
+    bucket = position.with_ord(fx.stage1(spark, d), "doc_id")
+    answers = fx.tagged(spark, d)
+
+    def responder(rows, requests):
+        return requests.join(rows.select("ord", "doc_id"), "ord").join(answers, "doc_id").select(
+            "ord", F.col("answer").alias("response"))
+
+    return jobs.run_reasoning(bucket, responder, "stage1", 10, None)
+
+
+def reasoning_counts(spark, d):
+    """Accepted and rejected rows."""
+    return _reasoned(spark, d)["counts"]
+
+
+def publish_reasoning(spark, d):
+    """Published accepted rows per split, and the rejected positions read back."""
+    job = _reasoned(spark, d)
+    path = scratch_dir(spark, "published")
+    done = jobs.publish_reasoning(job, path, scratch_dir(spark, "logs"))
+    kept = splits.split_sizes(splits.read_split(spark, path))
+    bad = spark.read.parquet(done["invalid"]).agg(F.count(F.lit(1)).cast("bigint").alias("n_invalid"),
+                                                  F.sum("invalid_index").cast("bigint").alias("sum_invalid"))
+    return kept.join(bad)
+
+
+def publish_predictions(spark, d):
+    """Requests, answers, predictions and their published split."""
+    docs, resp = _pred_inputs(spark, d)
+    docs = position.with_ord(docs, "doc_id")
+    job = jobs.run_predictions(docs, lambda rows, reqs: reqs.join(resp, "uid"), "test", 50, None)
+    path = scratch_dir(spark, "published")
+    jobs.publish_predictions(job, path)
+    return splits.read_split(spark, path).select("uid", "split", "reasoning", "predicted_output", "ground_truth_output")
+
+
 def _pred_inputs(spark, d):
     docs = fx.table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("uid"), F.col("text").alias("input"),
@@ -346,7 +454,7 @@ def route_by_parts(spark, d):
 
 def union_shards(spark, d):
     docs = position.with_ord(fx.table(spark, d, "documents").select("doc_id"), "doc_id")
-    start = (F.floor(F.col("ord") / 300) * 300).cast("bigint")
+    start = F.col("ord") - F.pmod(F.col("ord"), F.lit(300))
     shards = docs.withColumn("split", F.format_string("docs_%d_%d", start, start + 300))
     path = scratch_dir(spark, "shards")
     splits.write_splits(shards.select("doc_id", "split"), path)
@@ -369,7 +477,9 @@ def unwiden(spark, d):
 
 
 def length_audit(spark, d):
-    return survey.length_audit_summary(survey.length_audit(fx.pairs(spark, d), limit=200))
+    p = fx.pairs(spark, d).withColumn("prompt", F.concat_ws("\n", "system", "prompt"))
+    p = p.withColumn("completion", F.coalesce("completion", F.lit("")))
+    return survey.length_audit_summary(survey.length_audit(p, limit=200))
 
 
 REGISTRY = {name: fn for name, fn in list(globals().items())

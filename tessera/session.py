@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -15,8 +16,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # JSON objects with repeated keys keep the last value, as Python's json does.
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
@@ -42,10 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is.  Only when it is unset (local tests) a private folder is created.
+    is.  Only when it is unset on a local master (tests) a private folder is
+    created; on a cluster an unset folder is an error, because every executor
+    would write to its own disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -57,4 +60,38 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh folder under the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)
     base = base.rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _SPACES:
+        made.append(path)
+    return path
+
+
+_SPACES: list[list[str]] = []     # scratch folders made inside each open scratch_space
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once under the shared checkpoint folder and read it back."""
+    path = scratch_dir(df.sparkSession, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system API."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_space(spark: SparkSession):
+    """Scratch tables made inside the block are deleted when it ends.  For jobs that publish their
+    results; frames that read scratch tables must be used up inside the block."""
+    made: list[str] = []
+    _SPACES.append(made)
+    try:
+        yield
+    finally:
+        _SPACES.remove(made)
+        for path in made:
+            delete_path(spark, path)

@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.names import log_file_stem
+from tessera.operators.position import with_ord
+from tessera.session import delete_path
 
+# Field names and name prefixes of the logs (here and below), so existing logs can be read.
 REF_LOG_SCHEMA = ("dataset string, split string, start_index bigint, failed_count bigint, "
                   "failed_sample_ids array<string>, timestamp string")
 
@@ -31,13 +34,14 @@ def failed_log_name(dataset: str, split: str, start_index: int, ts: str) -> str:
 
 def write_id_log(ids: DataFrame, folder: str, summary: dict, count_field: str,
                  id_col: str = "id") -> int:
-    """Write ``ids/`` then a one-line ``summary/`` with the id count.  Nothing is
-    written when there are no ids (the reference writes no file then)."""
-    ids = ids.select(F.col(id_col).cast("string").alias("id"))
-    ids.write.mode("overwrite").parquet(f"{folder}/ids")
+    """Write ``ids/`` (``id, list_pos`` in order of the id) then a one-line ``summary/`` with the id
+    count.  Nothing is left when there are no ids (the reference writes no file then)."""
     spark = ids.sparkSession
+    ids = with_ord(ids.select(F.col(id_col).cast("string").alias("id")), "id", "list_pos")
+    ids.write.mode("overwrite").parquet(f"{folder}/ids")
     n = spark.read.parquet(f"{folder}/ids").count()
     if n == 0:
+        delete_path(spark, folder)
         return 0
     row = dict(summary, **{count_field: n})
     spark.createDataFrame([row]).coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
@@ -75,19 +79,26 @@ def write_invalid_positions(positions: DataFrame, folder: str, ord_col: str = "o
      .orderBy("invalid_index").write.mode("overwrite").parquet(folder))
 
 
-def read_failed_log(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+def read_retry_log(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """Ids and summary of a log written by ``write_retry_log``."""
+    return read_failed_log(spark, path)
+
+
+def read_failed_log(spark: SparkSession, path: str, missing_ok: bool = False) -> tuple[DataFrame, dict]:
     """Failed ids (S2) as ``(ids DataFrame[id string, list_pos bigint], summary)``.
 
     ``path`` is a folder written by ``write_failed_log`` or a single JSON file
-    in the reference's layout.  A missing path raises ``FileNotFoundError``."""
+    in the reference's layout.  A missing path raises ``FileNotFoundError``, or with ``missing_ok``
+    gives no ids and an empty summary (a run without failures writes no log)."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
+        if missing_ok:
+            return spark.createDataFrame([], "id string, list_pos bigint"), {}
         raise FileNotFoundError(path)
     if fs.getFileStatus(jvm_path).isDirectory():
         summary = spark.read.json(f"{path}/summary").first().asDict()
-        ids = spark.read.parquet(f"{path}/ids")
-        return ids.withColumn("list_pos", F.monotonically_increasing_id()), summary
+        return spark.read.parquet(f"{path}/ids"), summary
     raw = spark.read.schema(REF_LOG_SCHEMA).option("multiLine", True).json(path)
     summary = raw.drop("failed_sample_ids").first().asDict()
     ids = raw.select(F.posexplode("failed_sample_ids").alias("list_pos", "id"))

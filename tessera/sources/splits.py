@@ -20,17 +20,11 @@ def read_splits_like(spark: SparkSession, path: str, prefix: str) -> DataFrame:
 def write_splits(df: DataFrame, path: str, split_col: str = "split",
                  max_records_per_file: int = 1_000_000, mode: str = "overwrite") -> None:
     """Write every split of ``df`` in one job (S3, S4).  Dynamic partition
-    overwrite replaces only the splits present in ``df``.  Rows are clustered
-    by split first so each task writes few files; ``maxRecordsPerFile`` caps
-    file size for large (skewed) splits."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
-           .partitionBy(split_col).parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    overwrite replaces only the splits present in ``df``.  Rows are rebalanced
+    by split first: a small split is one file however many tasks there are, a
+    large (skewed) split is divided by size; ``maxRecordsPerFile`` caps files."""
+    (df.hint("rebalance", F.col(split_col)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+       .option("maxRecordsPerFile", max_records_per_file).partitionBy(split_col).parquet(path))
 
 
 def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:

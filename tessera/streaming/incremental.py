@@ -12,12 +12,13 @@ caller's path layout includes the batch id (``batch_subdir=True``).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.plans.jobs import clean_and_bucket
 
 
 def stream_clean_and_bucket(spark: SparkSession, source_dir: str, schema, out_dir: str,
-                            checkpoint_dir: str, width: int = 500, json_mode: str = "typed",
+                            checkpoint_dir: str, width: int = 500, json_mode: str = "exact",
                             available_now: bool = True, batch_subdir: bool = True):
     """Start the streaming job; returns the ``StreamingQuery``.  Input rows
     need ``ord`` (positions assigned at ingest), ``prompt`` and ``completion``."""
@@ -27,7 +28,7 @@ def stream_clean_and_bucket(spark: SparkSession, source_dir: str, schema, out_di
     def write(batch: DataFrame, batch_id: int) -> None:
         target = f"{out_dir}/batch={batch_id}" if batch_subdir else out_dir
         mode = "overwrite" if batch_subdir else "append"
-        batch.write.mode(mode).partitionBy("split").parquet(target)
+        batch.hint("rebalance", F.col("split")).write.mode(mode).partitionBy("split").parquet(target)
 
     w = out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -69,3 +69,49 @@ def test_reasoning_job_and_invalid_positions(spark):
     _, clamped = jobs.reasoning_job(bucket.select("ord", "k"), bucket.select("ord", "response"),
                                     "x", 2, 50, clamp_name=True)
     assert clamped == "x_2_10"
+
+
+def test_each_request_is_sent_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(request):
+        calls.add(1)
+        return "<sample_1><json_1>{}</json_1><prompt_1>p</prompt_1><think_1>t</think_1></sample_1>"
+
+    rows = [(f"r{i}", doc(1)) for i in range(12)]
+    data = position.with_ord(spark.createDataFrame(rows, "id string, completion string"), "id")
+    hook = jobs.model_hook(model)
+    job = jobs.multi_turn_job(data, lambda b, reqs: hook(reqs), batch_size=3, expected_parts=1, split="s")
+    done = jobs.publish_multi_turn(job, str(tmp_path / "out"), str(tmp_path / "logs"), "d/x", "s")
+    failed = {r.id for r in job["failed_ids"].collect()}
+    assert job["judged"].count() == 12 and calls.value == 4
+    assert done["split"] == "s_0_12_1parts" and done["n_failed"] == 8 == len(failed)
+    ids, _ = logs.read_failed_log(spark, done["log"])
+    assert {r.id for r in ids.collect()} == failed
+    wide = spark.read.parquet(str(tmp_path / "out"))
+    assert wide.count() == 12 and {r.id for r in wide.where("json_1 = ''").collect()} == failed
+
+
+def test_retry_of_nothing_and_mismatch_warning(spark):
+    data = position.with_ord(spark.createDataFrame([("a", doc(1)), ("b", "x")], "id string, completion string"), "id")
+    assert jobs.retry_job(data, data.select("id").limit(0), None) is None
+    one = spark.createDataFrame([("a",), ("b",)], "id string")
+    hook = jobs.model_hook(lambda r: None)
+    job = jobs.retry_job(data, one, lambda b, reqs: hook(reqs), expected_parts=5)
+    assert job["warnings"] == ["no failed row has 5 parts"]
+    # the distribution counts parsed documents only
+    assert [(r.part_count, r.n) for r in job["distribution"].collect()] == [(1, 1)]
+
+
+def test_one_parse_per_document(spark):
+    from tessera.operators import cad
+    df = spark.createDataFrame([(1, doc(3))], "id int, completion string")
+    plan = cad.progressive_docs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(parts,MapType(StringType,StringType,true),true)") <= 1
+
+
+def test_number_coverage_counts_values(spark):
+    from tessera.operators import cad
+    df = spark.createDataFrame([(1, '{"part_1":{"line_7":[1e-05, 2],"s":"9"}}', "0.00001 and 7")], "id int, j string, t string")
+    r = cad.number_coverage(df, F.col("j"), F.col("t")).first()
+    assert (r.n_json_numbers, r.n_covered) == (2, 1)

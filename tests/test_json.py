@@ -15,7 +15,8 @@ def py_strict(s):
         return False
 
 
-STRICT = ['{"a":1} x', "{'a':1}", '{"a":1,"a":2}', '{"a":NaN}', '{"a":1},{"b":2}', "",
+STRICT = ['{"a":1}] [{"b":2}', '1,"_e":7},{"_v":2', '1,"_e":7', '{"a":"}],["}', '[1],[2]', "1e-05", "-0", "+1", "1.", ".5",
+          "nul", "Infinity", "tru", "  ", '{"a":1} x', "{'a':1}", '{"a":1,"a":2}', '{"a":NaN}', '{"a":1},{"b":2}', "",
           '{"a":"\t"}', "01", '{"a":', '[1, 2]', '"s"', "null", " {\"a\": 1} ", "1e5"]
 
 
@@ -33,6 +34,8 @@ def test_part_count_edge_rows(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, c string")
     got = [r[0] for r in df.orderBy("i").select(jsonx.completion_part_count(F.col("c"))).collect()]
     assert got == [2, 2, 0, 0, 0, 0, 0, 0]
+    last = spark.createDataFrame([('<json>{"parts":{"part_1":{}},"parts":{"part_1":{},"part_2":{},"part_2":{}}}</json>',)], "c string")
+    assert last.select(jsonx.completion_part_count(F.col("c"))).first()[0] == 2
 
 
 def test_clean_typed_and_exact(spark):
@@ -71,8 +74,23 @@ def test_repeated_keys_keep_last_value(spark):
     assert (r.n_parts, r.n_valid_ops) == (1, 1)
 
 
-def test_works_when_dedup_policy_is_unset(spark):
-    # a plain session has no value for the policy; building the columns must not fail
+def test_exact_cleaning_keeps_fields_and_spelling(spark):
+    from tessera.plans import jobs
+    doc = ('{"final_shape":"s","units":"mm","parts":{"part_1":{"extrusion":{"sketch_scale":"0.5","n":5,"x":1e-05},'
+           '"color":"r\u00e9d","description":{}},"part_1":{"k":5}}}')
+    df = spark.createDataFrame([(0, "p", doc), (1, "p", '{"a":1}] [{"b":2}')], "ord long, prompt string, completion string")
+    got = jobs.clean_and_bucket(df).select("completion").collect()
+    assert [r[0] for r in got] == ['<json>\n{"units":"mm","parts":{"part_1":{"k":5}}}\n</json>']
+
+
+def test_building_columns_leaves_the_session_alone(spark):
+    for policy in ("EXCEPTION", "LAST_WIN", None):
+        if policy:
+            spark.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+        else:
+            spark.conf.unset("spark.sql.mapKeyDedupPolicy")
+        before = spark.conf.get("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+        df = spark.createDataFrame([('{"parts":{"part_1":{},"part_1":{}}}',)], "s string")
+        assert df.select(jsonx.clean_cad_json(F.col("s"))).first()[0] is not None
+        assert spark.conf.get("spark.sql.mapKeyDedupPolicy", "EXCEPTION") == before
     spark.conf.unset("spark.sql.mapKeyDedupPolicy")
-    df = spark.createDataFrame([('{"parts":{"part_1":{}}}',)], "s string")
-    assert df.select(jsonx.clean_cad_json(F.col("s"))).first()[0] == '<json>\n{"parts":{"part_1":{}}}\n</json>'

@@ -48,3 +48,49 @@ def test_with_ord_checkpoint_mode_matches_table_mode(spark):
     a = sorted(map(tuple, position.with_ord(df, "k", materialize="table").collect()))
     b = sorted(map(tuple, position.with_ord(df, "k", materialize="checkpoint").collect()))
     assert a == b
+
+
+def test_existing_positions_are_kept(spark):
+    df = spark.createDataFrame([(7, 3), (9, 1)], "ord long, k int")
+    assert sorted(map(tuple, position.with_ord(df, "k").collect())) == [(7, 3), (9, 1)]
+
+
+def test_partitions_follow_the_input(spark, monkeypatch):
+    df = spark.range(1000)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert position.input_partitions(df) == width
+    monkeypatch.setattr(position, "PARTITION_BYTES", 100)
+    assert position.input_partitions(df) == 80
+
+
+def test_scratch_tables_are_dropped(spark):
+    from tessera import session
+    with session.scratch_space(spark):
+        out = position.with_ord(spark.range(50).withColumnRenamed("id", "k"), "k")
+        assert out.count() == 50
+        made = session._SPACES[-1][:]
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(made[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert made and not any(fs.exists(jvm(p)) for p in made)
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from tessera import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())

@@ -6,12 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans import queries as _queries
 
 SF = "/root/testdata/sf0.001"
-FAST = ["tag_first_trimmed", "tag_first_or_null", "description_block", "prompt_wrap",
-        "json_strict_filter", "part_count", "part_histogram", "clean_and_bucket", "accept_reject",
-        "chat_messages", "token_buckets", "batch_requests", "verdict", "progressive_docs",
-        "predictions", "inference_requests", "number_coverage", "loop_closure", "drop_boilerplate"]
+LIBRARY = sorted(_queries.REGISTRY)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
@@ -33,12 +31,23 @@ def test_registry_has_oracles():
     assert len(E.queries()) >= 50
 
 
+def test_whole_inputs(spark, con):
+    """Every conversation row is in a pair, every language is interleaved."""
+    pairs = E.queries()["chat_messages"](spark, SF)
+    total = con.execute("SELECT count(*) FROM conversations WHERE role = 'user'").fetchone()[0]
+    assert pairs.where("instr(text, 'start|>user') > 0").count() == total
+    with_system = con.execute("SELECT count(DISTINCT conv_id) FROM conversations WHERE role = 'system'").fetchone()[0]
+    assert pairs.where("instr(text, 'start|>system') > 0").select("conv_id").distinct().count() == with_system
+    langs = {r.lang for r in E.queries()["interleave"](spark, SF).collect()}
+    assert langs == {"en", "fr", "de", "es"}
+
+
 def test_entry(spark):
     out = E.entry(spark)
     assert out.columns == ["split", "n_rows"] and out.count() > 0
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", LIBRARY)
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols = sorted(df.columns)

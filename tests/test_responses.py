@@ -71,3 +71,21 @@ def test_batch_then_unbatch_roundtrip(spark):
         "</sample_$1>").alias("response"))
     back = {r.id: r.content for r in rs.unbatch(req, echo, 4).collect()}
     assert back == {r[2]: r[3] for r in rows}
+
+
+def test_turns_follow_the_rows_own_tags(spark):
+    text = turn(1, "a") + turn(12, "b") + "<json_3>x</json_3><json_03>y</json_03>" + "<prompt_4>open" + "<think_999999999999>z"
+    df = spark.createDataFrame([(1, text, DOC2), (2, None, DOC2), (3, "no tags", DOC2)], "id int, content string, completion string")
+    got = {r.id: [(t.turn, t.input, t.think, t.json) for t in r.turns] for r in rs.with_turns(df).collect()}
+    assert got == {1: [(1, "add x", "t", "a"), (3, "", "", "x"), (12, "add x", "t", "b")], 2: [], 3: []}
+    capped = {r.id: [t.turn for t in r.turns] for r in rs.with_turns(df, 3).collect()}
+    assert capped[1] == [1, 3]
+
+
+def test_unwiden_of_widen_returns_every_complete_turn(spark):
+    content = "".join(turn(k, f"j{k}", think=" " if k == 4 else "t") for k in (1, 2, 4, 7, 12))
+    df = spark.createDataFrame([(1, content, DOC2, 5)], "id int, content string, completion string, new_length int")
+    judged = rs.verdict(df, 12)
+    back = rs.unwiden(rs.widen(judged, 12), 12)
+    whole = rs.turns_long(judged).where("complete")
+    assert sorted(r.turn for r in back.collect()) == sorted(r.turn for r in whole.collect()) == [1, 2, 7, 12]

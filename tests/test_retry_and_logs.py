@@ -55,7 +55,9 @@ def test_failed_log_roundtrip_and_reference_format(spark, tmp_path):
     folder, n = logs.write_failed_log(ids, scratch_dir(spark, "t"), "user/ds", "sp", 5, ts="20260101_000000")
     assert n == 2 and folder.endswith("failed_ids_user_ds_sp_5_20260101_000000")
     back, summary = logs.read_failed_log(spark, folder)
-    assert sorted(r.id for r in back.collect()) == ["a", "b"] and summary["failed_count"] == 2
+    assert [(r.id, r.list_pos) for r in back.orderBy("list_pos").collect()] == [("a", 0), ("b", 1)] and summary["failed_count"] == 2
+    folder, n = logs.write_failed_log(ids.limit(0), scratch_dir(spark, "t"), "user/ds", "sp", 5)
+    assert n == 0 and logs.read_failed_log(spark, folder, missing_ok=True)[0].count() == 0
     ref = tmp_path / "failed_ids_x.json"
     ref.write_text(json.dumps({"dataset": "d", "split": "s", "start_index": 0, "failed_count": 3,
                                "failed_sample_ids": ["q", "r", "q"], "timestamp": "t"}, indent=2))
@@ -77,3 +79,17 @@ def test_write_and_read_splits(spark):
     sizes = {r.split: r.n_rows for r in splits.split_sizes(splits.read_split(spark, path)).collect()}
     assert sizes == {"s0": 10, "s1": 2, "s2": 10}
     assert splits.read_split(spark, path, "s2").count() == 10
+
+
+def test_splits_are_few_files_and_large_ones_divided(spark, tmp_path):
+    df = spark.range(0, 4000, 1, 16).selectExpr("id", "concat('s', id % 20) AS split")
+    splits.write_splits(df, str(tmp_path / "small"))
+    files = list((tmp_path / "small").glob("split=*/part-*.parquet"))
+    assert 20 <= len(files) <= 25
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        big = spark.range(0, 40000, 1, 16).selectExpr("id", "if(id % 10 = 0, 'b', 'a') AS split", "sha2(cast(id as string), 256) AS x")
+        splits.write_splits(big, str(tmp_path / "big"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "big").glob("split=a/part-*.parquet"))) > 1

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.operators import survey
 
 
@@ -31,5 +33,5 @@ def test_gate_stops_without_valid_rows(spark):
 
 
 def test_histogram_include_zero(spark):
-    h = survey.histogram(pc_df(spark, [0, 1, 1, 0]), include_zero=True).collect()
+    h = survey.histogram(pc_df(spark, [0, 1, 1, 0, 0]).withColumn("parsed", F.col("i") < 4), include_zero=True).collect()
     assert [(r.part_count, r.n, r.pct) for r in h] == [(0, 2, 50.0), (1, 2, 50.0)]
