@@ -20,6 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5 stay."""
+    docs = docs.select(*COLUMNS)
     model = toxicity_model(spark, sf_dir, docs)
     rest = [c for c in COLUMNS if c != "doc_id"]
     scored = toxicity.score(docs, model, keep=rest)
@@ -29,6 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of near duplicates stays: five-word shingles at
     similarity 0.8."""
+    docs = docs.select(*COLUMNS)
     kept = stored(near_dup.near_duplicates(docs, k=5, percent=80).where("kept").select(
         F.col("doc_id").alias("kept_id")).distinct(), "pipeline-kept")
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
@@ -37,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that also start in a smaller document go; a document with no word
     left goes, all others stay (unchanged, if nothing in them repeats)."""
+    docs = docs.select(*COLUMNS)
     cut = substring.drop_repeated_windows(docs, span=50, keep_texts=True)
     cut = stored(cut.where("n_removed > 0").select(
         F.col("doc_id").alias("cut_id"), "n_words", "n_removed", "kept").dropDuplicates(["cut_id"]), "pipeline-cut")
@@ -49,6 +52,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 5, 2, 1 in turn: a row for each copy that the mix takes."""
+    docs = docs.select(*COLUMNS)
     return mixing.mixed_documents(docs, mixing.mix(docs)).select(*COLUMNS)
 
 

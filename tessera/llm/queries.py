@@ -75,4 +75,62 @@ def op10_toxicity(spark, sf_dir):
 
 REGISTRY = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op6_substring_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_ann, op10_toxicity)}
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op2_url_filters": f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, row_number() OVER () AS row_no, {LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(r_host, r_path, r_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+fits AS (
+  SELECT row_no, r_host || r_path AS rule, r_verdict, row_number() OVER (
+    PARTITION BY row_no ORDER BY length(r_host) + length(r_path) DESC, length(r_host) DESC, r_verdict DESC) AS n
+  FROM parts JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
+SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE n = 1) f USING (row_no)""",
+    "op4_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op6_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS x
+  FROM w, unnest(range(1, len(words) - 48)) AS t(i) WHERE len(words) >= 50),
+first AS (SELECT x, min(doc_id) AS owner FROM windows GROUP BY x),
+lost AS (SELECT DISTINCT doc_id, i FROM windows JOIN first USING (x) WHERE doc_id > owner),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM lost, unnest(range(0, 50)) AS t(k)),
+flat AS (SELECT doc_id, p, words[p] AS word FROM w, unnest(range(1, len(words) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS rest FROM flat ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op7_minhash_near_dup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(words) - 2, 2))) AS t(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * m >= 80 * (na.n + nb.n - m)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT doc_id, b FROM reach JOIN links ON a = other)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id,
+       w.doc_id = min(other) AS kept
+FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id""",
+}
