@@ -154,6 +154,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     more = _confirmed(across, planes, texts, k, percent, n)
     final = components(links.unionByName(more)).select(F.col("id").alias("rep"), "component")
     out = member.join(final, "rep", "left").withColumn(
-        "component_id", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")))
+        "component_id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep"))
+        .otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -1,15 +1,15 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  Both hold the most
-common words of ordinary text; the toxic one also holds the segments that toxic texts share and
-ordinary ones lack (a greedy cover of the toxic documents, as dictionary builders cover their
-samples, with a penalty for segments of the other class), the ordinary one a like amount of further
-ordinary text.  Every word of a document is one window: it is compressed with either dictionary and
-the difference of the lengths is its distance.  Text is stretched before: each byte is written as
-``STRETCH`` bytes that depend on it and the ``CONTEXT`` bytes before it in the word.  Whole-byte
-lengths then resolve single characters, and chance matches of a few characters gain nothing.  A
-document's features are its largest distance and the sum of its distances above the noise; a
-logistic curve fitted on the training documents turns them into a score, so the threshold is 0.5.
+common words of ordinary text; the toxic one also holds the words and beginnings of words that are
+typical of toxic texts (many times more frequent there, counted by the contexts they occur in, so
+copies of a document count once), the ordinary one a like amount of further ordinary text.  Every
+word of a document is one window: it is compressed with either dictionary and the difference of the
+lengths is its distance.  Words are stretched before: each byte is written as ``STRETCH`` bytes that
+depend on it and all bytes before it in the word, so that zstandard's shortest match and whole-byte
+lengths resolve single characters, and only equal beginnings match.  A document's features are its
+largest distance and the sum of its distances above the noise; a logistic curve fitted on the
+training documents turns them into a score, so the threshold is 0.5.
 
 Fitting reads a bounded sample: at most ``per_class`` labelled documents per class of at most
 ``max_chars`` characters (documented bounds, lowest hash first), collected to the driver.  Scoring
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import worker_cache
 
 STRETCH = 4
-CONTEXT = 3
+LONGEST = 64                # bytes of a window; longer words are several windows
 LEVEL = 6
 BASE_WORDS = 20_000         # words of ordinary text in either dictionary
 CACHED_WORDS = 1_000_000    # distances kept per worker; the cache is emptied when full
@@ -51,12 +51,16 @@ class Model:
     weights: tuple[float, float, float]
 
 
-def stretched(x: bytes, anchored: bool = True) -> bytes:
-    """``STRETCH`` bytes for each byte of ``x``, by the byte and ``CONTEXT`` bytes before it (blanks
-    before an anchored word; other segments lose their first ``CONTEXT`` bytes)."""
-    if anchored:
-        x = b" " * CONTEXT + x
-    return b"".join([xxhash.xxh64_digest(x[i:i + CONTEXT + 1])[:STRETCH] for i in range(len(x) - CONTEXT)])
+def stretched(word: bytes, whole: bool = True) -> bytes:
+    """``STRETCH`` bytes for each byte of a word, twice as many for the end of a whole one."""
+    h, out = xxhash.xxh64(), []
+    for i in range(len(word)):
+        h.update(word[i:i + 1])
+        out.append(h.digest()[:STRETCH])
+    if whole:
+        h.update(b" ")
+        out.append(h.digest()[:2 * STRETCH])
+    return b"".join(out)
 
 
 def _compressors(ordinary: bytes, toxic: bytes):
@@ -78,18 +82,20 @@ class Distances:
     def of(self, word: bytes) -> int:
         v = self.cache.get(word)
         if v is None:
-            x = stretched(word + b" ")
+            x = stretched(word)
             v = len(self.c0.compress(x)) - len(self.c1.compress(x))
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
-            if len(word) <= 64:
-                self.cache[word] = v
+            self.cache[word] = v
         return v
 
 
 def windows(text: str | None) -> list[bytes]:
     """The words of a text in lower case without punctuation at their ends."""
-    return [w.strip(_EDGE) for w in text.lower().encode("utf-8", "replace").split()] if text else []
+    words = [w.strip(_EDGE) for w in text.lower().encode("utf-8", "replace").split()] if text else []
+    if words and max(map(len, words)) > LONGEST:
+        words = [w[i:i + LONGEST] for w in words for i in range(0, max(len(w), 1), LONGEST)]
+    return words
 
 
 def _features(distances: list[int], noise: float) -> tuple[float, float]:
@@ -98,47 +104,26 @@ def _features(distances: list[int], noise: float) -> tuple[float, float]:
     return float(max(max(distances), 0)), float(np.log1p(sum(d for d in distances if d > noise)))
 
 
-def _segments(word: bytes, shortest: int = 5, longest: int = 9) -> set[bytes]:
-    x = b" " + word[:64] + b" "
-    return {x[i:i + k] for k in range(shortest, longest + 1) for i in range(len(x) - k + 1)}
-
-
-def _cover(toxic: list[set[bytes]], ordinary: list[set[bytes]], most: int, least_gain: float) -> list[bytes]:
-    """Segments that cover the toxic documents (each further cover of a document counts a quarter
-    of the last) and hardly occur in ordinary ones."""
-    plain = set().union(*ordinary)
-    of_word: dict[bytes, set[bytes]] = {}
-    held: dict[bytes, set[int]] = {}
-    for i, doc in enumerate(toxic):
-        for w in doc - plain:
-            for s in of_word.setdefault(w, _segments(w)):
-                held.setdefault(s, set()).add(i)
-    need = max(3, least_gain * len(toxic))
-    held = {s: d for s, d in held.items() if len(d) >= need}
-    docs_with = Counter()
-    in_word: dict[bytes, list[bytes]] = {}
-    for doc in ordinary:
-        found: set[bytes] = set()
-        for w in doc:
-            if w not in in_word:
-                in_word[w] = [s for s in _segments(w) if s in held]
-            found.update(in_word[w])
-        docs_with.update(found)
-    cost = {s: 20.0 * docs_with[s] / len(ordinary) for s in held}
-    worth = np.ones(len(toxic))
-    picked: list[bytes] = []
-    at = {s: np.fromiter(d, int) for s, d in held.items()}
-    # only what is worth picking at the start can be later
-    at = {s: d for s, d in at.items() if len(d) / len(toxic) - cost[s] >= least_gain}
-    while at and len(picked) < most:
-        gain = {s: worth[d].sum() / len(toxic) - cost[s] for s, d in at.items()}
-        best = max(gain, key=lambda s: (round(gain[s], 9), len(s), s))
-        if gain[best] < least_gain:
-            break
-        worth[at.pop(best)] *= 0.25
-        picked.append(best)
-        at = {s: d for s, d in at.items() if gain[s] >= least_gain}
-    return picked
+def _contexts(docs: list[list[bytes]]) -> Counter:
+    """How many different neighbours each word, and each beginning of a word, occurs between."""
+    seen = set()
+    for d in docs:
+        seen.update(zip(d, [b"", *d], [*d[1:], b""]))
+    out: Counter = Counter()
+    for w, n in Counter(w for w, _, _ in seen).items():
+        out[w + b" "] += n
+        for k in range(4, min(len(w), 12) + 1):
+            out[w[:k]] += n
+    return out
+
+
+def _typical(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float, most: int) -> list[bytes]:
+    """Words (with a blank) and beginnings of words that are at least ``ratio`` times as frequent in
+    toxic text as in ordinary text, the most frequent last."""
+    n1, n0 = _contexts(toxic), _contexts(ordinary)
+    per1, per0 = max(len(toxic), 1), max(len(ordinary), 1)
+    typical = [(n, x) for x, n in n1.items() if n >= 4 and n / per1 >= ratio * (n0[x] + 0.3) / per0]
+    return [x for _, x in sorted(typical)[-most:]]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -156,8 +141,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 
 
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int = 800, max_chars: int = 8000,
+        ratio: float = 40.0, most_typical: int = 2000,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most ``2 * per_class`` documents.  ``is_training``: a condition on the column
+    """Train on at most ``2 * per_class`` documents.  ``ratio`` and ``most_typical`` bound what is
+    typical of toxic text.  ``is_training``: a condition on the column
     ``id`` that says which labelled rows may be learnt from."""
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
               .where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).where(is_training).distinct())
@@ -174,12 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int
     for doc in ordinary:
         common.update(set(doc))
     ranked = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
-    base = b"".join(stretched(w + b" ") for w in ranked[:BASE_WORDS][::-1])
+    base = b"".join(stretched(w) for w in ranked[:BASE_WORDS][::-1])
     if not toxic or not ordinary:
         return Model(base, base, 0.0, (-3.0, 0.0, 0.0))
-    picked = _cover([set(d) for d in toxic], [set(d) for d in ordinary], 64, 0.002)
-    extra = b"".join(stretched(s.lstrip(b" "), s.startswith(b" ")) for s in picked[::-1])
-    more = b"".join(stretched(w + b" ") for w in ranked[:400])[:len(extra)]
+    extra = b"".join(stretched(x.rstrip(b" "), x.endswith(b" ")) for x in _typical(toxic, ordinary, ratio, most_typical))
+    more = b"".join(stretched(w) for w in ranked[:BASE_WORDS])[:len(extra)]
     m0, m1 = more + base, extra + base
     dist = Distances(m0, m1, {})
     all_of = [[dist.of(w) for w in d] for d in [*toxic, *ordinary]]

@@ -5,11 +5,10 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import ann, topk
 
-IS_QUERY = F.col("id") % 50 == 0
+IS_QUERY = "id % 50 = 0"
 SCHEMA = "vec_id long, embedding array<float>, id string, rank int, score int"
 
 
