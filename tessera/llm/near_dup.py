@@ -8,10 +8,12 @@ count of equal low bits corrected for chance collisions, and pairs well below th
 rest are confirmed on the full sets: ``100 * shared >= percent * all``.
 
 Within a bucket no step emits all pairs.  First every class is compared with the smallest of
-its bucket; the confirmed links give components.  Then only pairs of a bucket that lie in different
-components are compared, which together with the first links decides the same components as all
-pairs would.  With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability
-5e-8, and the estimate's margin is five deviations.
+its bucket; the confirmed links give components.  Buckets that still hold several components are
+joined to clusters, and every class outside a cluster's largest component is compared with the
+cluster's classes of other components, on full sets, in blocks of bounded size: a task gets a block
+of either side and returns only links.  Classes already connected are never compared again, so the
+components are those that all pairs would give.  With 32 bands of 4 rows a pair at similarity 0.8
+shares no band with probability 5e-8, and the estimate's margin is five deviations.
 
 Null text, or text without words: an empty set, linked with nothing.  Rows without an id are linked
 with nothing and keep a null component.  Rows that repeat an id are one document with several texts.
@@ -94,23 +96,28 @@ def estimate(x: str, y: str, n: int) -> F.Column:
     return ((1 - unequal / n) - chance) / (1 - chance)
 
 
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``id, s``: the full sets of the wanted documents, written once."""
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
+                [shingle_set(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))],
+                names=["id", "s"])
+
+    return stored(docs.join(stored(wanted, "near-wanted"), "id").mapInArrow(sets, "id long, s array<bigint>"), "near-sets")
+
+
 def _confirmed(pairs: DataFrame, planes: DataFrame, docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
     """Of the candidate pairs ``a, b`` those whose full sets are similar enough."""
     p = stored(pairs, "near-pairs")
-    floor = percent / 100 - 5 * (0.25 / n) ** 0.5 / (1 - 2.0 ** -BITS)
+    j, chance = percent / 100, 2.0 ** -BITS
+    equal = chance + (1 - chance) * j
+    floor = j - 5 * (equal * (1 - equal) / n) ** 0.5 / (1 - chance)
     est = (p.join(planes.select(F.col("rep").alias("a"), F.col("planes").alias("x")), "a")
            .join(planes.select(F.col("rep").alias("b"), F.col("planes").alias("y")), "b")
            .where(estimate("x", "y", n) >= floor).select("a", "b").distinct())
     est = stored(est, "near-estimated")
-    wanted = stored(est.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted")
-
-    def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
-                [shingle_set(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))],
-                names=["id", "s"])
-
-    full = stored(docs.join(wanted, "id").mapInArrow(sets, "id long, s array<bigint>"), "near-sets")
+    full = _full_sets(docs, est.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     both = (est.join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
             .join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -118,6 +125,50 @@ def _confirmed(pairs: DataFrame, planes: DataFrame, docs: DataFrame, k: int, per
                   "near-links")
 
 
+def _links_of_blocks(percent: int):
+    """Links between a block of classes and a block of classes of other components."""
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            sets = right.column("s2").to_pylist()
+            ids, comp = (right.column(c).to_numpy() for c in ("rep2", "component2"))
+            size = np.array([len(x) for x in sets])
+            vals = np.concatenate([np.array(x, np.int64) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(vals, kind="stable")
+            vals, owner = vals[order], owner[order]
+            for rep, c, s in zip(*(left.column(x).to_pylist() for x in ("rep", "component", "s"))):
+                lo, hi = np.searchsorted(vals, s, "left"), np.searchsorted(vals, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((100 * shared >= percent * (size + len(s) - shared)) & (comp != c))
+                out_a += [rep] * len(hit)
+                out_b += ids[hit].tolist()
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int, minor_block: int = 256, block: int = 512) -> DataFrame:
+    """Links between different components of a cluster.  ``rows``: ``rep, component, cluster``."""
+    per = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = stored(per.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
+                                             F.sum("n").alias("n"), F.max("n").alias("most")), "near-clusters")
+    full = _full_sets(docs, rows.select(F.col("rep").alias("id")), k)
+    at = stored(rows.join(main, "cluster").join(full.groupBy("id").agg(F.first("s").alias("s"))
+                                               .withColumnRenamed("id", "rep"), "rep"), "near-open-sets")
+    blocks, minors = F.ceil(F.col("n") / block), F.ceil((F.col("n") - F.col("most")) / minor_block)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    spread = lambda n: F.pmod(F.xxhash64("rep"), n)
+    left = at.where("component <> main").select("cluster", spread(minors).alias("mb"), upto(blocks).alias("ob"), "rep", "component", "s")
+    right = at.where("n > most").select(
+        F.col("cluster").alias("cluster2"), upto(minors).alias("mb2"), spread(blocks).alias("ob2"),
+        F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("s").alias("s2"))
+    return (left.groupBy("cluster", "mb", "ob").cogroup(right.groupBy("cluster2", "mb2", "ob2"))
+            .applyInArrow(_links_of_blocks(percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for every row."""
@@ -141,17 +192,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = _confirmed(stars, planes, texts, k, percent, n)
     label = components(links).select(F.col("id").alias("rep"), "component")
 
-    # pairs of a bucket in different components; the smallest of each bucket was compared with all
+    # buckets of several components, and the clusters they form
     rest = stored(in_bucket.join(smallest, "key").join(label, "rep", "left")
                   .select("key", "a", "rep", F.coalesce("component", "rep").alias("component")), "near-buckets")
-    mixed_keys = (rest.where("rep > a").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                  .where("lo < hi").select("key"))
-    open_rows = stored(rest.where("rep > a").join(stored(mixed_keys, "near-open"), "key")
-                       .select("key", "rep", "component"), "near-open-rows")
-    other = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    across = (open_rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")).join(other, "key")
-              .where("a < b and ca <> cb").select("a", "b").distinct())
-    more = _confirmed(across, planes, texts, k, percent, n)
+    open_keys = stored(rest.where("rep > a").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                       .where("lo < hi").select("key"), "near-open")
+    open_rows = stored(rest.join(open_keys, "key").select("a", "rep", "component").distinct(), "near-open-rows")
+    cluster = components(open_rows, "a", "rep").select(F.col("id").alias("rep"), "component").withColumnRenamed("component", "cluster")
+    more = stored(_across(open_rows.select("rep", "component").distinct().join(cluster, "rep"), texts, k, percent), "near-links")
     final = components(links.unionByName(more)).select(F.col("id").alias("rep"), "component")
     out = member.join(final, "rep", "left").withColumn(
         "component_id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep"))
