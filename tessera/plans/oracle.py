@@ -373,6 +373,8 @@ def queries() -> dict[str, str]:
                              "verdict", "r_verdict")
     Q["default_ids"] = sql(f"""SELECT 'unknown_' || b.ord AS id, r.id AS order_id, (r.generated = 0 OR r.generated <> r.original_parts) AS is_failed
         FROM r_verdict r JOIN batched b ON b.id = r.id""", "r_verdict", "batched")
+    Q["path_names"] = """SELECT doc_id, source || '.en' AS name, source || '.en.json' AS file,
+        'failed_ids_tables_cad_orders_0_' || strftime(make_timestamp(doc_id * 3601 * 1000000), '%Y%m%d_%H%M%S') AS log FROM documents"""
     Q["consistent_split"] = sql("""SELECT 'cad_0_' || count(*) || '_3parts' AS split, count(*)::BIGINT AS n_rows
         FROM cad WHERE n = 3""", "cad")
     Q["publish_buckets"] = "SELECT split, count(*)::BIGINT AS n_rows FROM (" + Q["clean_and_bucket"] + ") GROUP BY split"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import chat, jsonx, text as tx, tokens
+from tessera.functions import chat, jsonx, names, text as tx, tokens
 from tessera.operators import cad, position, requests as rq, responses as rs, retry, survey
 from tessera.plans import fixtures as fx, jobs
 from tessera.session import scratch_dir, stored
@@ -317,6 +317,16 @@ def model_calls(spark, d):
     return job["judged"].select("id", "pos", "generated", "is_failed")
 
 
+def path_names(spark, d):
+    """Base names and last segments of paths, log names and timestamps."""
+    docs = fx.table(spark, d, "documents")
+    path = F.concat(F.lit("logs/"), "lang", F.lit("/v1."), F.col("doc_id").cast("string"), F.lit("/"), "source", F.lit(".en.json"))
+    at = F.timestamp_seconds(F.col("doc_id") * 3601)
+    return docs.select("doc_id", tx.basename_no_ext(path).alias("name"), tx.last_segment(path).alias("file"),
+                       F.concat(F.lit(logs.failed_log_name("tables/cad", "orders", 0, "")),
+                                F.date_format(at, names.TS_FORMAT)).alias("log"))
+
+
 def publish_buckets(spark, d):
     path = scratch_dir(spark, "published")
     jobs.publish_buckets(jobs.clean_and_bucket(_stage1_ord(spark, d)), path)
