@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, shards: int =
     blocks = drawn.where(F.col("block").isNotNull()).select("source_key", "block").distinct()
     dealt = drawn.join(split_blocks(blocks, shards, seed), ["source_key", "block"], "left")
     placement = F.when(F.col("block").isNotNull(), F.struct(
-        "epoch", "block", "shard", F.xxhash64(F.lit(seed), F.lit("position"), "key1", "key2", "row", "epoch").alias("position")))
+        "epoch", "block", "shard", F.xxhash64(F.lit(seed), F.lit("position"), "key1", "key2", "epoch").alias("position")))
     return (dealt.groupBy("row", "id", "size", "source_size", "target", "key1", "key2")
             .agg(F.array_sort(F.collect_list(placement)).alias("placements"))
             .select(F.col("id").alias(id_col), "size", "source_size", "target", F.size("placements").alias("copies"),
