@@ -16,6 +16,7 @@ Null ids are kept.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -36,43 +37,63 @@ class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A byte-level BPE whose pre-tokeniser puts a single blank with the word after it never joins
-    what lies on both sides of such a blank, nor of a single line end between two words.  Texts whose
-    only white space is single blanks and line ends are therefore cut there and each distinct piece
-    is encoded once per worker; all other texts are encoded whole."""
+    what lies on both sides of such a blank, nor of a single line end between two words, nor a
+    closing mark with the letters before it.  Texts are cut there and each distinct piece is encoded
+    once per worker; a text with any other white space is encoded whole."""
 
-    #: white space other than a single blank or line end between two words, or characters that the
-    #: tokeniser and Python may class differently
-    ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x00\x1c-\x1f\u180e\u200b-\u200d\u2060\ufeff]")
+    #: white space, and characters that the tokeniser and Python may class differently
+    ODD = re.compile(r"\s|[\x1c-\x1f\u180e\u200b-\u200d\u2060\ufeff]")
+    MARKS = frozenset(",.;:!?")
 
     def __init__(self, path: str, cache: dict):
         if "tokenizer" not in cache:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs a worker per core
             from tokenizers import Tokenizer
             t = Tokenizer.from_file(path)
             t.encode_special_tokens = True     # their strings in a text are ordinary text
             cache["tokenizer"], cache["words"] = t, {}
         self.tokenizer, self.words = cache["tokenizer"], cache["words"]
+        self.marks = dict(zip(sorted(self.MARKS), self.whole(sorted(self.MARKS))))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces; None for a piece that shows other white space than expected."""
+        words, stems, closed = self.words, [], []
+        for w in pieces:
+            body = w.removeprefix("\n").removeprefix("\n")
+            if not body or self.ODD.search(body):
+                words[w] = None
+            elif w[-1] in self.MARKS and w[:-1].isalnum():
+                closed.append(w)
+                if w[:-1] not in words and w[:-1] not in pieces:
+                    stems.append(w[:-1])
+            else:
+                stems.append(w)
+        # two line ends mark a text's first word, one is that before a line, all others follow a blank
+        heads = [w[2:] if w[:2] == "\n\n" else w if w[0] == "\n" else " " + w for w in stems]
+        words.update(zip(stems, self.whole(heads)))
+        for w in closed:
+            words[w] = words[w[:-1]] + self.marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(self.ODD.search(t)) for t in texts]
-        # \x00 marks a text's first word, \n stays before a line's first word, all others follow a blank
-        cut = [None if o else ("\x00" + t.replace("\n", " \n")).split(" ") for t, o in zip(texts, odd)]
+        cut = [("\n\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        new = set().union(*[c for c in cut if c]) - self.words.keys() if cut else set()
-        long = [w for w in new if len(w) > 64]
-        fresh = list(new)
-        if fresh:
-            heads = [w[1:] if w[0:1] == "\x00" else w if w[0:1] == "\n" else " " + w for w in fresh]
-            self.words.update(zip(fresh, self.whole(heads)))
-        look = self.words.__getitem__
-        whole = iter(self.whole([t for t, o in zip(texts, odd) if o]))
-        out = [next(whole) if c is None else b"".join(map(look, c)) for c in cut]
-        for w in long:                         # long strings are not kept
-            del self.words[w]
+        new = set().union(*cut) - self.words.keys()
+        if new:
+            self._learn(new)
+        look, out = self.words.__getitem__, []
+        for t, c in zip(texts, cut):
+            try:
+                out.append(b"".join(map(look, c)))
+            except TypeError:                  # an odd piece
+                out.append(self.whole([t])[0])
+        for w in new:                          # long strings are not kept
+            if len(w) > 64:
+                del self.words[w]
         return out
 
 
