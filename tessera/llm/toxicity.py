@@ -37,8 +37,8 @@ from tessera.llm.common import worker_cache
 STRETCH = 4
 LONGEST = 64                # bytes of a window; longer words are several windows
 LEVEL = 6
-BASE_WORDS = 20_000         # words of ordinary text in either dictionary
-CACHED_WORDS = 1_000_000    # distances kept per worker; the cache is emptied when full
+BASE_WORDS = 5_000          # words of ordinary text in either dictionary
+CACHED_WORDS = 300_000      # distances kept per worker; the cache is emptied when full
 _EDGE = b".,;:!?\"'()[]{}<>*_-"
 
 
@@ -119,17 +119,23 @@ def _contexts(docs: list[list[bytes]]) -> Counter:
 
 def _typical(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float, most: int) -> list[bytes]:
     """Words (with a blank) and beginnings of words that are at least ``ratio`` times as frequent in
-    toxic text as in ordinary text, the most frequent last."""
+    toxic text as in ordinary text, the most frequent last.  A fifth of that is enough for what
+    begins with something typical: rare words of a family then count with the family."""
     n1, n0 = _contexts(toxic), _contexts(ordinary)
     per1, per0 = max(len(toxic), 1), max(len(ordinary), 1)
-    typical = [(n, x) for x, n in n1.items() if n >= 4 and n / per1 >= ratio * (n0[x] + 0.3) / per0]
-    return [x for _, x in sorted(typical)[-most:]]
+    odds = {x: n / per1 / ((n0[x] + 0.3) / per0) for x, n in n1.items()}
+    family = {x for x, r in odds.items() if r >= ratio and n1[x] >= 4}
+    relatives = set()
+    for x, r in odds.items():
+        if ratio > r >= ratio / 5 and n1[x] >= 2 and any(x[:k] in family for k in range(4, len(x))):
+            relatives.add(x)
+    return sorted(family | relatives, key=lambda x: (n1[x], x))[-most:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression (classes count alike)."""
+def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression; the toxic class counts as ``prior`` of all."""
     w = np.zeros(x.shape[1])
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    share = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1)) * len(y)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (share * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
@@ -141,10 +147,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 
 
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int = 800, max_chars: int = 8000,
-        ratio: float = 40.0, most_typical: int = 2000,
+        ratio: float = 40.0, most_typical: int = 2000, prior: float = 0.1,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most ``2 * per_class`` documents.  ``ratio`` and ``most_typical`` bound what is
-    typical of toxic text.  ``is_training``: a condition on the column
+    typical of toxic text; ``prior`` is the share of toxic documents to expect.  ``is_training``: a condition on the column
     ``id`` that says which labelled rows may be learnt from."""
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
               .where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).where(is_training).distinct())
@@ -165,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int
     if not toxic or not ordinary:
         return Model(base, base, 0.0, (-3.0, 0.0, 0.0))
     extra = b"".join(stretched(x.rstrip(b" "), x.endswith(b" ")) for x in _typical(toxic, ordinary, ratio, most_typical))
-    more = b"".join(stretched(w) for w in ranked[:BASE_WORDS])[:len(extra)]
+    more = b"".join(stretched(w) for w in ranked[BASE_WORDS:])[:len(extra)]
+    # small enough for the match finder to keep every position of either
     m0, m1 = more + base, extra + base
     dist = Distances(m0, m1, {})
     all_of = [[dist.of(w) for w in d] for d in [*toxic, *ordinary]]
@@ -173,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int
     noise = float(max(np.quantile(plain, 0.9999), 1))
     y = np.array([1] * len(toxic) + [0] * len(ordinary))
     x = np.array([(1.0, *_features(d, noise)) for d in all_of])
-    return Model(m0, m1, noise, tuple(float(v) for v in _logistic(x, y)))
+    return Model(m0, m1, noise, tuple(float(v) for v in _logistic(x, y, prior)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
