@@ -57,6 +57,9 @@ def running_sum(df: DataFrame, groups: list[str], bucket: str, order: list, valu
 
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker: functions are shipped by value, so their
-    module globals are new in each task, while ``sys.modules`` stays."""
+    module globals are new in each task, while ``sys.modules`` stays.  Caches of other names go, as
+    the next operator on the same worker needs the memory."""
     mod = sys.modules.setdefault("_tessera_worker_cache", types.ModuleType("_tessera_worker_cache"))
+    for other in [k for k, v in mod.__dict__.items() if isinstance(v, dict) and k != name and not k.startswith("__")]:
+        del mod.__dict__[other]
     return mod.__dict__.setdefault(name, {})

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, worker_cache
 from tessera.llm.components import components
 from tessera.llm.shingles import mixed, shingle_set
 
@@ -51,6 +51,7 @@ def _signer(k: int, bands: int, rows: int):
         return out
 
     def run(batches):
+        worker_cache("near")                 # empties what other operators keep
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)

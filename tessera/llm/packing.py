@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, worker_cache
 from tessera.operators.position import with_ord
 
-CACHED_WORDS = 1_000_000     # encoded words kept per worker; the cache is emptied when full
+CACHED_WORDS = 700_000       # encoded words kept per worker; when full, only those of the current texts stay
 
 
 class Encoder:
@@ -80,9 +80,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [("\n\n" + t.replace("\n", " \n")).split(" ") for t in texts]
+        used = set().union(*cut)
         if len(self.words) > CACHED_WORDS:
+            known = {w: self.words[w] for w in used if w in self.words}
             self.words.clear()
-        new = set().union(*cut) - self.words.keys()
+            self.words.update(known)
+        new = used - self.words.keys()
         if new:
             self._learn(new)
         look, out = self.words.__getitem__, []

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import owners, per_text, recurring
-from tessera.llm.common import stored
+from tessera.llm.common import stored, worker_cache
 from tessera.llm.shingles import rolling, word_hashes
 
 PHRASE = 12                  # words of an anchor phrase
@@ -54,6 +54,7 @@ def _tag(d1: int) -> int:
 def _scan(span: int):
     """Per row: id, number of words, digest of the words, SHA-256 of all words, anchors and places."""
     def run(batches):
+        worker_cache("substring")            # empties what other operators keep
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
