@@ -16,7 +16,7 @@ Every byte covered by a string of ``span`` bytes that also starts anywhere else
 
 Buckets are numerous enough to hold about ``bucket_rows`` suffixes each.  An anchor with more than
 ``hot`` occurrences would make one task long: its windows are compared by a 128-bit digest instead,
-with aggregation before the shuffle and a join the skew join can split.
+counted in salted parts (see ``_repeated``), so no task holds all of them.
 
 Null text is empty.  Ids only name the rows: null and repeated ids are kept, repeated rows are
 copies of each other.  Texts shorter than ``span`` lose nothing.  An empty table gives an empty
@@ -31,11 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import owners
-from tessera.llm.common import stored
+from tessera.llm.common import bucket_of, stored
 from tessera.llm.merge import decoded, front_coded, merge_runs
 from tessera.llm.shingles import mixed, rolling
 
@@ -218,6 +218,20 @@ def _hot_windows(span: int):
     return run
 
 
+def _repeated(windows: DataFrame, salts: int = 1024) -> DataFrame:
+    """Rows whose digest ``g1, g2`` occurs more than once, without a join: a digest is counted in
+    ``salts`` parts, and then once more over the first row of each part.  No window holds more than
+    a part of a digest's rows, or one row per part."""
+    part = Window.partitionBy("g1", "g2", "salt")
+    rows = (windows.withColumn("salt", bucket_of(salts, "m", "t", "s"))
+            .withColumn("in_part", F.count(F.lit(1)).over(part))
+            .withColumn("nth", F.row_number().over(part.orderBy("m", "t", "s")))
+            # first rows meet under one key, all others stay in their part
+            .withColumn("salt", F.when(F.col("nth") == 1, -1).otherwise(F.col("salt"))))
+    firsts = F.count(F.lit(1)).over(Window.partitionBy("g1", "g2", "salt"))
+    return rows.withColumn("firsts", firsts).where("in_part > 1 or firsts > 1")
+
+
 def _cut(keep_texts: bool):
     """Texts with the spans to remove -> bytes and spans removed, digest of the rest."""
     def run(batches):
@@ -278,8 +292,7 @@ def drop_repeated_strings(docs: DataFrame, span: int = 200, bucket_rows: int = 2
         _hot_windows(span), "m long, t int, s array<bigint>, g1 array<bigint>, g2 array<bigint>"), "suf-hot")
     each = windows.dropDuplicates(["m", "t"]).select("m", "t", F.explode(F.arrays_zip("s", "g1", "g2")).alias("w")).select(
         "m", "t", "w.s", "w.g1", "w.g2")
-    twice = stored(each.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g1", "g2"), "suf-twice")
-    often = each.join(twice, ["g1", "g2"]).select("m", "t", F.col("s").alias("lo"), (F.col("s") + span).alias("hi"))
+    often = _repeated(each).select("m", "t", F.col("s").alias("lo"), (F.col("s") + span).alias("hi"))
     spans = stored(merged.unionByName(often).groupBy("m", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suf-spans")
     cut = stored(open_texts.select("m", "t", "text").join(spans, ["m", "t"]).mapInArrow(
         _cut(keep_bytes), "m long, t int, gone long, runs long, rest string" + ", kept binary" * keep_bytes), "suf-cut")
