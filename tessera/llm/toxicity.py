@@ -147,7 +147,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-2, r
 
 
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int = 800, max_chars: int = 8000,
-        ratio: float = 40.0, most_typical: int = 2000, prior: float = 0.1,
+        ratio: float = 60.0, most_typical: int = 2000, prior: float = 0.1,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most ``2 * per_class`` documents.  ``ratio`` and ``most_typical`` bound what is
     typical of toxic text; ``prior`` is the share of toxic documents to expect.  ``is_training``: a condition on the column
