@@ -38,12 +38,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that also start in a smaller document go; a document with no word
-    left goes, all others stay (unchanged, if nothing in them repeats)."""
-    docs = docs.select(*COLUMNS)
+    left goes, all others stay (unchanged, if nothing in them repeats).  Cuts are joined by id and
+    text, as ids may be null or repeat."""
+    docs = docs.select(*COLUMNS, F.md5(F.col("text").cast("binary")).alias("md5"))
     cut = substring.drop_repeated_windows(docs, span=50, keep_texts=True)
     cut = stored(cut.where("n_removed > 0").select(
-        F.col("doc_id").alias("cut_id"), "n_words", "n_removed", "kept").dropDuplicates(["cut_id"]), "pipeline-cut")
-    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
+        F.col("doc_id").alias("cut_id"), F.col("md5").alias("cut_md5"), "n_words", "n_removed", "kept")
+        .dropDuplicates(["cut_id", "cut_md5"]), "pipeline-cut")
+    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("md5") == F.col("cut_md5")), "left")
     text = F.coalesce("kept", "text")
     return (out.where(F.col("n_removed").isNull() | (F.col("n_removed") < F.col("n_words")))
             .select("doc_id", text.alias("text"), "lang", "source",

@@ -52,7 +52,7 @@ def _tag(d1: int) -> int:
 
 
 def _scan(span: int):
-    """Per row: id, number of words, digest of the words, SHA-256 of all words, anchors and places."""
+    """Per row: id, MD5 of the text, number of words, digest of the words, SHA-256 of all words, anchors and places."""
     def run(batches):
         worker_cache("substring")            # empties what other operators keep
         for b in batches:
@@ -72,10 +72,10 @@ def _scan(span: int):
                     for c, v in zip(cols, (len(w), x, y, hashlib.sha256(joined).hexdigest(), anchor, at.astype(np.int32))):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                    part.column(0), part.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
                     pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()),
                     pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int32()))],
-                    names=["id", "n_words", "d1", "d2", "sha", "anchors", "places"])
+                    names=["id", "md5", "n_words", "d1", "d2", "sha", "anchors", "places"])
 
     return run
 
@@ -158,9 +158,11 @@ def _cut(span: int, keep_texts: bool):
 def drop_repeated_windows(docs: DataFrame, span: int = 50, shard_words: int = 200_000, id_col: str = "doc_id",
                           text_col: str = "text", keep_texts: bool = False) -> DataFrame:
     """``id_col, n_words, n_removed, kept_sha256`` for every row; ``keep_texts`` adds ``kept``: the
-    kept words joined by one blank, or null where no word goes (the text stays as it is)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_scan(span), "id long, n_words long, d1 long, d2 long, sha string, "
+    kept words joined by one blank, or null where no word goes (the text stays as it is), and
+    ``md5`` of the text: id and text together name a row, as ids may be null or repeat."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                        F.md5(F.col(text_col).cast("binary")).alias("md5"))
+    signed = stored(texts.mapInArrow(_scan(span), "id long, md5 string, n_words long, d1 long, d2 long, sha string, "
                                                   "anchors array<bigint>, places array<int>"), "sub-signed")
     order = F.coalesce("id", F.lit(LAST))
     # a class: equal word sequences; m: its smallest id; t keeps texts that repeat an id apart
@@ -168,7 +170,7 @@ def drop_repeated_windows(docs: DataFrame, span: int = 50, shard_words: int = 20
     tag = F.col("d1").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("t")
     is_first = F.coalesce(order == F.col("m"), F.lit(False))
     member = stored(signed.join(classes, ["d1", "d2"], "left")
-                    .select("id", "n_words", "sha", "m", tag, is_first.alias("first"),
+                    .select("id", "md5", "n_words", "sha", "m", tag, is_first.alias("first"),
                             F.when(is_first, F.arrays_zip("anchors", "places")).alias("a")), "sub-members")
     rows = (member.where("first").select("m", "t", F.explode("a").alias("x"))
             .select("m", "t", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place")))
@@ -193,11 +195,11 @@ def drop_repeated_windows(docs: DataFrame, span: int = 50, shard_words: int = 20
     nothing = hashlib.sha256(b"").hexdigest()
     firsts = member.where("first").drop("a").join(per_class, ["m", "t"], "left").select(
         "id", "n_words", F.coalesce("gone", F.lit(0)).alias("n_removed"), F.coalesce("rest", "sha").alias("kept_sha256"),
-        "m", "t", *["kept"] * keep_texts)
+        "m", "t", *["kept", "md5"] * keep_texts)
     all_gone = F.col("n_words") >= span
     others = member.where("not first").select(
         "id", "n_words", F.when(all_gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
         F.when(all_gone, F.lit(nothing)).otherwise(F.col("sha")).alias("kept_sha256"), "m", "t",
-        *[F.when(all_gone, F.lit("")).alias("kept")] * keep_texts)
+        *[F.when(all_gone, F.lit("")).alias("kept"), F.col("md5")] * keep_texts)
     out = firsts.unionByName(others).withColumnRenamed("id", id_col)
-    return out.select(id_col, "n_words", "n_removed", "kept_sha256", *["kept"] * keep_texts)
+    return out.select(id_col, "n_words", "n_removed", "kept_sha256", *["kept", "md5"] * keep_texts)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import queries, toxicity
+from test_dedup import plain_near
+from tessera.llm import mixing, packing, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -55,3 +56,63 @@ def test_toxic_documents_go(spark):
     scored = toxicity.score(docs, queries.toxicity_model(spark, SF, docs))
     left = corpus_pipeline.drop_toxic(spark, docs, SF)
     assert left.count() == scored.where("score < 0.5").count()
+
+
+def plain_toxic(rows, model):
+    dist = toxicity.Distances(model.ordinary, model.toxic, {})
+
+    def logit(text):
+        return sum(a * x for a, x in zip(model.weights, (1, *toxicity._features(list(map(dist.of, toxicity.windows(text))), model.noise))))
+
+    return [r for r in rows if logit(r[1]) < 0]
+
+
+def plain_kept(rows):
+    """A row stays if its document is the smallest id of its group; rows without an id stay."""
+    kept = {i for i, _, _, k in plain_near([(r[0], r[1] or "") for r in rows], 5, 80) if k}
+    return [r for r in rows if r[0] in kept]
+
+
+def plain_passages(rows, span=50):
+    order = lambda i: float("inf") if i is None else i
+    words = [(r[1] or "").encode().split() for r in rows]
+    first = {}
+    for r, w in zip(rows, words):
+        for a in range(len(w) - span + 1):
+            g = tuple(w[a:a + span])
+            first[g] = min(first.get(g, order(r[0])), order(r[0]))
+    for r, w in zip(rows, words):
+        gone = [False] * len(w)
+        for a in range(len(w) - span + 1):
+            if first[tuple(w[a:a + span])] < order(r[0]):
+                gone[a:a + span] = [True] * span
+        rest = b" ".join(x for x, g in zip(w, gone) if not g).decode()
+        if not any(gone):
+            yield r
+        elif not all(gone):
+            yield (r[0], rest, *r[2:4], len(rest))
+
+
+def test_stages_row_by_row(spark, corpus):
+    """With several rows without an id, and with one id, of different texts."""
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    old = order(corpus.select(*corpus_pipeline.COLUMNS).collect())
+    base, passage = (next(r[1] for r in old if r[0] == i) for i in (30, 50))
+    passage = " ".join(passage.split()[20:90])
+    new = [(None, "fresh words " + passage), (None, base), (None, "  ".join(base.split())), (None, "one  two three"),
+           (None, ""), (71, passage), (71, "own text of this row"), (30, " ".join(map(str, range(200, 240))) + " " + passage), (72, " ".join(map(str, range(99))))]
+    rows = order(old + [(i, t, "de", f"n{k}", len(t)) for k, (i, t) in enumerate(new)])
+    frame = lambda rows: spark.createDataFrame(rows, corpus.select(*corpus_pipeline.COLUMNS).schema).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    run = lambda name, rows: order(stage[name](spark, frame(rows), SF).collect())
+
+    assert run("toxicity", rows) == order(plain_toxic(rows, queries.toxicity_model(spark, SF, frame(rows))))
+    assert run("near_duplicates", rows) == order(plain_kept(rows))
+    rows = plain_kept(rows)
+    assert run("repeated_passages", rows) == order(plain_passages(rows))
+    rows = list(plain_passages(rows))
+    copies = mixing.mix(frame(rows)).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    mixed = run("mixing", rows)
+    assert set(mixed) <= set(rows)
+    assert {r["doc_id"]: r["n"] for r in copies if r["n"]} == {i: sum(r[0] == i for r in mixed) for i in {r[0] for r in mixed}}
+    assert run("packing", mixed) == order(packing.pack(frame(mixed), queries.tokenizer_path(), seq_len=2048).collect())
