@@ -7,13 +7,18 @@ copies of a document count once), the ordinary one a like amount of further ordi
 word of a document is one window: it is compressed with either dictionary and the difference of the
 lengths is its distance.  Words are stretched before: each byte is written as ``STRETCH`` bytes that
 depend on it and all bytes before it in the word, so that zstandard's shortest match and whole-byte
-lengths resolve single characters, and only equal beginnings match.  A document's features are its
-largest distance and the sum of its distances above the noise; a logistic curve fitted on the
-training documents turns them into a score, so the threshold is 0.5.
+lengths resolve single characters, and only equal beginnings match.
 
-Fitting reads a bounded sample: at most ``per_class`` labelled documents per class of at most
-``max_chars`` characters (documented bounds, lowest hash first), collected to the driver.  Scoring
-reads every word of every document.
+A document is cut into even passages of at most ``PASSAGE`` words.  A passage's features are its
+largest distance and the sum of its distances above the noise; a logistic curve fitted on passages
+of the training documents gives its odds.  The odds of a document are the mean of its passages'
+odds: what a passage must show grows with the number of passages, so length alone is no evidence
+(a clean document's mean does not grow), while one clear passage, or weak signs in many, are.  The
+threshold of the score is 0.5.
+
+Fitting reads a bounded sample: at most ``per_class`` labelled documents per class with text (lowest
+hash first), of each at most ``per_doc`` whole passages, spread evenly, collected to the driver.
+Scoring reads every word of every document.
 
 Null and empty texts have no windows and get the score of no evidence.  Repeated rows are scored
 alike.  If a class has no labelled document the score is the same low value everywhere (there is
@@ -36,6 +41,7 @@ from tessera.llm.common import worker_cache
 
 STRETCH = 4
 LONGEST = 64                # bytes of a window; longer words are several windows
+PASSAGE = 256               # words that are judged together
 LEVEL = 6
 BASE_WORDS = 5_000          # words of ordinary text in either dictionary
 CACHED_WORDS = 300_000      # distances kept per worker; the cache is emptied when full
@@ -104,6 +110,21 @@ def _features(distances: list[int], noise: float) -> tuple[float, float]:
     return float(max(max(distances), 0)), float(np.log1p(sum(d for d in distances if d > noise)))
 
 
+def passages(items: list) -> list[list]:
+    """Even cuts of at most ``PASSAGE`` words; one, if there are none."""
+    n = max(-(-len(items) // PASSAGE), 1)
+    at = [len(items) * i // n for i in range(n + 1)]
+    return [items[a:b] for a, b in zip(at, at[1:])]
+
+
+def evaluate(dist: Distances, model: Model, text: str | None) -> float:
+    """The score of a text: the mean odds of its passages as a share."""
+    a, b, c = model.weights
+    x = np.array([_features(p, model.noise) for p in passages([dist.of(w) for w in windows(text)])])
+    odds = np.exp(np.clip(a + x @ (b, c), -30, 30)).mean()
+    return float(odds / (1 + odds))
+
+
 def _contexts(docs: list[list[bytes]]) -> Counter:
     """How many different neighbours each word, and each beginning of a word, occurs between."""
     seen = set()
@@ -132,10 +153,12 @@ def _typical(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float
     return sorted(family | relatives, key=lambda x: (n1[x], x))[-most:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression; the toxic class counts as ``prior`` of all."""
+def _logistic(x: np.ndarray, y: np.ndarray, part: np.ndarray, prior: float, ridge: float = 1e-2,
+              rounds: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression; a row counts as ``part`` of a document, the toxic class
+    as ``prior`` of all."""
     w = np.zeros(x.shape[1])
-    share = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1)) * len(y)
+    share = part * np.where(y == 1, prior / (part * y).sum(), (1 - prior) / (part * (1 - y)).sum()) * part.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (share * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
@@ -146,7 +169,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-2, r
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int = 800, max_chars: int = 8000,
+def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int = 800, per_doc: int = 8,
         ratio: float = 40.0, most_typical: int = 2000, prior: float = 0.1,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most ``2 * per_class`` documents.  ``ratio`` and ``most_typical`` bound what is
@@ -154,15 +177,28 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int
     ``id`` that says which labelled rows may be learnt from."""
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
               .where(F.col("y").isin(0, 1) & F.col("id").isNotNull()).where(is_training).distinct())
-    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-             .where(F.length("text").between(1, max_chars)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+
+    def sample(batches):
+        """Whole passages of each text: all, or ``per_doc`` spread evenly."""
+        for b in batches:
+            got = []
+            for t in b.column(1):
+                p = passages(windows(t.as_py()))
+                n = min(len(p), per_doc)
+                got.append([p[len(p) * i // n] for i in range(n)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.list_(pa.binary())))], names=["id", "p"])
+
+    schema = texts.select("id", F.lit(None).cast("array<array<binary>>").alias("p")).schema
     parts = []
     for y in (1, 0):
-        # ids first (short rows), four for each document wanted, as some are too long; then their texts
-        ids = marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(4 * per_class).select("id")
-        parts.append([r["text"] for r in texts.join(F.broadcast(ids), "id")
-                      .orderBy(F.xxhash64("id"), "id").limit(per_class).select("text").collect()])
-    toxic, ordinary = [[windows(t) for t in p] for p in parts]
+        # ids first (short rows) of documents that have a text, then those texts
+        ids = (marked.where(F.col("y") == y).join(texts.select("id"), "id", "left_semi")
+               .orderBy(F.xxhash64("id"), "id").limit(per_class).select("id"))
+        parts.append([[list(map(bytes, p)) for p in r["p"]] for r in texts.join(F.broadcast(ids), "id")
+                      .orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(per_class)
+                      .mapInArrow(sample, schema).select("p").collect()])
+    toxic, ordinary = [[[w for q in p for w in q] for p in part] for part in parts]
     common = Counter()
     for doc in ordinary:
         common.update(set(doc))
@@ -175,12 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int
     # small enough for the match finder to keep every position of either
     m0, m1 = more + base, extra + base
     dist = Distances(m0, m1, {})
-    all_of = [[dist.of(w) for w in d] for d in [*toxic, *ordinary]]
-    plain = np.array([x for d in all_of[len(toxic):] for x in d] or [0])
+    plain = np.array([dist.of(w) for d in ordinary for w in d] or [0])
     noise = float(max(np.quantile(plain, 0.9999), 1))
-    y = np.array([1] * len(toxic) + [0] * len(ordinary))
-    x = np.array([(1.0, *_features(d, noise)) for d in all_of])
-    return Model(m0, m1, noise, tuple(float(v) for v in _logistic(x, y, prior)))
+    rows = [(y, 1 / len(d), 1.0, *_features([dist.of(w) for w in p], noise)) for y, part in zip((1, 0), parts) for d in part for p in d]
+    y, part, x = np.split(np.array(rows), (1, 2), axis=1)
+    return Model(m0, m1, noise, tuple(float(v) for v in _logistic(x, y.ravel(), part.ravel(), prior)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
@@ -190,12 +225,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         dist = Distances(model.ordinary, model.toxic, worker_cache(f"toxicity:{hash((model.ordinary, model.toxic))}"))
-        a, b, c = model.weights
         for batch in batches:
-            got = []
-            for t in batch.column(batch.num_columns - 1):
-                m, s = _features([dist.of(w) for w in windows(t.as_py())], model.noise)
-                got.append(float(1 / (1 + np.exp(-np.clip(a + b * m + c * s, -30, 30)))))
+            got = [evaluate(dist, model, t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())],
                                              names=[*batch.schema.names[:-1], "score"])
 

@@ -60,11 +60,7 @@ def test_toxic_documents_go(spark):
 
 def plain_toxic(rows, model):
     dist = toxicity.Distances(model.ordinary, model.toxic, {})
-
-    def logit(text):
-        return sum(a * x for a, x in zip(model.weights, (1, *toxicity._features(list(map(dist.of, toxicity.windows(text))), model.noise))))
-
-    return [r for r in rows if logit(r[1]) < 0]
+    return [r for r in rows if toxicity.evaluate(dist, model, r[1]) < 0.5]
 
 
 def plain_kept(rows):

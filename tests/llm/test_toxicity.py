@@ -45,3 +45,29 @@ def test_nothing_to_learn_and_empty_table(small):
     model = toxicity.fit(docs, labels.limit(0), F.lit(True))
     assert {r["score"] < 0.5 for r in toxicity.score(docs, model).collect()} == {True}
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_long_training_documents_count(spark):
+    words = lambda i, n: " ".join(f"w{(i * 7 + k * k) % 501}" for k in range(n))
+    rows = [(i, words(i, 3000)) for i in range(40)] + [(100 + i, words(i, 60).replace(" ", f" horrid{i % 3} ", 40) + " " + words(i, 2900)) for i in range(40)]
+    assert all(len(t) > 8000 for _, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True))).collect()}
+    assert all((s >= 0.5) == (i >= 100) for i, s in got.items())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_length_alone_is_no_evidence(spark):
+    """Clean held-out texts joined to very long ones stay clean, toxic ones stay toxic."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, ~is_held_out(F.col("id")))
+    marked = toxicity.score(docs, model, keep=["lang"]).join(labels, "doc_id").where(is_held_out(F.col("doc_id"))).join(
+        docs.select("doc_id", "text"), "doc_id").orderBy("doc_id").collect()
+    clean = [r["text"] for r in marked if r["toxic"] == 0 and r["score"] < 0.5]
+    toxic = [r["text"] for r in marked if r["toxic"] == 1 and r["score"] >= 0.5]
+    dist = toxicity.Distances(model.ordinary, model.toxic, {})
+    score = lambda texts: toxicity.evaluate(dist, model, " ".join(texts))
+    for n in (50, 200, len(clean)):
+        assert all(score(clean[a:a + n]) < 0.5 for a in range(0, len(clean) - n + 1, n))
+    assert score(toxic) >= 0.5 and score(clean[:50] + toxic[:1]) >= 0.5
