@@ -43,4 +43,4 @@ def recurring(rows: DataFrame, condition: str, **least_most) -> DataFrame:
 
 def per_text(rows: DataFrame, found: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """The recurring anchors of each text as a list (no longer than the text)."""
-    return stored(rows.join(found, "anchor").groupBy(*keys).agg(F.collect_list(value).alias(out)), "anchors-of-texts")
+    return stored(rows.join(found, "anchor").groupBy(*keys).agg(F.collect_set(value).alias(out)), "anchors-of-texts")

@@ -47,10 +47,6 @@ def _digest(joined: bytes) -> list[int]:
     return np.frombuffer(xxhash.xxh3_128_digest(joined), "<i8").tolist()
 
 
-def _tag(d1: int) -> int:
-    return d1 & 0x7FFFFFFF
-
-
 def _scan(span: int):
     """Per row: id, MD5 of the text, number of words, digest of the words, SHA-256 of all words, anchors and places."""
     def run(batches):
@@ -110,7 +106,7 @@ def _locate(span: int, shard_words: int):
             for c, v in zip(cols, (m, t, text, start.astype(np.int32), g1.view(np.int64),
                                    (g2 >> np.uint64(32)).astype(np.uint32).view(np.int32))):
                 c.append(v)
-        types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)],
                                           names=["m", "t", "text", "start", "g1", "g2"])
 
@@ -119,8 +115,6 @@ def _locate(span: int, shard_words: int):
         for b in batches:
             for m, t, text, places in zip(*[b.column(i) for i in range(4)]):
                 w = _words(text.as_py())
-                if _tag(_digest(b" ".join(w))[0]) != t.as_py():
-                    continue                     # another text under the same id
                 rows.append((m.as_py(), t.as_py(), w, text.as_py(), places.as_py()))
                 words += len(w)
                 if words >= shard_words:
@@ -165,12 +159,16 @@ def drop_repeated_windows(docs: DataFrame, span: int = 50, shard_words: int = 20
     signed = stored(texts.mapInArrow(_scan(span), "id long, md5 string, n_words long, d1 long, d2 long, sha string, "
                                                   "anchors array<bigint>, places array<int>"), "sub-signed")
     order = F.coalesce("id", F.lit(LAST))
-    # a class: equal word sequences; m: its smallest id; t keeps texts that repeat an id apart
-    classes = stored(signed.where(F.col("n_words") >= span).groupBy("d1", "d2").agg(F.min(order).alias("m")), "sub-classes")
-    tag = F.col("d1").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("t")
+    # a class: equal word sequences; m: its smallest id; t: its number, as ids may be null or repeat;
+    # own_md5: a text that stands for the class
+    classes = stored(signed.where(F.col("n_words") >= span).groupBy("d1", "d2")
+                     .agg(F.min(F.struct(order.alias("m"), "md5")).alias("f"))
+                     .select("d1", "d2", "f.m", F.col("f.md5").alias("own_md5"),
+                             F.monotonically_increasing_id().alias("t")), "sub-classes")
+    spread = F.coalesce("t", "d1").alias("t")         # short texts have no class; m is null and joins with nothing
     is_first = F.coalesce(order == F.col("m"), F.lit(False))
     member = stored(signed.join(classes, ["d1", "d2"], "left")
-                    .select("id", "md5", "n_words", "sha", "m", tag, is_first.alias("first"),
+                    .select("id", "md5", "n_words", "sha", "m", spread, is_first.alias("first"),
                             F.when(is_first, F.arrays_zip("anchors", "places")).alias("a")), "sub-members")
     rows = (member.where("first").select("m", "t", F.explode("a").alias("x"))
             .select("m", "t", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place")))
@@ -178,18 +176,20 @@ def drop_repeated_windows(docs: DataFrame, span: int = 50, shard_words: int = 20
     lists = per_text(rows, found, ["m", "t"], "place", "places")
 
     # the texts that hold recurring phrases, one document of each class
-    wanted = lists.select("m", "t", "places", F.when(F.col("m") != LAST, F.col("m")).alias("own"))
-    marked = stored(texts.join(wanted, F.col("id").eqNullSafe(F.col("own"))).select("m", "t", "text", "places")
-                    .mapInArrow(_locate(span, shard_words), "m long, t int, text string, start array<int>, "
+    wanted = lists.join(classes.select("t", "own_md5"), "t").select(
+        "m", "t", "places", "own_md5", F.when(F.col("m") != LAST, F.col("m")).alias("own"))
+    is_own = F.col("id").eqNullSafe(F.col("own")) & (F.col("md5") == F.col("own_md5"))
+    marked = stored(texts.join(wanted, is_own).select("m", "t", "text", "places")
+                    .mapInArrow(_locate(span, shard_words), "m long, t long, text string, start array<int>, "
                                                             "g1 array<bigint>, g2 array<int>"), "sub-windows")
     windows = (marked.select("m", "t", F.explode(F.arrays_zip("start", "g1", "g2")).alias("w"))
                .select("m", "t", "w.start", "w.g1", "w.g2"))
     owner = stored(windows.groupBy("g1", "g2").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
                    .where("lo < hi").select("g1", "g2", "lo"), "sub-owners")
     lost = stored(windows.join(owner, ["g1", "g2"]).where("m > lo").groupBy("m", "t")
-                  .agg(F.collect_list("start").alias("starts")), "sub-lost")
+                  .agg(F.collect_set("start").alias("starts")), "sub-lost")
     cut = stored(marked.select("m", "t", "text").join(lost, ["m", "t"]).mapInArrow(
-        _cut(span, keep_texts), "m long, t int, gone long, rest string" + ", kept string" * keep_texts), "sub-cut")
+        _cut(span, keep_texts), "m long, t long, gone long, rest string" + ", kept string" * keep_texts), "sub-cut")
     per_class = cut.groupBy("m", "t").agg(*[F.first(c).alias(c) for c in cut.columns[2:]])   # repeated rows
 
     nothing = hashlib.sha256(b"").hexdigest()

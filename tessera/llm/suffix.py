@@ -78,9 +78,9 @@ def _scan(span: int):
                                            np.concatenate(anchors)[first], places)):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()),
+                    part.column(0), part.column(2), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()),
                     pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64()))],
-                    names=["id", "n_bytes", "d1", "d2", "sha", "anchors", "places"])
+                    names=["id", "md5", "n_bytes", "d1", "d2", "sha", "anchors", "places"])
 
     return run
 
@@ -95,14 +95,14 @@ def _members(x: bytes, span: int, places: np.ndarray):
                 yield p, a, b
 
 
-RUN = ("bucket int, m array<bigint>, t array<int>, p array<bigint>, near array<int>, far array<int>, "
+RUN = ("bucket int, m array<bigint>, t array<bigint>, p array<bigint>, near array<int>, far array<int>, "
        "shared array<int>, rest array<binary>, `left` array<binary>")
 
 
 def _runs(span: int, buckets: int, run_rows: int):
     """Texts with their repeated anchors -> sorted, front-coded runs of suffixes per bucket."""
     names = ["bucket", "m", "t", "p", "near", "far", "shared", "rest", "left"]
-    kinds = [pa.int32(), *[pa.list_(k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(),
+    kinds = [pa.int32(), *[pa.list_(k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(),
                                                  pa.binary(), pa.binary())]]
 
     def flush(held):
@@ -119,8 +119,6 @@ def _runs(span: int, buckets: int, run_rows: int):
         for b in batches:
             for m, t, text, anchors in zip(*[b.column(i) for i in range(4)]):
                 x = _bytes(text.as_py())
-                if _class_key(x)[0] & 0x7FFFFFFF != t.as_py():
-                    continue                               # another text under the same id
                 places = np.array(sorted(a["place"] for a in anchors.as_py() if not a["hot"]), np.int64)
                 for p, first, last in _members(x, span, places):
                     suffix = x[p:last + span]
@@ -192,7 +190,7 @@ def _merge_bucket(span: int):
                 m, t, p = kept[row][:3]
                 for c, v in zip(out.values(), (m, t, p - (b - 1), p - a + span)):
                     c.append(v)
-        return pd.DataFrame(out).astype({"m": "int64", "t": "int32", "lo": "int64", "hi": "int64"})
+        return pd.DataFrame(out).astype({"m": "int64", "t": "int64", "lo": "int64", "hi": "int64"})
 
     return run
 
@@ -205,14 +203,14 @@ def _hot_windows(span: int):
             for m, t, text, anchors in zip(*[b.column(i) for i in range(4)]):
                 places = np.array(sorted(a["place"] for a in anchors.as_py() if a["hot"]), np.int64)
                 x = _bytes(text.as_py())
-                if not len(places) or _class_key(x)[0] & 0x7FFFFFFF != t.as_py():
+                if not len(places):
                     continue
                 starts = np.concatenate([np.arange(a, z + 1) for _, a, z in _members(x, span, places)])
                 digest = np.array([_class_key(x[s:s + span]) for s in starts.tolist()], np.int64)
                 for c, v in zip(cols, (m.as_py(), t.as_py(), starts, digest[:, 0], digest[:, 1])):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([
-                pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
+                pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
                 *[pa.array(c, pa.list_(pa.int64())) for c in cols[2:]]], names=["m", "t", "s", "g1", "g2"])
 
     return run
@@ -263,16 +261,19 @@ def drop_repeated_strings(docs: DataFrame, span: int = 200, bucket_rows: int = 2
                           keep_bytes: bool = False) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for every row; ``keep_bytes`` adds
     ``kept``: the remaining bytes, or null where nothing goes (the text stays as it is)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_scan(span), "id long, n_bytes long, d1 long, d2 long, sha string, "
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                        F.md5(F.col(text_col).cast("binary")).alias("md5"))
+    signed = stored(texts.mapInArrow(_scan(span), "id long, md5 string, n_bytes long, d1 long, d2 long, sha string, "
                                                   "anchors array<bigint>, places array<bigint>"), "suf-signed")
     order = F.coalesce("id", F.lit(LAST))
+    # t: the number of a class, as ids may be null or repeat
     classes = stored(signed.where(F.col("n_bytes") >= span).groupBy("d1", "d2").agg(
-        F.min(order).alias("m"), F.count(F.lit(1)).alias("copies")), "suf-classes")
-    tag = F.col("d1").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("t")
+        F.min(order).alias("m"), F.count(F.lit(1)).alias("copies"), F.min("md5").alias("own_md5"))
+        .withColumn("t", F.monotonically_increasing_id()), "suf-classes")
+    spread = F.coalesce("t", "d1").alias("t")         # short texts have no class; m is null and joins with nothing
     is_first = F.coalesce(order == F.col("m"), F.lit(False))
     member = stored(signed.join(classes, ["d1", "d2"], "left").select(
-        "id", "n_bytes", "sha", "m", tag, F.coalesce("copies", F.lit(1)).alias("copies"),
+        "id", "n_bytes", "sha", "m", spread, F.coalesce("copies", F.lit(1)).alias("copies"),
         F.when(is_first, F.arrays_zip("anchors", "places")).alias("a")), "suf-members")
     # repeated rows under one id would count an anchor twice; that only makes it a candidate
     rows = (member.where("a is not null").select("m", "t", F.explode("a").alias("x"))
@@ -280,22 +281,24 @@ def drop_repeated_strings(docs: DataFrame, span: int = 200, bucket_rows: int = 2
     found = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                    .select("anchor", (F.col("n") > hot).alias("hot")), "suf-repeated")
     lists = stored(rows.join(found, "anchor").groupBy("m", "t").agg(
-        F.collect_list(F.struct("place", "hot")).alias("at")), "suf-lists")
-    wanted = lists.select("m", "t", "at", F.when(F.col("m") != LAST, F.col("m")).alias("own"))
-    open_texts = stored(texts.join(wanted, F.col("id").eqNullSafe(F.col("own"))).select("m", "t", "text", "at"), "suf-texts")
+        F.collect_set(F.struct("place", "hot")).alias("at")), "suf-lists")
+    wanted = lists.join(classes.select("t", "own_md5"), "t").select(
+        "m", "t", "at", "own_md5", F.when(F.col("m") != LAST, F.col("m")).alias("own"))
+    is_own = F.col("id").eqNullSafe(F.col("own")) & (F.col("md5") == F.col("own_md5"))
+    open_texts = stored(texts.join(wanted, is_own).select("m", "t", "text", "at"), "suf-texts")
 
     n = lists.agg(F.sum(F.size("at"))).first()[0] or 0
     buckets = max(64, -(-n // bucket_rows))
     merged = (open_texts.mapInArrow(_runs(span, buckets, run_rows), RUN)
-              .groupBy("bucket").applyInPandas(_merge_bucket(span), "m long, t int, lo long, hi long"))
+              .groupBy("bucket").applyInPandas(_merge_bucket(span), "m long, t long, lo long, hi long"))
     windows = stored(open_texts.where(F.exists("at", lambda a: a["hot"])).mapInArrow(
-        _hot_windows(span), "m long, t int, s array<bigint>, g1 array<bigint>, g2 array<bigint>"), "suf-hot")
+        _hot_windows(span), "m long, t long, s array<bigint>, g1 array<bigint>, g2 array<bigint>"), "suf-hot")
     each = windows.dropDuplicates(["m", "t"]).select("m", "t", F.explode(F.arrays_zip("s", "g1", "g2")).alias("w")).select(
         "m", "t", "w.s", "w.g1", "w.g2")
     often = _repeated(each).select("m", "t", F.col("s").alias("lo"), (F.col("s") + span).alias("hi"))
     spans = stored(merged.unionByName(often).groupBy("m", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suf-spans")
     cut = stored(open_texts.select("m", "t", "text").join(spans, ["m", "t"]).mapInArrow(
-        _cut(keep_bytes), "m long, t int, gone long, runs long, rest string" + ", kept binary" * keep_bytes), "suf-cut")
+        _cut(keep_bytes), "m long, t long, gone long, runs long, rest string" + ", kept binary" * keep_bytes), "suf-cut")
     per_class = cut.groupBy("m", "t").agg(*[F.first(c).alias(c) for c in cut.columns[2:]])
 
     nothing = hashlib.sha256(b"").hexdigest()

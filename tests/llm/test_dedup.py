@@ -127,3 +127,26 @@ def test_empty_tables(no_docs):
     assert substring.drop_repeated_windows(no_docs).collect() == []
     assert near_dup.near_duplicates(no_docs).collect() == []
     assert suffix.drop_repeated_strings(no_docs).collect() == []
+
+
+@pytest.fixture(scope="module")
+def null_ids():
+    """Texts without an id: two whose digests agree in 31 bits, one of them with a passage of text 1."""
+    rnd = random.Random(9)
+    passage, other = (" ".join(f"{c}{rnd.randrange(10 ** 6)}" for _ in range(25)) for c in "pq")
+    low = lambda t: substring._digest(t.encode())[0] & 0x7FFFFFFF
+    seen = {low(f"{passage} {i}"): i for i in range(200_000)}
+    i, j = next((seen[low(f"{other} {j}")], j) for j in range(400_000) if low(f"{other} {j}") in seen)
+    return [(1, f"start {passage} end"), (None, f"{passage} {i}"), (None, f"{other} {j}"),
+            *[(None, f"{k} {passage} {k} {k}") for k in range(6)]]
+
+
+def test_null_ids_of_equal_tags(spark, null_ids, same, monkeypatch):
+    docs = spark.createDataFrame(null_ids, "doc_id long, text string")
+    got = substring.drop_repeated_windows(docs, span=20)
+    assert same(got, *got.columns) == sorted(plain_substring(null_ids, 20), key=repr)
+    tables, write = {}, suffix.stored
+    monkeypatch.setattr(suffix, "stored", lambda df, name: tables.setdefault(name, write(df, name)))
+    got = suffix.drop_repeated_strings(docs, span=100)
+    assert same(got, *got.columns) == sorted(plain_suffix(null_ids, 100), key=repr)
+    assert tables["suf-texts"].count() <= len(null_ids)          # each text meets its own class only
