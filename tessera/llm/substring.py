@@ -11,7 +11,8 @@ document with a smaller id.  Three passes:
    and streams the documents through it: every place where a phrase occurs marks the windows around
    it.  Shards hold at most ``shard_words`` words, so automata are bounded however many phrases
    recur in the corpus.
-3. Marked windows are confirmed by a 96-bit digest: the smallest document of each digest owns the
+3. Marked windows are confirmed by 96 bits of the digest of their words (xxh3, not the polynomial
+   that finds phrases): the smallest document of each digest owns the
    window, and all other documents lose it.  Aggregation starts before the shuffle, and the join
    back to the windows is an inner join that the skew join can split.
 
@@ -88,6 +89,16 @@ def _phrase_hits(docs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     return [np.fromiter((end - PHRASE + 1 for end, _ in auto.iter(s)), np.int64) for s in seqs]
 
 
+def _window_digests(words: list[bytes], start: np.ndarray, span: int) -> np.ndarray:
+    """A row of 12 bytes for each window: xxh3 of its words, joined by one blank."""
+    joined = b" ".join(words)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    digest = xxhash.xxh3_128_digest
+    got = b"".join([digest(joined[a:z])[:12] for a, z in
+                    zip((end[start] - [len(words[s]) for s in start.tolist()]).tolist(), end[start + span - 1].tolist())])
+    return np.frombuffer(got, np.uint8).reshape(-1, 12)
+
+
 def _locate(span: int, shard_words: int):
     """Documents with their recurring phrases -> marked windows with digests (and the text)."""
     def shard(rows):
@@ -95,16 +106,15 @@ def _locate(span: int, shard_words: int):
         # the automaton's letters are 32-bit word numbers; what it finds is confirmed by digest
         hits = _phrase_hits([((x & np.uint64(0x7FFFFFFF)).astype(np.int64), np.asarray(p)) for x, (*_, p) in zip(h, rows)])
         cols = [[] for _ in range(6)]
-        for x, found, (m, t, _, text, _) in zip(h, hits, rows):
+        for x, found, (m, t, w, text, _) in zip(h, hits, rows):
             n = len(x) - span + 1
             edge = np.zeros(len(x) + 2, np.int64)      # windows p-span+PHRASE .. p hold the phrase at p
             np.add.at(edge, np.maximum(found - span + PHRASE, 0), 1)
             np.add.at(edge, np.minimum(found, n - 1) + 1, -1)
             start = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-            g1 = rolling(x, span)[start]
-            g2 = rolling(x * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), span)[start]
-            for c, v in zip(cols, (m, t, text, start.astype(np.int32), g1.view(np.int64),
-                                   (g2 >> np.uint64(32)).astype(np.uint32).view(np.int32))):
+            g = _window_digests(w, start, span)
+            for c, v in zip(cols, (m, t, text, start.astype(np.int32), g[:, :8].copy().view("<i8").ravel(),
+                                   g[:, 8:].copy().view("<i4").ravel())):
                 c.append(v)
         types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)],

@@ -150,3 +150,12 @@ def test_null_ids_of_equal_tags(spark, null_ids, same, monkeypatch):
     got = suffix.drop_repeated_strings(docs, span=100)
     assert same(got, *got.columns) == sorted(plain_suffix(null_ids, 100), key=repr)
     assert tables["suf-texts"].count() <= len(null_ids)          # each text meets its own class only
+
+
+def test_windows_that_collide_in_a_polynomial(spark, same):
+    """The Thue-Morse sequence and its complement have equal polynomials modulo 2**64 for any words."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    docs = [(i, " ".join("ab"[b ^ i] for b in bits)) for i in (0, 1)]
+    assert len({int(rolling(substring.word_hashes(t.encode().split()), 1024)[0]) for _, t in docs}) == 1
+    got = substring.drop_repeated_windows(spark.createDataFrame(docs, "doc_id long, text string"), span=1024)
+    assert same(got, *got.columns) == sorted(plain_substring(docs, 1024), key=repr)
