@@ -157,8 +157,8 @@ def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int, minor_block:
     main = stored(per.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
                                              F.sum("n").alias("n"), F.max("n").alias("most")), "near-clusters")
     full = _full_sets(docs, rows.select(F.col("rep").alias("id")), k)
-    at = stored(rows.join(main, "cluster").join(full.groupBy("id").agg(F.first("s").alias("s"))
-                                               .withColumnRenamed("id", "rep"), "rep"), "near-open-sets")
+    at = stored(rows.join(main, "cluster").join(full.where(F.size("s") > 0).select(F.col("id").alias("rep"), "s").distinct(), "rep"),
+                "near-open-sets")
     blocks, minors = F.ceil(F.col("n") / block), F.ceil((F.col("n") - F.col("most")) / minor_block)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     spread = lambda n: F.pmod(F.xxhash64("rep"), n)
@@ -201,9 +201,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     open_rows = stored(rest.join(open_keys, "key").select("a", "rep", "component").distinct(), "near-open-rows")
     cluster = components(open_rows, "a", "rep").select(F.col("id").alias("rep"), "component").withColumnRenamed("component", "cluster")
     more = stored(_across(open_rows.select("rep", "component").distinct().join(cluster, "rep"), texts, k, percent), "near-links")
-    final = components(links.unionByName(more)).select(F.col("id").alias("rep"), "component")
-    out = member.join(final, "rep", "left").withColumn(
-        "component_id", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "rep"))
-        .otherwise(F.col("id")))
+    # texts of one id in several classes are one document
+    own = stored(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "near-own")
+    heads = signed.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = own.join(heads.select(F.col("id").alias("a")), "a", "left_semi")
+    final = components(links.unionByName(more).unionByName(several)).select(F.col("id").alias("rep"), "component")
+    # a row without words belongs to the document of its id
+    out = member.withColumn("rep", F.coalesce("rep", "id")).join(final, "rep", "left").withColumn(
+        "component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

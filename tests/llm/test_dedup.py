@@ -159,3 +159,12 @@ def test_windows_that_collide_in_a_polynomial(spark, same):
     assert len({int(rolling(substring.word_hashes(t.encode().split()), 1024)[0]) for _, t in docs}) == 1
     got = substring.drop_repeated_windows(spark.createDataFrame(docs, "doc_id long, text string"), span=1024)
     assert same(got, *got.columns) == sorted(plain_substring(docs, 1024), key=repr)
+
+
+def test_near_duplicates_of_repeated_ids(spark, same):
+    rnd = random.Random(4)
+    text = lambda: " ".join(str(rnd.randrange(10 ** 6)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    docs = [(1, a), (5, a), (5, b), (5, c), (7, b + " end"), (3, c + " end"), (9, text()), (9, text()), (9, text()), (2, None), (2, b)]
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert same(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_near([(i, t or "") for i, t in docs], 5, 80), key=repr)
