@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, mixing, near_dup, packing, sharding, substring, suffix, topk, toxicity, url_filter
+from tessera.llm import ann, mixing, near_dup, packing, pieces, sharding, substring, suffix, topk, toxicity, url_filter
 from tessera.llm.common import table
 
 #: The URL rules of the query.
@@ -73,7 +73,12 @@ def op10_toxicity(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op6_substring_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_ann, op10_toxicity)}
+def op11_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+REGISTRY = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op6_substring_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_ann, op10_toxicity, op11_sentencepiece)}
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
