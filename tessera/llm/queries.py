@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, mixing, near_dup, packing, pieces, sharding, substring, suffix, topk, toxicity, url_filter
+from tessera.llm import ann, conversation_sql, mixing, near_dup, packing, pieces, repair, sharding, substring, suffix, topk, toxicity, trie, url_filter
 from tessera.llm.common import table
 
 #: The URL rules of the query.
@@ -78,7 +78,16 @@ def op11_sentencepiece(spark, sf_dir):
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-REGISTRY = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op6_substring_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_ann, op10_toxicity, op11_sentencepiece)}
+def op12_structure_repair(spark, sf_dir):
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
+REGISTRY = {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_mixing, op4_exact_top_k, op5_sharding, op6_substring_dedup, op7_minhash_near_dup, op8_suffix_dedup, op9_ann, op10_toxicity, op11_sentencepiece,
+                                     op12_structure_repair, op13_prefix_trie)}
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -138,4 +147,4 @@ reach(doc_id, other) AS (
 SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id,
        w.doc_id = min(other) AS kept
 FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id""",
-}
+} | conversation_sql.ORACLES
