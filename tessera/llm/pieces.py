@@ -2,24 +2,24 @@
 
 A text is normalised here by the model's own compiled character map (``charmap``): the longest key
 at each place is replaced, and every byte of the result remembers the source byte it comes from.
-The normalised text is cut before each blank that follows something else; where no piece of the
-vocabulary reaches over such a border (checked when the model is read), no merge does, so each
-distinct chunk is segmented once per worker by the sentencepiece library, with the model's
-normaliser switched off.  Lengths of pieces summed up are borders in the normalised text, and the
-remembered places project them to byte spans of the original text.
+The normalised text is cut into short stretches before blanks that follow something else; where no
+piece of the vocabulary reaches over such a border (checked when the model is read), no merge does,
+so stretches are segmented on their own by the sentencepiece library, with the model's normaliser
+switched off.  Lengths of pieces summed up are borders in the normalised text, and the remembered
+places project them to byte spans of the original text.
 
 A row gives ``ids`` (with the end id last, if asked for), ``begins`` and ``ends`` (bytes in the UTF-8
 text; the spans of a text follow each other; all but the last byte piece of a character are empty, and
 so is the end id) and ``decoded``, the text that the ids give back.
 
 Null text is empty: no pieces but the end id.  Repeated rows are encoded alike, null ids are kept.
-Only rows of the current batch and a bounded cache are held; output is cut by bytes, not rows.  An
-empty table gives an empty result.
+Output is cut by bytes, not rows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,57 +29,41 @@ from pyspark.sql import functions as F
 from tessera.llm.charmap import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, Model
 from tessera.llm.common import worker_cache
 
-CACHED = 300_000               # chunks in either half of a worker's cache
-KEPT_BYTES = 64                # longer chunks are not kept
+STRETCH = 64                   # characters segmented at once, at least
 OUTPUT_BYTES = 2 << 20         # text bytes per output batch (a longer text is a batch of its own)
 
 
 class Codec:
-    """Encodes texts with spans; ``cache`` lives as long as the worker."""
+    """Encodes texts with spans."""
 
-    def __init__(self, model: Model, cache: dict):
+    def __init__(self, model: Model):
         import sentencepiece
-        self.model, self.cache = model, cache
-        self.cache.setdefault("new", {})
-        self.cache.setdefault("old", {})
+        self.model = model
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model.plain)
         space = SPACE.encode()
         text = [p.decode() for p, k in zip(model.pieces, model.kinds) if k == NORMAL]
         crosses = re.compile(f"[^{SPACE}]{SPACE}")
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if SPACE in text and not any(map(crosses.search, text)) else None
+        self.cut = None
+        if SPACE in text and not any(map(crosses.search, text)):
+            self.cut = re.compile(f".{{{STRETCH},}}?[^{SPACE}](?={SPACE})|.+", re.DOTALL)
+        self.byte = np.array([int(p[3:5], 16) if k == BYTE else -1 for p, k in zip(model.pieces, model.kinds)], np.int16)
         self.surface = [b"" if k == CONTROL else model.unknown_text if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE
                         else p.replace(space, b" ") for p, k in zip(model.pieces, model.kinds)]
-        self.length = np.array([len(p) if k == NORMAL else -1 for p, k in zip(model.pieces, model.kinds)], np.int32)
-
-    def _learn(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """Per chunk: (id, bytes) of its pieces as pairs of 32-bit numbers, and the text they give back."""
-        out = []
-        for c, ids in zip(chunks, self.library.encode(chunks, num_threads=1)):
-            n = self.length[ids] if ids else np.empty(0, np.int32)
-            if len(n) and n.min() < 0:                        # unknown or byte pieces: ask for their spans
-                n = [p.end - p.begin for p in self.library.encode(c, return_type="proto").pieces]
-            pairs = np.empty((len(ids), 2), "<i4")
-            pairs[:, 0], pairs[:, 1] = ids, n
-            out.append((pairs.tobytes(), b"".join(map(self.surface.__getitem__, ids))))
-        return out
-
-    def known(self, used: set[str]) -> dict:
-        """The entries of all ``used`` chunks.  The cache has two halves: a full one becomes the old
-        one, and what is used again moves back, so frequent chunks stay."""
-        new, old = self.cache["new"], self.cache["old"]
-        fresh = []
-        for c in used - new.keys():
-            e = old.get(c)
-            if e is None:
-                fresh.append(c)
-            else:
-                new[c] = e
-        long = {}
-        for c, e in zip(fresh, self._learn(fresh)):
-            (new if len(c) <= KEPT_BYTES else long)[c] = e
-        if len(new) > CACHED:
-            self.cache["new"], self.cache["old"] = {}, new
-        return new | long if long else new
+        self.length = np.array([len(p) if k == NORMAL else -1 if k == UNKNOWN else 0
+                                for p, k in zip(model.pieces, model.kinds)], np.int64)
+
+    def _lengths(self, ids: np.ndarray, stretches: list[str]) -> np.ndarray:
+        """Normalised bytes that each piece covers; of the byte pieces of a character the last covers it."""
+        n, value = self.length[ids], self.byte[ids]
+        if len(n) and n.min() < 0:                       # unknown pieces: the library knows what they stand for
+            return np.array([p.end - p.begin for s in stretches for p in self.library.encode(s, return_type="proto").pieces], np.int64)
+        is_byte = value >= 0
+        if is_byte.any():
+            at, follows = np.arange(len(ids)), is_byte & (value & 0xC0 == 0x80)
+            lead = np.maximum.accumulate(np.where(is_byte & ~follows, at, 0))
+            last = is_byte & ~np.append(follows[1:], False)
+            n[last] = (at - lead + 1)[last]
+        return n
 
     def _dropped(self, ids) -> int:
         """Blanks that decoding drops at the beginning."""
@@ -98,16 +82,15 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
         """``(ids, begins, ends, decoded)`` of each text."""
         normal = [self.model.normaliser(t) for t in texts]
-        strings = [d.decode() for d, _ in normal]
-        chunks = [self.cut.findall(s) if self.cut else [s] if s else [] for s in strings]
-        look = self.known(set().union(*chunks)).__getitem__
+        stretches = [self.cut.findall(d.decode()) if self.cut else [d.decode()] if d else [] for d, _ in normal]
+        found = iter(self.library.encode([s for x in stretches for s in x], num_threads=1))
         out = []
-        for (_, places), c in zip(normal, chunks):
-            entries = list(map(look, c))
-            pairs = np.frombuffer(b"".join([p for p, _ in entries]), "<i4").reshape(-1, 2)
-            borders = places[np.concatenate([[0], np.cumsum(pairs[:, 1], dtype=np.int64)])]
-            text = b"".join([t for _, t in entries])
-            out.append((pairs[:, 0], borders[:-1], borders[1:], text[self._dropped(pairs[:, 0]):]))
+        for (_, places), parts in zip(normal, stretches):
+            listed = [i for ids in islice(found, len(parts)) for i in ids]
+            ids = np.array(listed, np.int64)
+            borders = places[np.concatenate([[0], np.cumsum(self._lengths(ids, parts))])]
+            text = b"".join(map(self.surface.__getitem__, listed))
+            out.append((ids, borders[:-1], borders[1:], text[self._dropped(listed):]))
         return out
 
 
@@ -127,7 +110,7 @@ def encode(docs: DataFrame, model_path: str, end_id: int | None = 2, id_col: str
     def run(batches):
         cache = worker_cache(f"pieces:{model_path}")
         if "codec" not in cache:
-            cache["codec"] = Codec(Model.read(model_path), {})
+            cache["codec"] = Codec(Model.read(model_path))
         codec = cache["codec"]
         for b in batches:
             texts, a = b.column(1).to_pylist(), 0

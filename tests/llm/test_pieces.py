@@ -37,7 +37,7 @@ MODELS = {"own": lambda: open(PATH, "rb").read(),
 def test_ids_spans_and_text_as_the_library(kind):
     data = MODELS[kind]()
     library = sentencepiece.SentencePieceProcessor(model_proto=data)
-    codec = pieces.Codec(charmap.Model.parse(data), {})
+    codec = pieces.Codec(charmap.Model.parse(data))
     cases = texts(7)
     for t, (ids, begins, ends, decoded) in zip(cases, codec.encode(cases)):
         want = library.encode(t, return_type="proto").pieces
@@ -46,15 +46,6 @@ def test_ids_spans_and_text_as_the_library(kind):
         assert decoded.decode() == library.decode(ids.tolist()), repr(t)
 
 
-def test_cache_keeps_frequent_chunks_and_results(monkeypatch):
-    monkeypatch.setattr(pieces, "CACHED", 20)
-    codec = pieces.Codec(charmap.Model.read(PATH), {})
-    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    for t in texts(8, 300):
-        assert codec.encode([t])[0][0].tolist() == library.encode(t)
-    assert len(codec.cache["new"]) + len(codec.cache["old"]) < 100
-
-
 def test_whole_corpus(spark, corpus):
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
