@@ -15,19 +15,37 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
-def test_cached_encoding_equals_whole_encoding(tokenizer):
-    enc = packing.Encoder(PATH, {})
+def test_encoding_equals_the_plain_tokenizer(tokenizer):
+    enc = packing.Encoder(PATH)
+    assert enc.fast
     rnd = random.Random(3)
-    parts = ["a", "é", "1", "²", "٣", " ", "  ", "\n", "\t", "\u00a0", ".", "'s", "'", ",", "!", "\x00", "\x1c",
-             "<|endoftext|>", "日本", "\u200b", "🎉", "\r\n", "don't", "word"]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)] + ["x" * 500 + " y"]
-    for t, got in zip(texts, enc.encode(texts)):
-        assert got == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    parts = ["a", "é", "1", "²", "٣", " ", "  ", "\n", "\t", "\u00a0", ".", "'s", "'", ",", "!", "\x00", "\x1c", "\x85",
+             "<|endoftext|>", "<|endof", "日本", "\u200b", "🎉", "\r\n", "don't", "word", "ǅ", "\u0345", "Ⅷ", "\u180e", "\u2028"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    texts += ["x" * 5000 + " y", " " * 3000, "ab " * 2000 + "\n" * 700]
+    for t in texts:
+        assert enc.encode(t) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_every_character_is_cut_alike(tokenizer):
+    """Both libraries know the same letters, numbers and blanks."""
+    enc = packing.Encoder(PATH)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} {c}1{c}{c}.{c} " for c in chars[a:a + 64]) for a in range(0, len(chars), 64)]
+    for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        assert enc.encode(t) == e.ids, hex(ord(t[1]))
+
+
+def test_other_files_go_through_tokenizers(tmp_path):
+    import json
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    enc = packing.Encoder(str(tmp_path / "t.json"))
+    assert not enc.fast and enc.encode("word") == packing.Encoder(PATH).encode(" word")
 
 
 def best_fit(lengths, room):
