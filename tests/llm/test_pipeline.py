@@ -1,9 +1,11 @@
 """The pipeline: each stage against a plain version on a small corpus, and the registry."""
 
+import math
 import os
 
 import duckdb
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -58,9 +60,52 @@ def test_toxic_documents_go(spark):
     assert left.count() == scored.where("score < 0.5").count()
 
 
+def plain_score(model, text):
+    """From the definition: compressed lengths by zstandard itself, passage by passage."""
+    def distance(dictionaries, x):
+        size = [len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False,
+                                             write_dict_id=False).compress(x)) for d in dictionaries]
+        return size[0] - size[1]
+
+    def prepared(*contents):
+        out = [zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for c in contents]
+        for d in out:
+            d.precompute_compress(level=6)
+        return out
+
+    def evidence(distances, table, low):
+        return min(max(sum(table[min(max(d - low, 0), len(table) - 1)] for d in distances), -10), 20)
+
+    words = [w.strip(b".,;:!?\"'()[]{}<>*_-") for w in (text or "").lower().encode().split()]
+    words = [w[i:i + 64] for w in words for i in range(0, max(len(w), 1), 64)]
+    n = max(-(-len(words) // 256), 1)
+    single, several = prepared(model.ordinary, model.toxic), prepared(model.span_ordinary, model.span_toxic)
+    odds, (a, b, c) = [], model.weights
+    for i in range(n):
+        p = words[len(words) * i // n:len(words) * (i + 1) // n]
+        spans, at = [], 0
+        while p and (not at or at + 4 < len(p)):
+            spans.append(b" " + b" ".join(p[at:at + 10]) + b" ")
+            at += 6
+        odds.append(math.exp(min(max(a + b * evidence([distance(single, toxicity.stretched(w)) for w in set(p)], model.evidence, -12)
+                                     + c * evidence([distance(several, s) for s in spans], model.span_evidence, -3), -30), 30)))
+    return sum(odds) / n / (1 + sum(odds) / n)
+
+
 def plain_toxic(rows, model):
-    dist = toxicity.Distances(model.ordinary, model.toxic, {})
-    return [r for r in rows if toxicity.evaluate(dist, model, r[1]) < 0.5]
+    return [r for r in rows if plain_score(model, r[1]) < 0.5]
+
+
+def test_scores_follow_from_the_model(spark, corpus):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 4000").limit(60)
+    model = queries.toxicity_model(spark, SF, spark.read.parquet(f"{SF}/documents.parquet"))
+    for r in toxicity.score(docs, model, keep=["text"]).collect():
+        assert abs(r["score"] - plain_score(model, r["text"])) < 1e-9
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_empty_tables(spark, no_docs, name):
+    assert dict(corpus_pipeline.STAGES)[name](spark, no_docs, SF).collect() == []
 
 
 def plain_kept(rows):
