@@ -1,7 +1,6 @@
 """Toxicity: held-out accuracy on the driver tables, and defined results for awkward rows."""
 
 import os
-import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,27 +73,6 @@ def test_length_alone_is_no_evidence(spark):
     assert score(toxic) >= 0.5 and score(clean[:50] + toxic[:1]) >= 0.5
 
 
-def test_a_phrase_of_common_words_is_learnt(spark):
-    """Toxic texts hold four words in one order, clean ones the same words in others."""
-    rnd = random.Random(9)
-    vocabulary = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
-    phrase = ["river", "stone", "candle", "window"]
-    rows = []
-    for i in range(1600):
-        words, mine = [rnd.choice(vocabulary) for _ in range(rnd.randint(40, 90))], list(phrase)
-        while i % 2 == 0 and mine == phrase:
-            rnd.shuffle(mine)
-        for _ in range(2):
-            at = rnd.randrange(len(words))
-            words[at:at] = mine
-        rows.append((i, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(1600)], "doc_id long, toxic int")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels, F.col("id") < 1200)).where("doc_id >= 1200").collect()
-    right = [sum((r["score"] >= 0.5) == bool(y) for r in scored if r["doc_id"] % 2 == y) for y in (0, 1)]
-    assert right[1] >= 0.8 * 200 and right[0] >= 0.9 * 200
-
-
 def test_spans_hold_every_run_of_five_words():
     for n in range(60):
         words = [f"w{i}".encode() for i in range(n)]
