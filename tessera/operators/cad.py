@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.canonical import same_value
 from tessera.functions.jsonx import OPERATIONS, POINT, dedup_map, json_block, part_count
 from tessera.functions.text import _c, let
 
@@ -35,15 +36,10 @@ def progressive_docs(df: DataFrame, completion_col: str = "completion",
     return df.select(*keep, F.explode(docs).alias("d")).select(*keep, "d.k", "d.doc")
 
 
-def same_json(a, b) -> Column:
-    """Parsed-value equality of two JSON texts (key order does not matter)."""
-    return F.coalesce(F.to_json(F.try_parse_json(_c(a))) == F.to_json(F.try_parse_json(_c(b))),
-                      F.lit(False))
-
-
 def progressive_check(judged: DataFrame, completion_col: str = "completion",
                       keep=("id",)) -> DataFrame:
-    """Does each generated ``json_i`` equal progressive document i (R2)?  The
+    """Does each generated ``json_i`` hold the value of progressive document i (R2; see
+    ``functions.canonical``)?  The
     turns and the original completion live in the same row, so no join: the
     expected documents are built as an array next to the turn array."""
     e = part_entries(json_block(F.col(completion_col)))
@@ -54,9 +50,8 @@ def progressive_check(judged: DataFrame, completion_col: str = "completion",
         lambda k: F.concat(F.lit('{"parts":{'), F.array_join(F.slice("_items", 1, k), ","),
                            F.lit("}}"))).alias("_docs"), F.size("_items").alias("_n"))
     checks = F.transform(F.filter("turns", lambda t: t["turn"] <= F.col("_n")), lambda t: F.struct(
-        t["turn"].cast("int").alias("turn"),
-        same_json(t["json"], F.get(F.col("_docs"), t["turn"] - 1)).alias("matches")))
-    return step.select(*keep, F.explode(checks).alias("c")).select(*keep, "c.turn", "c.matches")
+        t["turn"].cast("int").alias("turn"), t["json"].alias("json"), F.get(F.col("_docs"), t["turn"] - 1).alias("doc")))
+    return step.select(*keep, F.explode(checks).alias("c")).select(*keep, "c.turn", same_value("c.json", "c.doc").alias("matches"))
 
 
 def operation_check(df: DataFrame, completion_col: str = "completion", keep=("id",),

@@ -209,3 +209,22 @@ def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(F.lit('<json>\n{"parts":{"part_1":{"sketch":{"face_1":{"loop_1":{'),
                    F.array_join(F.reverse(lines), ","), F.lit("}"), circle, F.lit("}}}}}\n</json>"))
     return it.select("id", doc.alias("completion"))
+
+
+def json_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, a, b``: two flat JSON texts per document, equal in value or not: repeated keys, other
+    key orders, blanks, number spellings, NaN, escapes and big numbers, by id."""
+    n, m = F.col("n_chars").cast("string"), F.col("doc_id") % 10
+    lang, key = F.concat(F.lit('"'), "lang", F.lit('"')), F.col("doc_id").cast("string")
+    text = lambda *parts: F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
+    a = (F.when(m == 0, text('{"k1":1,"k2":', lang, ',"k1":', n, "}")).when(m == 1, text('{"k1":NaN,"k2":', n, "}"))
+         .when(m == 2, text('{"k1":', n, 'e2,"k2":', lang, "}")).when(m == 3, text('{"k2":', lang, ',"k1":', n, "}"))
+         .when(m == 4, text('{"k1":', n, ".0}")).when(m == 5, text('{"k1":"', n, '"}'))
+         .when(m == 6, text('{"k1":', n, ',"k2":-0.0}')).when(m == 7, text('{"k1":', key, ',"k1":', n, "}"))
+         .when(m == 8, text('{"k1":"\\u0041', n, '"}')).otherwise(text('{"k1":', n, "")))
+    b = (F.when(m == 0, text('{"k1":', n, ',"k2":', lang, "}")).when(m == 1, text('{ "k2":', n, ', "k1":NaN}'))
+         .when(m == 2, text('{"k1":', n, '00,"k2":', lang, "}")).when(m == 3, text('{"k1":', n, ',"k2":', lang, "}"))
+         .when(m == 4, text('{"k1":', n, "}")).when(m == 5, text('{"k1":', n, "}"))
+         .when(m == 6, text('{"k1":', n, ',"k2":0}')).when(m == 7, text('{"k1":', n, ',"k1":', key, "}"))
+         .when(m == 8, text('{"k1":"A', n, '"}')).otherwise(text('{"k1":', n, "")))
+    return table(spark, sf_dir, "documents").select("doc_id", a.alias("a"), b.alias("b"))

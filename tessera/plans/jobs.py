@@ -193,7 +193,7 @@ def multi_turn_job(data: DataFrame, responder: Responder, batch_size: int = 5,
     rows = position.slice_range(data, start, None, ord_col)
     if workers and per_worker:
         rows, _ = position.worker_slices(rows, workers, per_worker, start, ord_col)
-    batched = stored(position.with_batches(rows, batch_size, start, ord_col), "batched")
+    batched = position.with_batches(rows, batch_size, start, ord_col)     # arithmetic on the position: not stored again
     total = batched.count()
     reqs, judged = _respond(batched, responder, batch_size, max_parts)
     name = parts_split_name(split, start, start + total, bool(s["is_consistent"]), expected_parts)

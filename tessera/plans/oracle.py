@@ -424,4 +424,36 @@ def queries() -> dict[str, str]:
     Q["length_audit"] = sql(f"""SELECT count(*)::BIGINT AS n_rows, count_if(np + nc > 200)::BIGINT AS n_over_limit,
         max(np + nc)::BIGINT AS max_tokens, sum(np)::BIGINT AS sum_prompt_tokens, sum(nc)::BIGINT AS sum_completion_tokens
         FROM (SELECT {tokens("concat_ws(chr(10), system, prompt)")} AS np, {tokens("coalesce(completion, '')")} AS nc FROM pairs)""", "pairs")
+    # values read from the texts: the last of repeated keys counts, numbers as numbers, texts unescaped
+    n, key = "n_chars", "doc_id"
+    pair = lambda cases: "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases)) + " END"
+    lang = "'\"' || lang || '\"'"
+    texts_a = pair([f"""'{{"k1":1,"k2":' || {lang} || ',"k1":' || {n} || '}}'""", f"""'{{"k1":NaN,"k2":' || {n} || '}}'""",
+                    f"""'{{"k1":' || {n} || 'e2,"k2":' || {lang} || '}}'""", f"""'{{"k2":' || {lang} || ',"k1":' || {n} || '}}'""",
+                    f"""'{{"k1":' || {n} || '.0}}'""", f"""'{{"k1":"' || {n} || '"}}'""", f"""'{{"k1":' || {n} || ',"k2":-0.0}}'""",
+                    f"""'{{"k1":' || {key} || ',"k1":' || {n} || '}}'""", f"""'{{"k1":"\\u0041' || {n} || '"}}'""", f"""'{{"k1":' || {n}"""])
+    texts_b = pair([f"""'{{"k1":' || {n} || ',"k2":' || {lang} || '}}'""", f"""'{{ "k2":' || {n} || ', "k1":NaN}}'""",
+                    f"""'{{"k1":' || {n} || '00,"k2":' || {lang} || '}}'""", f"""'{{"k1":' || {n} || ',"k2":' || {lang} || '}}'""",
+                    f"""'{{"k1":' || {n} || '}}'""", f"""'{{"k1":' || {n} || '}}'""", f"""'{{"k1":' || {n} || ',"k2":0}}'""",
+                    f"""'{{"k1":' || {n} || ',"k1":' || {key} || '}}'""", f"""'{{"k1":"A' || {n} || '"}}'""", f"""'{{"k1":' || {n}"""])
+    last = lambda x, k: f"regexp_extract_all({x}, '\"{k}\":([^,}}]*)', 1)[-1]"
+    value = lambda x: (f"CASE WHEN {x} IS NULL THEN 'absent' WHEN starts_with({x}, '\"') THEN replace({x}, '\\u0041', 'A') "
+                       f"ELSE (TRY_CAST({x} AS DOUBLE) + 0.0)::VARCHAR END")
+    same = " AND ".join(f"replace({value(last('a', k))}, '-0.0', '0.0') = replace({value(last('b', k))}, '-0.0', '0.0')" for k in ("k1", "k2"))
+    Q["canonical_values"] = f"""SELECT doc_id, ok AS same, ok AS same_digest FROM (
+        SELECT doc_id, ends_with(a, '}}') AND ends_with(b, '}}') AND {same} AS ok
+        FROM (SELECT doc_id, {texts_a} AS a, {texts_b} AS b FROM documents))"""
+    turn = lambda role, x: f"CASE WHEN {x} IS NULL THEN '' ELSE '<|im_start|>{role}' || chr(10) || {x} || '<|im_end|>' || chr(10) END"
+    head = f"({turn('system', 'system')} || {turn('user', 'prompt')})"
+    asked = (f"CASE WHEN prompt IS NULL THEN '' ELSE '[INST] ' || CASE WHEN coalesce({strip('system')}, '') <> '' "
+             f"THEN {strip('system')} || chr(10) || chr(10) ELSE '' END || {strip('prompt')} || ' [/INST]' END")
+    Q["chat_templates"] = sql(f"""SELECT conv_id, turn, {head} || {turn('assistant', 'completion')} || '<|im_start|>assistant' || chr(10) AS chatml,
+        '<s>' || {asked} || CASE WHEN completion IS NULL THEN '' ELSE ' ' || {strip('completion')} || '</s>' END AS inst FROM pairs""", "pairs")
+    Q["label_spans"] = sql(f"""SELECT conv_id, turn, 0 AS span, length(h)::INTEGER AS "begin", (length(h) + length(completion))::INTEGER AS "end",
+        {tokens('h')}::INTEGER AS first_token, {tokens('completion')}::INTEGER AS n_tokens, true AS is_completion
+        FROM (SELECT *, {head} || '<|im_start|>assistant' || chr(10) AS h FROM pairs) WHERE completion <> ''""", "pairs")
+    Q["resumed_calls"] = (f"WITH r AS ({Q['batch_requests']}) SELECT batch_id, length(request) || ' characters' AS response, "
+                          "(SELECT count(DISTINCT request) FROM r WHERE batch_id % 2 = 0)::BIGINT AS n_sent_1, "
+                          "((SELECT count(DISTINCT request) FROM r) - (SELECT count(DISTINCT request) FROM r WHERE batch_id % 2 = 0))::BIGINT AS n_sent_2, "
+                          "0::BIGINT AS n_sent_3 FROM r")
     return Q

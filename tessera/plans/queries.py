@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import chat, jsonx, names, text as tx, tokens
-from tessera.operators import cad, position, requests as rq, responses as rs, retry, survey
+from tessera.functions import canonical, chat, jsonx, names, template, text as tx, tokens
+from tessera.operators import cad, labels, position, requests as rq, responses as rs, retry, survey
 from tessera.plans import fixtures as fx, jobs
 from tessera.session import scratch_dir, stored
-from tessera.sources import logs, splits
+from tessera.sources import ledger, logs, splits
 
 BATCH = 4
 
@@ -492,6 +492,47 @@ def length_audit(spark, d):
     return survey.length_audit_summary(survey.length_audit(p, limit=200))
 
 
+def canonical_values(spark, d):
+    """Do two texts hold the same JSON value (R2)?"""
+    p = fx.json_pairs(spark, d)
+    return p.select("doc_id", canonical.same_value("a", "b").alias("same"),
+                    F.coalesce(canonical.json_digest("a") == canonical.json_digest("b"), F.lit(False)).alias("same_digest"))
+
+
+def _chat(spark, d):
+    """Messages of every pair, without those that have no text."""
+    p = fx.pairs(spark, d)
+    every = chat.messages(("system", F.col("system")), ("user", F.col("prompt")), ("assistant", F.col("completion")))
+    return p.withColumn("messages", F.filter(every, lambda m: m["content"].isNotNull()))
+
+
+def chat_templates(spark, d):
+    """Every pair rendered by two template styles."""
+    c = _chat(spark, d)
+    return c.select("conv_id", "turn", chat.render("messages", chat.CHATML_TEMPLATE, True).alias("chatml"),
+                    chat.render("messages", chat.INST_TEMPLATE, bos_token="<s>", eos_token="</s>").alias("inst"))
+
+
+def label_spans(spark, d):
+    """The characters and tokens of every pair that training learns from (R12, C9); the spans of a
+    pair give back its completion."""
+    c = labels.with_label_spans(_chat(spark, d), template.compiled(chat.CHATML_TEMPLATE))
+    rows = labels.span_rows(c, keep=("conv_id", "turn", "completion"))
+    return rows.select("conv_id", "turn", "span", "begin", "end", "first_token", "n_tokens",
+                       (F.col("learnt") == F.col("completion")).alias("is_completion"))
+
+
+def resumed_calls(spark, d):
+    """Requests through a response ledger (D3): half of the batches, then all, then all again.  Each
+    request is sent once, whatever was sent before."""
+    reqs = stored(rq.batch_requests(fx.batched_cad(spark, d, BATCH)), "requests")
+    path = scratch_dir(spark, "ledger")
+    call = lambda request: f"{len(request)} characters"
+    sent = [ledger.send_new(part, call, path, model="stand-in", every=64) for part in (reqs.where("batch_id % 2 = 0"), reqs, reqs)]
+    found = ledger.answers(reqs, path, model="stand-in")
+    return found.select("batch_id", "response", *[F.lit(n).cast("bigint").alias(f"n_sent_{i}") for i, n in enumerate(sent, 1)])
+
+
 REGISTRY = {name: fn for name, fn in list(globals().items())
             if callable(fn) and not name.startswith("_") and fn.__module__ == __name__
             and name not in ("REGISTRY",)}
