@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 def usable(df: DataFrame, id_col: str, vec_col: str, nonzero: bool = False) -> DataFrame:
     """``id, vec`` of the rows that take part: id and vector present, no null or non-finite
-    component (``nonzero``: not all zero either).  An id names one vector: of rows that repeat an
-    id, the smallest vector counts (repeated rows are thus one)."""
+    component (``nonzero``: not all zero either).  Rows that repeat an id all take part."""
     x = F.col("vec")
     ok = F.col("id").isNotNull() & x.isNotNull() & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     if nonzero:
         ok = ok & F.exists(x, lambda c: c != 0)
-    return (df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(ok)
-            .groupBy("id").agg(F.min("vec").alias("vec")))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(ok)
 
 
 def matrices(ids: pa.Array, vecs: pa.Array):
