@@ -108,19 +108,27 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return stored(docs.join(stored(wanted, "near-wanted"), "id").mapInArrow(sets, "id long, s array<bigint>"), "near-sets")
 
 
+def _spread_join(pairs: DataFrame, rows: DataFrame, salts: int = 16) -> DataFrame:
+    """Pairs ``a, b`` with the row of ``a``.  One ``a`` may have very many pairs: they are spread by
+    ``b``, and its row goes only where some of them are."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    copies = salted.select("a", "salt").distinct().join(rows, "a")
+    return salted.join(copies, ["a", "salt"]).drop("salt")
+
+
 def _confirmed(pairs: DataFrame, planes: DataFrame, docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
     """Of the candidate pairs ``a, b`` those whose full sets are similar enough."""
     p = stored(pairs, "near-pairs")
     j, chance = percent / 100, 2.0 ** -BITS
     equal = chance + (1 - chance) * j
     floor = j - 5 * (equal * (1 - equal) / n) ** 0.5 / (1 - chance)
-    est = (p.join(planes.select(F.col("rep").alias("a"), F.col("planes").alias("x")), "a")
+    est = (_spread_join(p, planes.select(F.col("rep").alias("a"), F.col("planes").alias("x")))
            .join(planes.select(F.col("rep").alias("b"), F.col("planes").alias("y")), "b")
            .where(estimate("x", "y", n) >= floor).select("a", "b").distinct())
     est = stored(est, "near-estimated")
     full = _full_sets(docs, est.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
-    both = (est.join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-            .join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a"))
+    both = _spread_join(est.join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b"),
+                        full.select(F.col("id").alias("a"), F.col("s").alias("x")))
     shared = F.size(F.array_intersect("x", "y"))
     return stored(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(),
                   "near-links")

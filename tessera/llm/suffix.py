@@ -14,9 +14,13 @@ Every byte covered by a string of ``span`` bytes that also starts anywhere else
    for ``d`` bytes, for any ``d``; a window that begins ``j`` bytes left of its anchor repeats if
    another suffix of its group for ``span - j`` bytes has the same ``j`` bytes to the left.
 
-Buckets are numerous enough to hold about ``bucket_rows`` suffixes each.  An anchor with more than
-``hot`` occurrences would make one task long: its windows are compared by a 128-bit digest instead,
-counted in salted parts (see ``_repeated``), so no task holds all of them.
+A run holds each string (left context and suffix) once, with the list of its places, so a passage
+that is everywhere the same is one string per run however often it occurs.  Buckets are numerous
+enough to hold about ``bucket_rows`` strings each.  Anchors with more occurrences than that may
+still have many different strings: where a bucket of theirs does, its windows are split in two by
+their place around the anchor, again and again: all windows of a part share what lies in all of
+them (the *core*), so strings are dealt by their cores, and cut to what the part needs, equal ones
+become one.  A part of a single place holds one string per core and run.
 
 Null text is empty.  Ids only name the rows: null and repeated ids are kept, repeated rows are
 copies of each other.  Texts shorter than ``span`` lose nothing.  An empty table gives an empty
@@ -31,11 +35,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.anchors import owners
-from tessera.llm.common import bucket_of, stored
+from tessera.llm.common import stored
 from tessera.llm.merge import decoded, front_coded, merge_runs
 from tessera.llm.shingles import mixed, rolling
 
@@ -95,41 +99,87 @@ def _members(x: bytes, span: int, places: np.ndarray):
                 yield p, a, b
 
 
-RUN = ("bucket int, m array<bigint>, t array<bigint>, p array<bigint>, near array<int>, far array<int>, "
-       "shared array<int>, rest array<binary>, `left` array<binary>")
+RUN = ("bucket bigint, lo int, hi int, strings bigint, copies array<int>, m array<bigint>, t array<bigint>, p array<bigint>, "
+       "near array<int>, far array<int>, shared array<int>, rest array<binary>, `left` array<binary>")
+_LONGS, _INTS, _BYTES = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary())
+_RUN = pa.schema([("bucket", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("strings", pa.int64()), ("copies", _INTS),
+                  ("m", _LONGS), ("t", _LONGS), ("p", _LONGS), ("near", _INTS), ("far", _INTS), ("shared", _INTS),
+                  ("rest", _BYTES), ("left", _BYTES)])
 
 
-def _runs(span: int, buckets: int, run_rows: int):
-    """Texts with their repeated anchors -> sorted, front-coded runs of suffixes per bucket."""
-    names = ["bucket", "m", "t", "p", "near", "far", "shared", "rest", "left"]
-    kinds = [pa.int32(), *[pa.list_(k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(),
-                                                 pa.binary(), pa.binary())]]
-
-    def flush(held):
-        cols = [[] for _ in names]
-        for bucket, rows in held.items():
-            rows.sort(key=lambda r: r[0])
-            shared, rest = front_coded([r[0] for r in rows])
-            for c, v in zip(cols, (bucket, *[[r[i] for r in rows] for i in range(1, 6)], shared, rest, [r[6] for r in rows])):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+class _Held:
+    """Strings of a run in the making: bucket -> string -> places.  A string is ``(suffix, left, near,
+    far)``: its windows begin ``near`` to ``far`` bytes left of the anchor."""
+
+    def __init__(self):
+        self.buckets, self.size = {}, 0
+
+    def add(self, bucket, string, places):
+        self.buckets.setdefault(bucket, {}).setdefault(string, []).extend(places)
+        self.size += len(places)
+
+    def flushed(self) -> pa.RecordBatch:
+        out = {name: [] for name in _RUN.names}
+        for (bucket, lo, hi), strings in self.buckets.items():
+            rows = sorted(strings.items())
+            shared, rest = front_coded([s[0] for s, _ in rows])
+            places = [x for _, p in rows for x in p]
+            for name, v in zip(out, (bucket, lo, hi, len(rows), [len(p) for _, p in rows], *[[x[i] for x in places] for i in range(3)],
+                                     [s[2] for s, _ in rows], [s[3] for s, _ in rows], shared, rest, [s[1] for s, _ in rows])):
+                out[name].append(v)
+        self.__init__()
+        return pa.RecordBatch.from_pydict(out, _RUN)
+
 
+def _runs(span: int, buckets: int, run_rows: int, hot: bool):
+    """Texts with their repeated anchors -> sorted, front-coded runs of suffixes per bucket."""
     def run(batches):
-        held, n = {}, 0
+        held = _Held()
         for b in batches:
             for m, t, text, anchors in zip(*[b.column(i) for i in range(4)]):
-                x = _bytes(text.as_py())
-                places = np.array(sorted(a["place"] for a in anchors.as_py() if not a["hot"]), np.int64)
+                places = np.array(sorted(a["place"] for a in anchors.as_py() if a["hot"] == hot), np.int64)
+                if not len(places):
+                    continue
+                x, m, t = _bytes(text.as_py()), m.as_py(), t.as_py()
                 for p, first, last in _members(x, span, places):
                     suffix = x[p:last + span]
-                    held.setdefault(xxhash.xxh32_intdigest(suffix[:PHRASE]) % buckets, []).append(
-                        (suffix, m.as_py(), t.as_py(), p, p - last, p - first, x[first:p]))
-                    n += 1
-                    if n >= run_rows:
-                        yield flush(held)
-                        held, n = {}, 0
-        if held:
-            yield flush(held)
+                    bucket = (xxhash.xxh32_intdigest(suffix[:PHRASE]) % buckets, 0, span - PHRASE)
+                    held.add(bucket, (suffix, x[first:p], p - last, p - first), [(m, t, p)])
+                    if held.size >= run_rows:
+                        yield held.flushed()
+        if held.size:
+            yield held.flushed()
+
+    return run
+
+
+def _strings(row: dict):
+    """``(string, places)`` of a run."""
+    at = 0
+    for (suffix, _), left, near, far, n in zip(decoded(row["shared"], row["rest"]), row["left"], row["near"], row["far"], row["copies"]):
+        yield (suffix, left, near, far), list(zip(*[row[c][at:at + n] for c in ("m", "t", "p")]))
+        at += n
+
+
+def _halved(span: int, buckets: int, run_rows: int, level: int):
+    """Runs of buckets that hold too many strings -> runs of either half of their windows, dealt by core."""
+    def run(batches):
+        held = _Held()
+        for b in batches:
+            for row in b.to_pylist():
+                middle = (row["lo"] + row["hi"]) // 2
+                for (suffix, left, near, far), places in _strings(row):
+                    for lo, hi in ((row["lo"], middle), (middle + 1, row["hi"])):
+                        n, f = max(near, lo), min(far, hi)
+                        if n > f:
+                            continue
+                        core = left[len(left) - lo:] + suffix[:span - hi]
+                        bucket = (level << 40) + xxhash.xxh64_intdigest(core, lo) % buckets
+                        held.add((bucket, lo, hi), (suffix[:span - n], left[len(left) - f:], n, f), places)
+                    if held.size >= run_rows:
+                        yield held.flushed()
+        if held.size:
+            yield held.flushed()
 
     return run
 
@@ -159,77 +209,54 @@ def repeated_offsets(shared: np.ndarray, near: np.ndarray, far: np.ndarray, left
 def _merge_bucket(span: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         runs = [decoded(s, r) for s, r in zip(pdf["shared"], pdf["rest"])]
-        fields = [pdf[c].tolist() for c in ("m", "t", "p", "near", "far", "left")]
+        fields = [pdf[c].tolist() for c in ("near", "far", "left")]
+        places = [np.split(np.stack([r[c] for c in ("m", "t", "p")], axis=1), np.cumsum(r["copies"])[:-1]) for _, r in pdf.iterrows()]
         at = [0] * len(runs)
-        rows, shared, seen, least = [], [], set(), span
+        rows, own, shared, seen, least = [], [], [], set(), span
         for r, n in merge_runs(runs):
             row = tuple(f[r][at[r]] for f in fields)
+            mine = [x for x in map(tuple, places[r][at[r]].tolist()) if (*x, row[0]) not in seen]
             at[r] += 1
             least = min(least, n)
-            if row[:4] in seen:                            # the same text read twice
+            if not mine:                                   # the same text read twice
                 continue
-            seen.add(row[:4])
+            mine = list(dict.fromkeys(mine))
+            seen.update((*x, row[0]) for x in mine)
             rows.append(row)
+            own.append(mine)
             shared.append(least if len(rows) > 1 else 0)
             least = span
-        # a suffix that shares little with both neighbours has no repeated window
-        shared = np.array(shared)
-        far = np.array([r[4] for r in rows])
+        out = {"m": [], "t": [], "lo": [], "hi": []}
+
+        def put(row, a, b):
+            """The windows that begin ``a`` to ``b`` bytes left of the anchor go, at each place."""
+            for m, t, p in own[row]:
+                for c, v in zip(out.values(), (m, t, p - b, p - a + span)):
+                    c.append(v)
+
+        # a string at several places repeats whole; one that shares little with both neighbours has no repeated window
+        shared, far = np.array(shared), np.array([r[1] for r in rows])
+        several = np.array([len(x) > 1 for x in own], bool)
+        for i in np.flatnonzero(several).tolist():
+            put(i, rows[i][0], rows[i][1])
         touch = np.maximum(shared, np.append(shared[1:], 0)) >= span - far
         keep = np.flatnonzero(touch)
-        out = {"m": [], "t": [], "lo": [], "hi": []}
         if len(keep):
             # the prefix shared by two kept neighbours is the least of those between them
             cut = np.minimum.reduceat(shared[:keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1]))
             kept = [rows[i] for i in keep]
-            dup = repeated_offsets(cut, np.array([r[3] for r in kept]), far[keep], [r[5] for r in kept], span)
+            dup = repeated_offsets(cut, np.array([r[0] for r in kept]), far[keep], [r[2] for r in kept], span)
+            dup[several[keep]] = False                     # these are out already
             edge = np.diff(np.pad(dup, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             i, lo = np.nonzero(edge == 1)
             _, hi = np.nonzero(edge == -1)
-            for row, a, b in zip(i.tolist(), lo.tolist(), hi.tolist()):
-                m, t, p = kept[row][:3]
-                for c, v in zip(out.values(), (m, t, p - (b - 1), p - a + span)):
-                    c.append(v)
+            for row, a, b in zip(keep[i].tolist(), lo.tolist(), hi.tolist()):
+                put(row, a, b - 1)
         return pd.DataFrame(out).astype({"m": "int64", "t": "int64", "lo": "int64", "hi": "int64"})
 
     return run
 
 
-def _hot_windows(span: int):
-    """Windows of the anchors that occur very often, with digests."""
-    def run(batches):
-        for b in batches:
-            cols = [[] for _ in range(5)]
-            for m, t, text, anchors in zip(*[b.column(i) for i in range(4)]):
-                places = np.array(sorted(a["place"] for a in anchors.as_py() if a["hot"]), np.int64)
-                x = _bytes(text.as_py())
-                if not len(places):
-                    continue
-                starts = np.concatenate([np.arange(a, z + 1) for _, a, z in _members(x, span, places)])
-                digest = np.array([_class_key(x[s:s + span]) for s in starts.tolist()], np.int64)
-                for c, v in zip(cols, (m.as_py(), t.as_py(), starts, digest[:, 0], digest[:, 1])):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                *[pa.array(c, pa.list_(pa.int64())) for c in cols[2:]]], names=["m", "t", "s", "g1", "g2"])
-
-    return run
-
-
-def _repeated(windows: DataFrame, salts: int = 1024) -> DataFrame:
-    """Rows whose digest ``g1, g2`` occurs more than once, without a join: a digest is counted in
-    ``salts`` parts, and then once more over the first row of each part.  No window holds more than
-    a part of a digest's rows, or one row per part."""
-    part = Window.partitionBy("g1", "g2", "salt")
-    rows = (windows.withColumn("salt", bucket_of(salts, "m", "t", "s"))
-            .withColumn("in_part", F.count(F.lit(1)).over(part))
-            .withColumn("nth", F.row_number().over(part.orderBy("m", "t", "s")))
-            # first rows meet under one key, all others stay in their part
-            .withColumn("salt", F.when(F.col("nth") == 1, -1).otherwise(F.col("salt"))))
-    firsts = F.count(F.lit(1)).over(Window.partitionBy("g1", "g2", "salt"))
-    return rows.withColumn("firsts", firsts).where("in_part > 1 or firsts > 1")
-
-
 def _cut(keep_texts: bool):
     """Texts with the spans to remove -> bytes and spans removed, digest of the rest."""
     def run(batches):
@@ -256,7 +283,7 @@ def _cut(keep_texts: bool):
     return run
 
 
-def drop_repeated_strings(docs: DataFrame, span: int = 200, bucket_rows: int = 20_000, hot: int = 1000,
+def drop_repeated_strings(docs: DataFrame, span: int = 200, bucket_rows: int = 20_000,
                           run_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text",
                           keep_bytes: bool = False) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` for every row; ``keep_bytes`` adds
@@ -279,7 +306,7 @@ def drop_repeated_strings(docs: DataFrame, span: int = 200, bucket_rows: int = 2
     rows = (member.where("a is not null").select("m", "t", F.explode("a").alias("x"))
             .select("m", "t", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place")))
     found = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                   .select("anchor", (F.col("n") > hot).alias("hot")), "suf-repeated")
+                   .select("anchor", (F.col("n") > bucket_rows).alias("hot")), "suf-repeated")
     lists = stored(rows.join(found, "anchor").groupBy("m", "t").agg(
         F.collect_set(F.struct("place", "hot")).alias("at")), "suf-lists")
     wanted = lists.join(classes.select("t", "own_md5"), "t").select(
@@ -289,14 +316,24 @@ def drop_repeated_strings(docs: DataFrame, span: int = 200, bucket_rows: int = 2
 
     n = lists.agg(F.sum(F.size("at"))).first()[0] or 0
     buckets = max(64, -(-n // bucket_rows))
-    merged = (open_texts.mapInArrow(_runs(span, buckets, run_rows), RUN)
-              .groupBy("bucket").applyInPandas(_merge_bucket(span), "m long, t long, lo long, hi long"))
-    windows = stored(open_texts.where(F.exists("at", lambda a: a["hot"])).mapInArrow(
-        _hot_windows(span), "m long, t long, s array<bigint>, g1 array<bigint>, g2 array<bigint>"), "suf-hot")
-    each = windows.dropDuplicates(["m", "t"]).select("m", "t", F.explode(F.arrays_zip("s", "g1", "g2")).alias("w")).select(
-        "m", "t", "w.s", "w.g1", "w.g2")
-    often = _repeated(each).select("m", "t", F.col("s").alias("lo"), (F.col("s") + span).alias("hi"))
-    spans = stored(merged.unionByName(often).groupBy("m", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suf-spans")
+    parts = [open_texts.mapInArrow(_runs(span, buckets, run_rows, False), RUN)]
+    often = open_texts.where(F.exists("at", lambda a: a["hot"])).mapInArrow(_runs(span, buckets, run_rows, True), RUN)
+    level = 1
+    while True:
+        often = stored(often, "suf-runs")
+        full = stored(often.groupBy("bucket").agg(F.sum("strings").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("width"))
+                      .where((F.col("n") > bucket_rows) & (F.col("width") > 0)).select("bucket"), "suf-full")
+        parts.append(often.withColumn("bucket", F.col("bucket") + F.lit(level << 48)).join(
+            full.select((F.col("bucket") + F.lit(level << 48)).alias("bucket")), "bucket", "left_anti"))
+        if full.isEmpty():
+            break
+        often = often.join(full, "bucket", "left_semi").mapInArrow(_halved(span, buckets, run_rows, level), RUN)
+        level += 1
+    runs = parts[0]
+    for p in parts[1:]:
+        runs = runs.unionByName(p)
+    merged = runs.groupBy("bucket").applyInPandas(_merge_bucket(span), "m long, t long, lo long, hi long")
+    spans = stored(merged.groupBy("m", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suf-spans")
     cut = stored(open_texts.select("m", "t", "text").join(spans, ["m", "t"]).mapInArrow(
         _cut(keep_bytes), "m long, t long, gone long, runs long, rest string" + ", kept binary" * keep_bytes), "suf-cut")
     per_class = cut.groupBy("m", "t").agg(*[F.first(c).alias(c) for c in cut.columns[2:]])

@@ -81,9 +81,9 @@ def plain_suffix(docs, span):
         yield i, len(x), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(rest).hexdigest()
 
 
-@pytest.mark.parametrize("hot", [1, 4, 1000])
-def test_suffix(corpus, same, hot):
-    got = suffix.drop_repeated_strings(corpus, span=200, hot=hot, bucket_rows=10, run_rows=7)
+@pytest.mark.parametrize("bucket_rows", [1, 4, 1000])
+def test_suffix(corpus, same, bucket_rows):
+    got = suffix.drop_repeated_strings(corpus, span=200, bucket_rows=bucket_rows, run_rows=7)
     assert same(got, *got.columns) == sorted(plain_suffix(rows(corpus), 200), key=repr)
 
 
@@ -168,3 +168,20 @@ def test_near_duplicates_of_repeated_ids(spark, same):
     docs = [(1, a), (5, a), (5, b), (5, c), (7, b + " end"), (3, c + " end"), (9, text()), (9, text()), (9, text()), (2, None), (2, b)]
     got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
     assert same(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_near([(i, t or "") for i, t in docs], 5, 80), key=repr)
+
+
+def test_suffix_of_a_very_common_passage(spark, same, monkeypatch):
+    """A passage in all documents, and one in half of them beside it: buckets are split by cores, and
+    no table has a row per byte."""
+    rnd = random.Random(12)
+    letters = lambda n: "".join(rnd.choice("abcd ") for _ in range(n))
+    common, next_to = letters(230), letters(40)
+    rows = [(i, letters(rnd.randint(0, 90)) + common + (next_to if i % 2 else "") + letters(rnd.randint(0, 90))) for i in range(150)]
+    rows += [(150, common[:120]), (151, common + common), (152, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tables, write = [], suffix.stored
+    monkeypatch.setattr(suffix, "stored", lambda df, name: tables.append((name, write(df, name))) or tables[-1][1])
+    got = suffix.drop_repeated_strings(docs, span=100, bucket_rows=8)
+    assert same(got, *got.columns) == sorted(plain_suffix(rows, 100), key=repr)
+    assert sum(name == "suf-runs" for name, _ in tables) > 2
+    assert all(t.count() < 40 * len(rows) for _, t in tables)
