@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from tessera.llm import mixing, near_dup, packing, substring, toxicity
 from tessera.llm.common import stored, table
 from tessera.llm.queries import tokenizer_path, toxicity_model
+from tessera.session import scratch_dir, scratch_space
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5 stay."""
+    """Documents whose toxicity score is below 0.5 stay, those without text among them; repeated rows
+    share their fate.  An empty table gives an empty one."""
     docs = docs.select(*COLUMNS)
     model = toxicity_model(spark, sf_dir, docs)
     rest = [c for c in COLUMNS if c != "doc_id"]
@@ -53,13 +55,16 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 5, 2, 1 in turn: a row for each copy that the mix takes."""
+    """Sources at weights 5, 2, 1 in turn: a row for each copy that the mix takes.  A null source is the
+    last one; null text has no words and is never taken; repeated rows are taken on their own.  An
+    empty table gives an empty one."""
     docs = docs.select(*COLUMNS)
     return mixing.mixed_documents(docs, mixing.mix(docs)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens: where each piece of each document goes."""
+    """Sequences of 2048 tokens: where each piece of each document goes.  Null text is a separator
+    alone; repeated rows are packed each.  An empty table gives an empty plan."""
     return packing.pack(docs, tokenizer_path(), seq_len=2048)
 
 
@@ -72,8 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again, and what it stored
+    on the way is dropped."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_dir(spark, f"pipeline-{name}")
+        with scratch_space(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
