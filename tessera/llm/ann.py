@@ -9,7 +9,7 @@ one byte per component, not the vector.
 
 A query looks at the classes whose position lies within ``window`` (a share of all) around its own:
 positions are cut into blocks, queries go to the blocks their window touches, and each block keeps
-the ``4 * k`` best by these bytes.  Lists are merged per (query, curve) and per query; the ``8 * k``
+the ``2 * k`` best by these bytes.  Lists are merged per (query, curve) and per query; the ``4 * k``
 best classes of a query fetch their vectors and are reranked by exact cosine in double precision.
 Ranks are then filled from the classes' ids; of the query's own class all rows but its own count.
 
@@ -104,7 +104,7 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 24, dims: int = 6, bits: int = 3,
-            window: float = 0.04, min_block: int = 256, max_block: int = 32768, seed: int = 11,
+            window: float = 0.04, min_block: int = 64, max_block: int = 32768, seed: int = 11,
             id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` (cosine) for every row with ``is_query`` (a condition on
     the column ``id``)."""
@@ -137,17 +137,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 24,
         "before", F.coalesce(F.sum("n").over(Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * curves)
     half = F.ceil(F.col("n") * (window / 2)).cast("long")
     per_dim = per_dim.withColumn("half", half).withColumn(
-        "size", F.least(F.greatest(F.lit(min_block), F.ceil(half / 4)), F.lit(max_block)).cast("long"))
+        "size", F.least(F.greatest(F.lit(min_block).cast("long"), half), F.lit(max_block).cast("long")))   # a window touches three blocks
     at = placed.join(per_dim, "dim").withColumn("pos", F.col("ord") - F.col("before") - F.col("curve") * F.col("n"))
     cand = at.select("dim", "curve", F.expr("pos div size").alias("block"), "cid", "sketch")
     first, last = F.expr("greatest(pos - half, 0L) div size"), F.expr("least(pos + half, n - 1) div size")
     asked = at.where("asked").select(F.col("dim").alias("q_dim"), F.col("curve").alias("q_curve"),
                                      F.explode(F.sequence(first, last)).alias("q_block"), F.col("cid").alias("q_cid"), F.col("sketch").alias("q_sketch"))
     found = (asked.groupBy("q_dim", "q_curve", "q_block").cogroup(cand.groupBy("dim", "curve", "block"))
-             .applyInArrow(_rerank(4 * k), "query_row long, cid long, score float, curve int"))
+             .applyInArrow(_rerank(2 * k), "query_row long, cid long, score float, curve int"))
     # the same neighbour found on several curves counts once
     once = found.groupBy("query_row", "cid").agg(F.max("score").alias("score"), F.min("curve").alias("curve"))
-    short = stored(merge_top(once, 8 * k, "curve", [F.col("score").desc(), F.col("cid")]).select(F.col("query_row").alias("qcid"), "cid"), "ann-short")
+    short = stored(merge_top(once, 4 * k, "curve", [F.col("score").desc(), F.col("cid")]).select(F.col("query_row").alias("qcid"), "cid"), "ann-short")
     queries = classes.where("asked").select(F.col("cid").alias("qcid"), F.col("vec").alias("q"))
     pairs = short.unionByName(queries.select("qcid", F.col("qcid").alias("cid")))          # the own class first
     scored = (pairs.join(queries, "qcid").join(classes.select("cid", "vec"), "cid").select("qcid", "cid", "q", "vec")
