@@ -14,7 +14,9 @@ shorter a window compresses with the toxic one:
   and all bytes before it, so that whole-byte lengths resolve single characters and only equal
   beginnings match.  Windows of plain text alone miss words that differ from ordinary ones in a few
   characters (figures in the README).  Their dictionaries hold common words, and the toxic one
-  those typical of toxic passages (many times as frequent, counted by contexts).
+  those typical of toxic passages (many times as frequent, counted by contexts), the ordinary one
+  as many bytes of further words.  A word that begins like none of these has the distance 0: both
+  dictionaries offer it the same common words.
 
 A document is cut into even passages of at most ``PASSAGE`` words.  A passage's features are the
 evidence of its different words and of its windows; a logistic curve gives its odds.  The odds of a document are the mean of its passages' odds: what a
@@ -50,10 +52,11 @@ PASSAGE = 256               # words that are judged together
 LEVEL = 6
 BASE_WORDS = 5_000          # words of ordinary text in either dictionary of words
 CACHED_WORDS = 150_000      # distances in either half of a worker's cache
-SPAN, STEP = 10, 6          # words of a window, and from one to the next: any five words in a row share one
+SPAN, STEP = 12, 8          # words of a window, and from one to the next: any five words in a row share one
 COMMON, PART = 200_000, 2_000     # bytes of the common and of each telling part of the dictionaries
 PARTS = 3                   # folds that measure each other
 CLIP, WORD_CLIP = (-3, 12), (-12, 40)     # distances of spans and of words; those beyond count as these
+START = 3                   # bytes that a word must share with a telling one to be compressed
 _EDGE = b".,;:!?\"'()[]{}<>*_-"
 
 
@@ -63,6 +66,7 @@ class Model:
     several, and the weights of the logistic curve."""
     ordinary: bytes
     toxic: bytes
+    starts: frozenset[bytes]
     weights: tuple[float, ...]
     evidence: tuple[float, ...] = (0.0,) * (WORD_CLIP[1] - WORD_CLIP[0] + 1)
     span_ordinary: bytes = b""
@@ -95,10 +99,12 @@ def _compressors(ordinary: bytes, toxic: bytes):
 class Distances:
     """Distance of a word: its compressed length with the ordinary dictionary minus with the toxic one."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        (self.c0, self.c1), self.cache, self.old = _compressors(ordinary, toxic), {}, {}
+    def __init__(self, ordinary: bytes, toxic: bytes, starts: frozenset[bytes]):
+        (self.c0, self.c1), self.starts, self.cache, self.old = _compressors(ordinary, toxic), starts, {}, {}
 
     def of(self, word: bytes) -> int:
+        if word[:START] not in self.starts:
+            return 0
         v = self.cache.get(word)
         if v is None:
             v = self.old.get(word)
@@ -112,7 +118,9 @@ class Distances:
 
     def passage(self, words: list[bytes]) -> np.ndarray:
         """Distances of the different words of a passage."""
-        return np.array([self.of(w) for w in set(words)], np.int64)
+        different, starts = set(words), self.starts
+        found = [self.of(w) for w in different if w[:START] in starts]
+        return np.array(found + [0] * (len(different) - len(found)), np.int64)
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -178,7 +186,7 @@ class Judge:
 
     def __init__(self, model: Model):
         self.model = model
-        self.words = Distances(model.ordinary, model.toxic)
+        self.words = Distances(model.ordinary, model.toxic, model.starts)
         self.spans = Spans(model.span_ordinary, model.span_toxic)
         self.evidence, self.span_evidence = np.array(model.evidence), np.array(model.span_evidence)
 
@@ -263,17 +271,22 @@ def _typical(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float
     return sorted(family | relatives, key=lambda x: (n1[x], x))
 
 
-def _word_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float) -> tuple[bytes, bytes]:
-    """``(ordinary, toxic)`` dictionaries of stretched words."""
+def _word_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], ratio: float) -> tuple[bytes, bytes, frozenset[bytes]]:
+    """``(ordinary, toxic)`` dictionaries of stretched words, and how the words that differ begin."""
     common = Counter()
     for p in ordinary:
         common.update(set(p))
     ranked = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
     base = b"".join(stretched(w) for w in ranked[:BASE_WORDS][::-1])
-    extra = b"".join(stretched(x.rstrip(b" "), x.endswith(b" ")) for x in _typical(toxic, ordinary, ratio))
-    more = b"".join(stretched(w) for w in ranked[BASE_WORDS:])[:len(extra)]
+    typical = _typical(toxic, ordinary, ratio)
+    extra, more, further = b"".join(stretched(x.rstrip(b" "), x.endswith(b" ")) for x in typical), b"", []
+    for w in ranked[BASE_WORDS:]:
+        if len(more) >= len(extra):
+            break
+        more += stretched(w)
+        further.append(w)
     # small enough for the match finder to keep every position of either
-    return more + base, extra + base
+    return more + base, extra + base, frozenset(x.rstrip(b" ")[:START] for x in (*typical, *further))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, part: np.ndarray, prior: float, expected: tuple[float, ...] = (0.0, 1.0, 0.4),
@@ -333,9 +346,9 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int
     learnt from."""
     rows = sample_passages(docs, labels, is_training, per_class, id_col, text_col, label_col)
     toxic, ordinary = [[(f % PARTS, p) for y, f, _, p in rows if y == kind] for kind in (1, 0)]
-    m0, m1 = _word_dictionaries([p for _, p in toxic], [p for _, p in ordinary], ratio)
+    m0, m1, starts = _word_dictionaries([p for _, p in toxic], [p for _, p in ordinary], ratio)
     if not toxic or not ordinary:
-        return Model(m0, m1, (-3.0, 0.0, 0.0))
+        return Model(m0, m1, starts, (-3.0, 0.0, 0.0))
     # what a passage shows is measured by dictionaries that its own document had no part in
     judges = [Distances(*_word_dictionaries(*[[p for g, p in x if g != f] for x in (toxic, ordinary)], ratio)) for f in range(PARTS)]
     words = [[judges[f].passage(p) for f, p in x] for x in (toxic, ordinary)]
@@ -345,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, per_class: int
     x = np.array([(1.0, _seen(w, e, WORD_CLIP), _seen(d, se, CLIP)) for w, d in zip(sum(words, []), sum(found, []))])
     y, part = np.array([r[0] for r in rows], float), np.array([r[2] for r in rows])
     weights = tuple(float(v) for v in _logistic(x, y, part, prior))
-    return Model(m0, m1, weights, tuple(e.tolist()), s0, s1, tuple(se.tolist()))
+    return Model(m0, m1, starts, weights, tuple(e.tolist()), s0, s1, tuple(se.tolist()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:

@@ -85,9 +85,9 @@ def plain_score(model, text):
         p = words[len(words) * i // n:len(words) * (i + 1) // n]
         spans, at = [], 0
         while p and (not at or at + 4 < len(p)):
-            spans.append(b" " + b" ".join(p[at:at + 10]) + b" ")
-            at += 6
-        odds.append(math.exp(min(max(a + b * evidence([distance(single, toxicity.stretched(w)) for w in set(p)], model.evidence, -12)
+            spans.append(b" " + b" ".join(p[at:at + 12]) + b" ")
+            at += 8
+        odds.append(math.exp(min(max(a + b * evidence([distance(single, toxicity.stretched(w)) if w[:3] in model.starts else 0 for w in set(p)], model.evidence, -12)
                                      + c * evidence([distance(several, s) for s in spans], model.span_evidence, -3), -30), 30)))
     return sum(odds) / n / (1 + sum(odds) / n)
 
