@@ -49,7 +49,7 @@ from tessera.llm.common import worker_cache
 STRETCH = 4
 LONGEST = 64                # bytes of a window; longer words are several windows
 PASSAGE = 256               # words that are judged together
-LEVEL = 6
+LEVEL, SPAN_LEVEL = 6, 5
 BASE_WORDS = 5_000          # words of ordinary text in either dictionary of words
 CACHED_WORDS = 150_000      # distances in either half of a worker's cache
 SPAN, STEP = 12, 8          # words of a window, and from one to the next: any five words in a row share one
@@ -86,12 +86,12 @@ def stretched(word: bytes, whole: bool = True) -> bytes:
     return b"".join(out)
 
 
-def _compressors(ordinary: bytes, toxic: bytes):
+def _compressors(ordinary: bytes, toxic: bytes, level: int = LEVEL):
     out = []
     for content in (ordinary, toxic):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False,
+        d.precompute_compress(level=level)
+        out.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False,
                                             write_checksum=False, write_dict_id=False))
     return out
 
@@ -168,7 +168,7 @@ class Spans:
     """Distances of windows of several words."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.c0, self.c1 = _compressors(ordinary, toxic)
+        self.c0, self.c1 = _compressors(ordinary, toxic, SPAN_LEVEL)
 
     def of(self, windows: list[bytes]) -> np.ndarray:
         c0, c1 = self.c0.compress, self.c1.compress
@@ -205,7 +205,7 @@ class Judge:
 def _trained(size: int, samples: list[bytes], k: int) -> bytes:
     """A dictionary trained on the samples; the samples themselves, if they are too few."""
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=6, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=k, d=6, level=SPAN_LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[:size]
 

@@ -63,15 +63,16 @@ def test_toxic_documents_go(spark):
 def plain_score(model, text):
     """From the definition: compressed lengths by zstandard itself, passage by passage."""
     def distance(dictionaries, x):
-        size = [len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False,
+        level, *dictionaries = dictionaries
+        size = [len(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False,
                                              write_dict_id=False).compress(x)) for d in dictionaries]
         return size[0] - size[1]
 
-    def prepared(*contents):
+    def prepared(level, *contents):
         out = [zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for c in contents]
         for d in out:
-            d.precompute_compress(level=6)
-        return out
+            d.precompute_compress(level=level)
+        return [level, *out]
 
     def evidence(distances, table, low):
         return min(max(sum(table[min(max(d - low, 0), len(table) - 1)] for d in distances), -10), 20)
@@ -79,7 +80,7 @@ def plain_score(model, text):
     words = [w.strip(b".,;:!?\"'()[]{}<>*_-") for w in (text or "").lower().encode().split()]
     words = [w[i:i + 64] for w in words for i in range(0, max(len(w), 1), 64)]
     n = max(-(-len(words) // 256), 1)
-    single, several = prepared(model.ordinary, model.toxic), prepared(model.span_ordinary, model.span_toxic)
+    single, several = prepared(6, model.ordinary, model.toxic), prepared(5, model.span_ordinary, model.span_toxic)
     odds, (a, b, c) = [], model.weights
     for i in range(n):
         p = words[len(words) * i // n:len(words) * (i + 1) // n]
