@@ -126,5 +126,5 @@ def route_by_parts(df: DataFrame, lang_col: str = "lang", completion_col: str =
 
 
 __all__ = ["part_entries", "progressive_docs", "progressive_check", "operation_check",
-           "number_coverage", "loop_closure", "route_by_parts", "same_json", "numbers",
+           "number_coverage", "loop_closure", "route_by_parts", "numbers",
            "json_numbers"]
