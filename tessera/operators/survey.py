@@ -51,9 +51,13 @@ def histogram(df: DataFrame, part_col: str = "part_count",
     integer arithmetic.  The histogram has one row per distinct count, so the
     ``sum over ()`` window runs on a handful of rows."""
     rows = df.where("parsed") if include_zero else df.where(F.col(part_col) > 0)
-    h = rows.groupBy(part_col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return with_share(rows.groupBy(part_col).agg(F.count(F.lit(1)).cast("bigint").alias("n")), part_col)
+
+
+def with_share(counts: DataFrame, part_col: str = "part_count") -> DataFrame:
+    """Counts ``n`` per part count, with their share ``pct``, in order."""
     tot = F.sum("n").over(Window.partitionBy())
-    return (h.withColumn("_tot", tot)
+    return (counts.withColumn("_tot", tot)
             .withColumn("pct", F.expr("CAST((2000 * n + _tot) div (2 * _tot) AS DOUBLE) / 10"))
             .drop("_tot").orderBy(part_col))
 
