@@ -23,17 +23,32 @@ def unbatch(requests: DataFrame, responses: DataFrame, batch_size: int,
     contents travel; a left join
     keeps every request row (``content`` null when the batch failed or the
     sample is missing; ``new_length`` is then 0)."""
-    tags, pieces = tag_tokens(F.col(response_col), ["sample"])
-    blocks = F.transform(F.sequence(F.lit(1), F.lit(batch_size)), lambda i: strip(
-        tag_from_tokens("_t", "_p", F.concat(F.lit("sample_"), i.cast("string")))))
-    samples = (responses.select("batch_id", tags.alias("_t"), pieces.alias("_p"))
-               .select("batch_id", F.posexplode(blocks).alias("_i", "content"))
+    samples = (_sample_blocks(responses, batch_size, response_col)
+               .select("batch_id", F.posexplode("_blocks").alias("_i", "content"))
                .select("batch_id", (F.col("_i") + 1).cast("int").alias("pos"), "content")
                .where(F.col("content").isNotNull()))
     out = requests.join(samples, ["batch_id", "pos"], "left")
     return out.withColumn("new_length", F.coalesce(F.length("content"), F.lit(0)).cast("bigint"))
 
 
+def _sample_blocks(responses: DataFrame, batch_size: int, response_col: str) -> DataFrame:
+    """``batch_id, _blocks``: the samples of every response in order, tokenised once."""
+    tags, pieces = tag_tokens(F.col(response_col), ["sample"])
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(batch_size)), lambda i: strip(
+        tag_from_tokens("_t", "_p", F.concat(F.lit("sample_"), i.cast("string")))))
+    return responses.select("batch_id", tags.alias("_t"), pieces.alias("_p")).select("batch_id", blocks.alias("_blocks"))
+
+
+def unbatch_colocated(requests: DataFrame, responses: DataFrame, batch_size: int,
+                      response_col: str = "response") -> DataFrame:
+    """``unbatch`` for tables stored by ``batch_id`` (``sources.batches``): a response meets its requests
+    where they lie and every request takes the block of its own place, so nothing is shuffled.  On
+    other tables it is right too, but whole responses travel.  ``batch_id`` is unique in ``responses``."""
+    samples = _sample_blocks(responses, batch_size, response_col)
+    out = requests.join(samples, "batch_id", "left").withColumn("content", F.get("_blocks", F.col("pos") - 1)).drop("_blocks")
+    return out.withColumn("new_length", F.coalesce(F.length("content"), F.lit(0)).cast("bigint"))
+
+
 def with_turns(df: DataFrame, max_parts: int | None = None, content_col: str = "content",
                out: str = "turns") -> DataFrame:
     """Add ``array<struct<turn, input, think, json>>`` of the turns that exist in the row's own tags,
@@ -135,4 +150,4 @@ def accept(df: DataFrame, response_col: str = "response") -> DataFrame:
                   F.lit("<think>"), think, F.lit("</think>")))))
 
 
-__all__ = ["unbatch", "with_turns", "verdict", "turns_long", "widen", "unwiden", "accept", "is_blank"]
+__all__ = ["unbatch", "unbatch_colocated", "with_turns", "verdict", "turns_long", "widen", "unwiden", "accept", "is_blank"]

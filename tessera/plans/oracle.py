@@ -262,12 +262,13 @@ def queries() -> dict[str, str]:
     Q["part_count"] = sql(f"SELECT id, {part_count(json_block('completion'))} AS part_count FROM cad_damaged",
                           "cad_damaged")
     pc = f"(SELECT id, {part_count(json_block('completion'))} AS pc FROM cad_damaged)"
-    Q["part_survey"] = sql(f"""SELECT count(*)::BIGINT AS total, count_if(pc > 0)::BIGINT AS valid,
+    survey_row = f"""SELECT count(*)::BIGINT AS total, count_if(pc > 0)::BIGINT AS valid,
         coalesce(max(CASE WHEN pc > 0 THEN pc END), 0)::BIGINT AS max_parts,
         count(DISTINCT CASE WHEN pc > 0 THEN pc END)::BIGINT AS n_distinct,
         count_if(pc > 0 AND pc = 3)::BIGINT AS consistent_rows,
         (count_if(pc > 0 AND pc = 3) = count_if(pc > 0) AND count(DISTINCT CASE WHEN pc > 0 THEN pc END) = 1
-         AND count_if(pc > 0 AND pc = 3) > 0) AS is_consistent FROM {pc}""", "cad_damaged")
+         AND count_if(pc > 0 AND pc = 3) > 0) AS is_consistent FROM {pc}"""
+    Q["part_survey"] = sql(survey_row, "cad_damaged")
     Q["part_histogram"] = sql(f"""SELECT pc AS part_count, n, {pct('n', 'tot')} AS pct FROM (
         SELECT pc, count(*)::BIGINT AS n, sum(count(*)) OVER ()::BIGINT AS tot FROM {pc} WHERE pc > 0 GROUP BY pc)""",
                               "cad_damaged")
@@ -456,4 +457,22 @@ def queries() -> dict[str, str]:
                           "(SELECT count(DISTINCT request) FROM r WHERE batch_id % 2 = 0)::BIGINT AS n_sent_1, "
                           "((SELECT count(DISTINCT request) FROM r) - (SELECT count(DISTINCT request) FROM r WHERE batch_id % 2 = 0))::BIGINT AS n_sent_2, "
                           "0::BIGINT AS n_sent_3 FROM r")
+    Q["stored_positions"] = """SELECT row_number() OVER (ORDER BY coalesce(doc_id % 2, 1), doc_id NULLS FIRST) - 1 AS ord, doc_id,
+        length(text)::BIGINT AS n_chars FROM documents"""
+    Q["unbatch_colocated"] = Q["unbatch"]
+    Q["snapshot_splits"] = """SELECT lang AS split, count(*)::BIGINT AS n_rows, 1::INTEGER AS version FROM documents GROUP BY lang
+        UNION ALL SELECT lang, count(*)::BIGINT, 2::INTEGER FROM documents WHERE lang IS DISTINCT FROM 'en' OR length(text) >= 500 GROUP BY lang
+        UNION ALL SELECT lang, count(*)::BIGINT, 3::INTEGER FROM documents WHERE lang = 'de' GROUP BY lang"""
+    # ranges are in order of their starts and none reaches beyond the next one's end, so neighbours tell all
+    Q["shard_coverage"] = """WITH r AS (SELECT doc_id * 10 AS s, doc_id * 10 + 10 + CASE WHEN doc_id % 7 = 0 THEN 5 ELSE 0 END
+            - CASE WHEN doc_id % 11 = 0 THEN 4 ELSE 0 END AS e FROM documents),
+        t AS (SELECT max(s) + 10 AS total FROM r),
+        n AS (SELECT s, e, lead(s) OVER (ORDER BY s) AS nxt, total FROM r, t)
+        SELECT 'gap' AS kind, 0::BIGINT AS "begin", min(s)::BIGINT AS finish, 0::BIGINT AS depth FROM r HAVING min(s) > 0
+        UNION ALL SELECT 'gap', e::BIGINT, coalesce(nxt, total)::BIGINT, 0::BIGINT FROM n WHERE e < coalesce(nxt, total)
+        UNION ALL SELECT 'overlap', nxt::BIGINT, e::BIGINT, 2::BIGINT FROM n WHERE e > nxt
+        UNION ALL SELECT 'outside', total::BIGINT, e::BIGINT, 1::BIGINT FROM n WHERE nxt IS NULL AND e > total"""
+    Q["merged_survey"] = sql(f"""SELECT s.*, m.min_tokens, m.max_tokens FROM ({survey_row}) s,
+        (SELECT min({tokens('completion')})::BIGINT AS min_tokens, max({tokens('completion')})::BIGINT AS max_tokens FROM cad_damaged) m""", "cad_damaged")
+    Q["merged_histogram"] = Q["part_histogram"]
     return Q

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import canonical, chat, jsonx, names, template, text as tx, tokens
-from tessera.operators import cad, labels, position, requests as rq, responses as rs, retry, survey
+from tessera.operators import cad, coverage, labels, position, requests as rq, responses as rs, retry, survey
 from tessera.plans import fixtures as fx, jobs
 from tessera.session import scratch_dir, stored
-from tessera.sources import ledger, logs, splits
+from tessera.sources import batches, ledger, logs, positions, snapshots, splits, survey_state
 
 BATCH = 4
 
@@ -533,6 +533,70 @@ def resumed_calls(spark, d):
     return found.select("batch_id", "response", *[F.lit(n).cast("bigint").alias(f"n_sent_{i}") for i, n in enumerate(sent, 1)])
 
 
+def stored_positions(spark, d):
+    """Documents numbered where they lie (W1): even ids first, odd and null ids appended behind them."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    table, path = scratch_dir(spark, "documents"), scratch_dir(spark, "positions")
+    for part in (0, 1):
+        docs.where(F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(1)) == part).write.mode("append").parquet(table)
+        positions.append(spark, table, path, "doc_id")
+    return positions.read(spark, table, path).select("ord", "doc_id", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def snapshot_splits(spark, d):
+    """Rows per language in every published version (S3, S4): all documents, English ones again without
+    short texts, then German ones alone; read after the last publication."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("split"))
+    path = scratch_dir(spark, "snapshots")
+    snapshots.publish(docs, path)
+    snapshots.publish(docs.where("split = 'en' AND length(text) >= 500"), path)
+    snapshots.publish(docs.where("split = 'de'"), path, replace_all=True)
+    out = None
+    for v in snapshots.versions(spark, path):
+        sizes = splits.split_sizes(snapshots.read(spark, path, version=v)).withColumn("version", F.lit(v))
+        out = sizes if out is None else out.unionByName(sizes)
+    return out
+
+
+def shard_coverage(spark, d):
+    """Ranges of ten positions per document, some too long and some too short: where they overlap and
+    where they leave gaps (R8)."""
+    docs = fx.table(spark, d, "documents")
+    start = F.col("doc_id") * 10
+    end = start + 10 + F.when(F.col("doc_id") % 7 == 0, 5).otherwise(0) - F.when(F.col("doc_id") % 11 == 0, 4).otherwise(0)
+    total = (docs.agg(F.max("doc_id")).first()[0] or 0) * 10 + 10
+    return coverage.range_coverage(docs.select(start.alias("start"), end.alias("end")), total)
+
+
+def unbatch_colocated(spark, d):
+    """Requests and responses stored by batch, so that un-batching shuffles nothing."""
+    path = scratch_dir(spark, "requests")
+    b = batches.publish(fx.batched_cad(spark, d, BATCH), path)
+    answers = batches.publish_like(fx.stand_in_model(b), path, scratch_dir(spark, "responses"))
+    return rs.unbatch_colocated(b, answers, BATCH).select("id", "batch_id", "pos", "new_length")
+
+
+def _surveyed(spark, d):
+    """State of documents that came in two parts: the second update reads the second part only."""
+    rows = stored(fx.cad_damaged(spark, d), "damaged")
+    table, path = scratch_dir(spark, "documents"), scratch_dir(spark, "survey")
+    for part in (0, 1):
+        rows.where(F.pmod("id", F.lit(2)) == part).write.mode("append").parquet(table)
+        survey_state.update(spark, table, path, tokens.approx_token_count(F.col("completion")))
+    return survey_state.current(spark, table, path)
+
+
+def merged_survey(spark, d):
+    """The survey, merged from the state of every file (A1, A3), with token extremes."""
+    state = _surveyed(spark, d)
+    return survey_state.survey(state, expected_parts=3).join(survey_state.token_minmax(state).drop("label"))
+
+
+def merged_histogram(spark, d):
+    """The part-count histogram, merged from the state of every file (A2)."""
+    return survey_state.histogram(_surveyed(spark, d))
+
+
 REGISTRY = {name: fn for name, fn in list(globals().items())
             if callable(fn) and not name.startswith("_") and fn.__module__ == __name__
             and name not in ("REGISTRY",)}

@@ -4,7 +4,7 @@ The reference keeps a log as one JSON object holding the whole id array.  That
 funnels every failed id through one writer, so here a log is a folder:
 ``summary/`` (one JSON line, counts and names only) and ``ids/`` (a parquet
 table written by all tasks).  ``read_failed_log`` also reads the reference's
-single-file form (one task parses that file; the ids are exploded after).
+single-file form: files longer than one range of ``split_json`` in byte ranges, shorter ones by Spark's JSON reader.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from tessera.functions.names import log_file_stem
 from tessera.operators.position import with_ord
 from tessera.session import delete_path
+from tessera.sources import split_json
 
 # Field names and name prefixes of the logs (here and below), so existing logs can be read.
 REF_LOG_SCHEMA = ("dataset string, split string, start_index bigint, failed_count bigint, "
                   "failed_sample_ids array<string>, timestamp string")
+SUMMARY_FIELDS = ("dataset", "split", "start_index", "failed_count", "timestamp")
 
 
 def timestamp_now() -> str:
@@ -99,6 +101,9 @@ def read_failed_log(spark: SparkSession, path: str, missing_ok: bool = False) ->
     if fs.getFileStatus(jvm_path).isDirectory():
         summary = spark.read.json(f"{path}/summary").first().asDict()
         return spark.read.parquet(f"{path}/ids"), summary
+    if fs.getFileStatus(jvm_path).getLen() > split_json.RANGE_BYTES:
+        ids, rest = split_json.read_id_array(spark, path, range_bytes=split_json.RANGE_BYTES)
+        return ids, {name: rest.get(name) for name in SUMMARY_FIELDS}
     raw = spark.read.schema(REF_LOG_SCHEMA).option("multiLine", True).json(path)
     summary = raw.drop("failed_sample_ids").first().asDict()
     ids = raw.select(F.posexplode("failed_sample_ids").alias("list_pos", "id"))
