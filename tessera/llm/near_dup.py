@@ -9,7 +9,8 @@ rest are confirmed on the full sets: ``100 * shared >= percent * all``.
 
 Within a bucket no step emits all pairs.  First every class is compared with the smallest of
 its bucket; the confirmed links give components.  Buckets that still hold several components are
-joined to clusters, and every class outside a cluster's largest component is compared with the
+joined to clusters; clusters of more than one block are cut by prefix filtering (similar sets share one of
+their rarest shingles), so that a text which many documents carry does not bring them together; and every class outside a cluster's largest component is compared with the
 cluster's classes of other components, on full sets, in blocks of bounded size: a task gets a block
 of either side and returns only links.  Classes already connected are never compared again, so the
 components are those that all pairs would give.  With 32 bands of 4 rows a pair at similarity 0.8
@@ -159,28 +160,87 @@ def _links_of_blocks(percent: int):
     return run
 
 
+_COUNTERS = 4096
+
+
+def _prefixes(percent: int):
+    """The rarest shingles of every class of a part of a cluster: two classes that are similar enough share one."""
+    def run(key, sets: pa.Table, counts: pa.Table) -> pa.Table:
+        often = np.zeros(_COUNTERS, np.int64)
+        often[counts.column("slot").to_numpy()] = counts.column("c").to_numpy()
+        reps, tokens = [], []
+        for rep, s in zip(sets.column("rep").to_pylist(), sets.column("s")):
+            x = s.values.to_numpy()
+            n = len(x) - -(-percent * len(x) // 100) + 1
+            tokens.append(x[np.lexsort((x, often[x % _COUNTERS]))[:n]])
+            reps.append(np.full(len(tokens[-1]), rep))
+        cluster = key[0].as_py()
+        token = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
+        return pa.table({"cluster": pa.array(np.full(len(token), cluster), pa.int64()), "token": pa.array(token, pa.int64()),
+                         "rep": pa.array(np.concatenate(reps) if reps else token, pa.int64())})
+
+    return run
+
+
+def _parts(n: F.Column, size: int) -> F.Column:
+    return F.ceil(n / size)
+
+
+def _upto(n: F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _spread(n: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64("rep"), n)
+
+
+def _by_prefix(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """``rep, part_of``: clusters cut into parts, so that classes that are similar enough are in one part; classes
+    that are similar to no other are left out.  ``sets``: ``rep, cluster, n, s`` (``n``: classes of the cluster).
+
+    A set's shingles are ordered by how often the cluster has them, rarest first; of two sets at the threshold both
+    have a shared one among the first ``size - ceil(percent * size / 100) + 1``.  Any order that is the same for the whole
+    cluster is right; counts are kept in ``_COUNTERS`` slots per cluster, which tells what a large
+    share of the cluster has from the rest."""
+    blocks = _parts(F.col("n"), block)
+    slot = F.pmod("x", F.lit(_COUNTERS)).cast("int")
+    counts = (sets.select("cluster", "n", F.explode("s").alias("x")).groupBy("cluster", "n", slot.alias("slot"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    left = sets.select("cluster", _spread(blocks).alias("part"), "rep", "s")
+    right = stored(counts, "near-counts").select(F.col("cluster").alias("cluster2"), _upto(blocks).alias("part2"), "slot", "c")
+    found = stored(left.groupBy("cluster", "part").cogroup(right.groupBy("cluster2", "part2"))
+                   .applyInArrow(_prefixes(percent), "cluster long, token long, rep long"), "near-prefixes")
+    first = stored(found.groupBy("cluster", "token").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z"), "near-shared")
+    links = found.join(first, ["cluster", "token"]).where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    return components(links).select(F.col("id").alias("rep"), F.col("component").alias("part_of"))
+
+
 def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int, minor_block: int = 256, block: int = 512) -> DataFrame:
-    """Links between different components of a cluster.  ``rows``: ``rep, component, cluster``."""
+    """Links between different components of a cluster.  ``rows``: ``rep, component, cluster``.  A cluster of more than one
+    block is cut by ``_by_prefix`` first: one block is compared at once anyway."""
+    sized = stored(rows.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster"), "near-sized")
+    full = _full_sets(docs, rows.select(F.col("rep").alias("id")), k)
+    sets = full.where(F.size("s") > 0).select(F.col("id").alias("rep"), "s").distinct()
+    large = sized.where(F.col("n") > block)
+    cut = _by_prefix(large.join(sets, "rep"), percent, block)
+    rows = stored(sized.where(F.col("n") <= block).select("rep", "component", "cluster").unionByName(
+        large.join(cut, "rep").select("rep", "component", F.col("part_of").alias("cluster"))), "near-parts")
     per = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     main = stored(per.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
-                                             F.sum("n").alias("n"), F.max("n").alias("most")), "near-clusters")
-    full = _full_sets(docs, rows.select(F.col("rep").alias("id")), k)
-    at = stored(rows.join(main, "cluster").join(full.where(F.size("s") > 0).select(F.col("id").alias("rep"), "s").distinct(), "rep"),
-                "near-open-sets")
-    blocks, minors = F.ceil(F.col("n") / block), F.ceil((F.col("n") - F.col("most")) / minor_block)
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    spread = lambda n: F.pmod(F.xxhash64("rep"), n)
-    left = at.where("component <> main").select("cluster", spread(minors).alias("mb"), upto(blocks).alias("ob"), "rep", "component", "s")
-    right = at.where("n > most").select(
-        F.col("cluster").alias("cluster2"), upto(minors).alias("mb2"), spread(blocks).alias("ob2"),
+                                             F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most"), "near-clusters")
+    at = stored(rows.join(main, "cluster").join(sets, "rep"), "near-open-sets")
+    blocks, minors = _parts(F.col("n"), block), _parts(F.col("n") - F.col("most"), minor_block)
+    left = at.where("component <> main").select("cluster", _spread(minors).alias("mb"), _upto(blocks).alias("ob"), "rep", "component", "s")
+    right = at.select(
+        F.col("cluster").alias("cluster2"), _upto(minors).alias("mb2"), _spread(blocks).alias("ob2"),
         F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("s").alias("s2"))
     return (left.groupBy("cluster", "mb", "ob").cogroup(right.groupBy("cluster2", "mb2", "ob2"))
             .applyInArrow(_links_of_blocks(percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4,
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = 512,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_shingles, component_id, kept`` for every row."""
+    """``id_col, n_shingles, component_id, kept`` for every row.  ``block``: classes per side of a block."""
     n = bands * rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signer(k, bands, rows),
@@ -208,7 +268,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
                        .where("lo < hi").select("key"), "near-open")
     open_rows = stored(rest.join(open_keys, "key").select("a", "rep", "component").distinct(), "near-open-rows")
     cluster = components(open_rows, "a", "rep").select(F.col("id").alias("rep"), "component").withColumnRenamed("component", "cluster")
-    more = stored(_across(open_rows.select("rep", "component").distinct().join(cluster, "rep"), texts, k, percent), "near-links")
+    more = stored(_across(open_rows.select("rep", "component").distinct().join(cluster, "rep"), texts, k, percent, -(-block // 2), block), "near-links")
     # texts of one id in several classes are one document
     own = stored(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "near-own")
     heads = signed.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -116,6 +116,31 @@ def test_near_duplicates(corpus, same, k):
     assert same(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_near(rows(corpus), k, 80), key=repr)
 
 
+@pytest.mark.parametrize("block", [2])
+def test_near_duplicates_of_cut_clusters(corpus, same, block):
+    """Every cluster is cut by the rarest shingles and compared in several blocks."""
+    got = near_dup.near_duplicates(corpus, block=block)
+    assert same(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_near(rows(corpus), 5, 80), key=repr)
+
+
+def test_shared_boilerplate_is_not_compared(spark, same, monkeypatch):
+    """Documents that share 150 of 210 words (similarity 0.55) fall into one cluster, of which only the
+    similar pairs planted in it are compared."""
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(10 ** 9)}"
+    shared = " ".join(word() for _ in range(150))
+    own = [" ".join(word() for _ in range(60)) for _ in range(60)]
+    docs = [(i, f"{shared} {x}") for i, x in enumerate(own)]
+    docs += [(100 + i, f"{shared} {x} more {i}") for i, x in enumerate(own[:6])]
+    tables, write = {}, near_dup.stored
+    monkeypatch.setattr(near_dup, "stored", lambda df, name: tables.setdefault(name, write(df, name)))
+    monkeypatch.setattr(near_dup, "_confirmed", lambda pairs, *rest: pairs.where("false"))     # all links by blocks
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), block=8)
+    assert same(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain_near(docs, 5, 80), key=repr)
+    assert tables["near-sized"].agg({"n": "max"}).first()[0] > 50
+    assert tables["near-open-sets"].count() == 12
+
+
 def test_components_of_chains_and_stars(spark, same):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(205, 203), (203, 205), (7, 7)]
     got = components(spark.createDataFrame(links, "a long, b long"))
