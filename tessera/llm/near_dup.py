@@ -221,10 +221,11 @@ def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int, minor_block:
     sized = stored(rows.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster"), "near-sized")
     full = _full_sets(docs, rows.select(F.col("rep").alias("id")), k)
     sets = full.where(F.size("s") > 0).select(F.col("id").alias("rep"), "s").distinct()
-    large = sized.where(F.col("n") > block)
-    cut = _by_prefix(large.join(sets, "rep"), percent, block)
-    rows = stored(sized.where(F.col("n") <= block).select("rep", "component", "cluster").unionByName(
-        large.join(cut, "rep").select("rep", "component", F.col("part_of").alias("cluster"))), "near-parts")
+    large, rows = sized.where(F.col("n") > block), sized.select("rep", "component", "cluster")
+    if not large.isEmpty():
+        cut = _by_prefix(large.join(sets, "rep"), percent, block)
+        rows = stored(sized.where(F.col("n") <= block).select("rep", "component", "cluster").unionByName(
+            large.join(cut, "rep").select("rep", "component", F.col("part_of").alias("cluster"))), "near-parts")
     per = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
     main = stored(per.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
                                              F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most"), "near-clusters")
