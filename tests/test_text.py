@@ -86,3 +86,10 @@ def test_basename_no_ext(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     got = [r[0] for r in df.select(tx.basename_no_ext(F.col("v"))).collect()]
     assert got == ["failed_ids_d_s_0_t", "mine", "b.c", "plain"]
+
+
+def test_strip_long_and_blank_as_python(spark):
+    texts = [None, "", " ", "a", " a", "a ", "\u3000\u2028a b\x85\n", "\x1c\x1f", "a\u200b", "\u200b", "é ", " 語"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.s, r.b) for r in df.select("i", tx.strip_long("t").alias("s"), tx.is_blank("t").alias("b")).collect()}
+    assert got == {i: (None if t is None else t.strip(), not (t or "").strip()) for i, t in enumerate(texts)}
