@@ -94,3 +94,23 @@ def test_building_columns_leaves_the_session_alone(spark):
         assert df.select(jsonx.clean_cad_json(F.col("s"))).first()[0] is not None
         assert spark.conf.get("spark.sql.mapKeyDedupPolicy", "EXCEPTION") == before
     spark.conf.unset("spark.sql.mapKeyDedupPolicy")
+
+
+def test_json_block_and_object_agree_with_python(spark):
+    import json
+    docs = ["{}", '{"a":1} ', "{},{}", "{}],[{}", '{},"_e":7}', '{},"_v":{}', '{"_v":[1]}', '{"_e":5}', '{"a":NaN}', '{"a":01}',
+            "{'a':1}", '{"a":1,}', '{"a":1}x', '{"a":1}]', "{},5", '{"a":"x\ny"}', "5", "[1]", "", "{", '{"a":"' + "y" * 5000 + '"}']
+
+    def ok(t):
+        try:
+            return isinstance(json.loads(t), dict)
+        except ValueError:
+            return False
+    cases = [(f"a<json>\n{x}\n \u3000</json><json>{{}}</json>", x.strip() if ok(x) else None) for x in docs]
+    cases += [("</json><json>{}</json>", "{}"), ("<json>{}", None), ("<json><json>{}</json>", None), (None, None), ("{}", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.b for r in df.select("i", jsonx.json_block(F.col("t")).alias("b")).collect()}
+    assert [got[i] for i in range(len(cases))] == [b for _, b in cases]
+    # nothing is located or cut character by character
+    plan = df.select(jsonx.json_block(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "locate(" not in plan

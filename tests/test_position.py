@@ -94,3 +94,11 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_ranged_rows_are_numbered_where_they_lie(spark):
+    """Rows that lie in key ranges already get the same positions without a second exchange."""
+    df = spark.range(1000).selectExpr("(id * 37) % 500 AS k")
+    df = df.repartitionByRange(5, "k").groupBy("k").count()
+    got = position.with_ord(df, "k", ranged=True).collect()
+    assert sorted((r.ord, r.k) for r in got) == [(i, i) for i in range(500)]
