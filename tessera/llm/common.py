@@ -15,6 +15,16 @@ from tessera.session import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a task takes, before a table is worth more tasks than twice the cores.
+ROWS_A_TASK = 100_000
+
+
+def fewer_tasks(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` of at most ``rows`` rows (None: unknown) in no more tasks than it is worth: a task and its file cost
+    more than a few rows.  From ``ROWS_A_TASK`` rows a partition on nothing changes."""
+    return df if rows is None else df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back: cuts the lineage and
     survives lost executors, whatever recomputes later reads the same rows."""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, worker_cache
+from tessera.llm.common import fewer_tasks, stored, worker_cache
 from tessera.llm.components import components
 from tessera.llm.shingles import mixed, shingle_set
 
@@ -98,15 +98,15 @@ def estimate(x: str, y: str, n: int) -> F.Column:
     return ((1 - unequal / n) - chance) / (1 - chance)
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``id, s``: the full sets of the wanted documents, written once."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, rows: int) -> DataFrame:
+    """``id, s``: the full sets of the wanted documents, written once.  ``rows``: of ``docs``."""
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
                 [shingle_set(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))],
                 names=["id", "s"])
 
-    return stored(docs.join(stored(wanted, "near-wanted"), "id").mapInArrow(sets, "id long, s array<bigint>"), "near-sets")
+    return stored(fewer_tasks(docs.join(stored(fewer_tasks(wanted, rows), "near-wanted"), "id").mapInArrow(sets, "id long, s array<bigint>"), rows), "near-sets")
 
 
 def _spread_join(pairs: DataFrame, rows: DataFrame, salts: int = 16) -> DataFrame:
@@ -117,22 +117,21 @@ def _spread_join(pairs: DataFrame, rows: DataFrame, salts: int = 16) -> DataFram
     return salted.join(copies, ["a", "salt"]).drop("salt")
 
 
-def _confirmed(pairs: DataFrame, planes: DataFrame, docs: DataFrame, k: int, percent: int, n: int) -> DataFrame:
-    """Of the candidate pairs ``a, b`` those whose full sets are similar enough."""
-    p = stored(pairs, "near-pairs")
+def _confirmed(p: DataFrame, planes: DataFrame, docs: DataFrame, k: int, percent: int, n: int, rows: int) -> DataFrame:
+    """Of the (stored) candidate pairs ``a, b`` those whose full sets are similar enough.  ``rows``: of ``docs``."""
+    most = p.count()
     j, chance = percent / 100, 2.0 ** -BITS
     equal = chance + (1 - chance) * j
     floor = j - 5 * (equal * (1 - equal) / n) ** 0.5 / (1 - chance)
     est = (_spread_join(p, planes.select(F.col("rep").alias("a"), F.col("planes").alias("x")))
            .join(planes.select(F.col("rep").alias("b"), F.col("planes").alias("y")), "b")
            .where(estimate("x", "y", n) >= floor).select("a", "b").distinct())
-    est = stored(est, "near-estimated")
-    full = _full_sets(docs, est.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
+    est = stored(fewer_tasks(est, most), "near-estimated")
+    full = _full_sets(docs, est.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k, rows)
     both = _spread_join(est.join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b"),
                         full.select(F.col("id").alias("a"), F.col("s").alias("x")))
     shared = F.size(F.array_intersect("x", "y"))
-    return stored(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(),
-                  "near-links")
+    return stored(fewer_tasks(both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(), most), "near-links")
 
 
 def _links_of_blocks(percent: int):
@@ -210,26 +209,28 @@ def _by_prefix(sets: DataFrame, percent: int, block: int) -> DataFrame:
     right = stored(counts, "near-counts").select(F.col("cluster").alias("cluster2"), _upto(blocks).alias("part2"), "slot", "c")
     found = stored(left.groupBy("cluster", "part").cogroup(right.groupBy("cluster2", "part2"))
                    .applyInArrow(_prefixes(percent), "cluster long, token long, rep long"), "near-prefixes")
-    first = stored(found.groupBy("cluster", "token").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z"), "near-shared")
+    n_found = found.count()
+    first = stored(fewer_tasks(found.groupBy("cluster", "token").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z"), n_found), "near-shared")
     links = found.join(first, ["cluster", "token"]).where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    return components(links).select(F.col("id").alias("rep"), F.col("component").alias("part_of"))
+    return components(links, rows=n_found).select(F.col("id").alias("rep"), F.col("component").alias("part_of"))
 
 
-def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int, minor_block: int = 256, block: int = 512) -> DataFrame:
-    """Links between different components of a cluster.  ``rows``: ``rep, component, cluster``.  A cluster of more than one
+def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int, n_docs: int, minor_block: int = 256,
+            block: int = 512) -> DataFrame:
+    """Links between different components of a cluster.  ``rows``: ``rep, component, cluster``; ``n_docs``: rows of ``docs``.  A cluster of more than one
     block is cut by ``_by_prefix`` first: one block is compared at once anyway."""
-    sized = stored(rows.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster"), "near-sized")
-    full = _full_sets(docs, rows.select(F.col("rep").alias("id")), k)
+    sized = stored(fewer_tasks(rows.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "cluster"), n_docs), "near-sized")
+    full = _full_sets(docs, rows.select(F.col("rep").alias("id")), k, n_docs)
     sets = full.where(F.size("s") > 0).select(F.col("id").alias("rep"), "s").distinct()
     large, rows = sized.where(F.col("n") > block), sized.select("rep", "component", "cluster")
     if not large.isEmpty():
         cut = _by_prefix(large.join(sets, "rep"), percent, block)
-        rows = stored(sized.where(F.col("n") <= block).select("rep", "component", "cluster").unionByName(
-            large.join(cut, "rep").select("rep", "component", F.col("part_of").alias("cluster"))), "near-parts")
+        rows = stored(fewer_tasks(sized.where(F.col("n") <= block).select("rep", "component", "cluster").unionByName(
+            large.join(cut, "rep").select("rep", "component", F.col("part_of").alias("cluster"))), n_docs), "near-parts")
     per = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = stored(per.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
-                                             F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most"), "near-clusters")
-    at = stored(rows.join(main, "cluster").join(sets, "rep"), "near-open-sets")
+    main = stored(fewer_tasks(per.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
+                                             F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most"), n_docs), "near-clusters")
+    at = stored(fewer_tasks(rows.join(main, "cluster").join(sets, "rep"), n_docs), "near-open-sets")
     blocks, minors = _parts(F.col("n"), block), _parts(F.col("n") - F.col("most"), minor_block)
     left = at.where("component <> main").select("cluster", _spread(minors).alias("mb"), _upto(blocks).alias("ob"), "rep", "component", "s")
     right = at.select(
@@ -247,31 +248,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     signed = stored(texts.mapInArrow(_signer(k, bands, rows),
                                      "id long, n long, d1 long, d2 long, planes array<bigint>, bands array<bigint>"),
                     "near-signatures")
-    classes = stored(signed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")),
-                     "near-classes")
-    member = stored(signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("id", "n", "rep"),
-                    "near-members")
-    reps = stored(signed.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"])
-                  .select(F.col("id").alias("rep"), "planes", "bands"), "near-representatives")
+    n_docs = signed.count()              # bounds the rows of what follows
+    classes = stored(fewer_tasks(signed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")), n_docs), "near-classes")
+    member = stored(fewer_tasks(signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").select("id", "n", "rep"), n_docs), "near-members")
+    reps = stored(fewer_tasks(signed.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"])
+                  .select(F.col("id").alias("rep"), "planes", "bands"), n_docs), "near-representatives")
     planes = reps.select("rep", "planes")
     in_bucket = reps.select("rep", F.explode("bands").alias("key"))
 
-    smallest = stored(in_bucket.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
-                      .where("a < z").select("key", "a"), "near-smallest")
-    stars = in_bucket.join(smallest, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = _confirmed(stars, planes, texts, k, percent, n)
-    label = components(links).select(F.col("id").alias("rep"), "component")
+    smallest = stored(fewer_tasks(in_bucket.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
+                      .where("a < z").select("key", "a"), bands * n_docs), "near-smallest")
+    stars = stored(fewer_tasks(in_bucket.join(smallest, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct(), bands * n_docs), "near-pairs")
+    links = _confirmed(stars, planes, texts, k, percent, n, n_docs)
+    label = components(links, rows=bands * n_docs).select(F.col("id").alias("rep"), "component")
 
     # buckets of several components, and the clusters they form
-    rest = stored(in_bucket.join(smallest, "key").join(label, "rep", "left")
-                  .select("key", "a", "rep", F.coalesce("component", "rep").alias("component")), "near-buckets")
-    open_keys = stored(rest.where("rep > a").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                       .where("lo < hi").select("key"), "near-open")
-    open_rows = stored(rest.join(open_keys, "key").select("a", "rep", "component").distinct(), "near-open-rows")
-    cluster = components(open_rows, "a", "rep").select(F.col("id").alias("rep"), "component").withColumnRenamed("component", "cluster")
-    more = stored(_across(open_rows.select("rep", "component").distinct().join(cluster, "rep"), texts, k, percent, -(-block // 2), block), "near-links")
+    rest = stored(fewer_tasks(in_bucket.join(smallest, "key").join(label, "rep", "left")
+                  .select("key", "a", "rep", F.coalesce("component", "rep").alias("component")), bands * n_docs), "near-buckets")
+    open_keys = stored(fewer_tasks(rest.where("rep > a").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                       .where("lo < hi").select("key"), bands * n_docs), "near-open")
+    open_rows = stored(fewer_tasks(rest.join(open_keys, "key").select("a", "rep", "component").distinct(), bands * n_docs), "near-open-rows")
+    cluster = components(open_rows, "a", "rep", bands * n_docs).select(F.col("id").alias("rep"), "component").withColumnRenamed("component", "cluster")
+    more = stored(_across(open_rows.select("rep", "component").distinct().join(cluster, "rep"), texts, k, percent,
+                          n_docs, -(-block // 2), block), "near-links")
     # texts of one id in several classes are one document
-    own = stored(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "near-own")
+    own = stored(fewer_tasks(member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), n_docs), "near-own")
     heads = signed.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     several = own.join(heads.select(F.col("id").alias("a")), "a", "left_semi")
     final = components(links.unionByName(more).unionByName(several)).select(F.col("id").alias("rep"), "component")

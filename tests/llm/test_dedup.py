@@ -210,3 +210,29 @@ def test_suffix_of_a_very_common_passage(spark, same, monkeypatch):
     assert same(got, *got.columns) == sorted(plain_suffix(rows, 100), key=repr)
     assert sum(name == "suf-runs" for name, _ in tables) > 2
     assert all(t.count() < 40 * len(rows) for _, t in tables)
+
+
+def test_components_write_few_files(spark, monkeypatch):
+    """A small link table is written by no more tasks than twice the cores, and only until its stars are flat."""
+    from tessera.llm import components as module
+    tables, write = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: tables.append(write(df, name)) or tables[-1])
+    most, before = 2 * spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(most + 40))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = [(1, x) for x in range(2, 60)] + [(x + 1000, x + 1001) for x in range(40)]
+        got = module.components(spark.createDataFrame(links, "a long, b long"), rows=len(links)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dict(got) == {x: 1 for x in range(1, 60)} | {x: 1000 for x in range(1000, 1041)} and len(got) == 100
+    assert max(len(t.inputFiles()) for t in tables) <= most
+
+
+def test_no_links_no_rounds(spark, monkeypatch):
+    from tessera.llm import components as module
+    names, write = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: names.append(name) or write(df, name))
+    assert module.components(spark.createDataFrame([(5, 5), (None, 1)], "a long, b long")).collect() == []
+    assert "least" not in names
