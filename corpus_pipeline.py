@@ -8,17 +8,28 @@ Every stage takes ``(spark, docs, sf_dir)``.  All but the last return the column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, near_dup, packing, substring, toxicity
-from tessera.llm.common import stored, table
+from tessera.llm.common import table
 from tessera.llm.queries import tokenizer_path, toxicity_model
 from tessera.session import scratch_dir, scratch_space
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def stored_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``make()``, written once and read back; the tables that it wrote on the way are dropped."""
+    path = scratch_dir(spark, name)
+    with scratch_space(spark):
+        out = make()
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5 stay, those without text among them; repeated rows
     share their fate.  An empty table gives an empty one."""
@@ -33,8 +44,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document (the smallest id) of each group of near duplicates stays: five-word shingles at
     similarity 0.8."""
     docs = docs.select(*COLUMNS)
-    kept = stored(near_dup.near_duplicates(docs, k=5, percent=80).where("kept").select(
-        F.col("doc_id").alias("kept_id")).distinct(), "pipeline-kept")
+    kept = stored_alone(spark, "pipeline-kept", lambda: near_dup.near_duplicates(docs, k=5, percent=80).where("kept").select(
+        F.col("doc_id").alias("kept_id")).distinct())
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
@@ -43,10 +54,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     left goes, all others stay (unchanged, if nothing in them repeats).  Cuts are joined by id and
     text, as ids may be null or repeat."""
     docs = docs.select(*COLUMNS, F.md5(F.col("text").cast("binary")).alias("md5"))
-    cut = substring.drop_repeated_windows(docs, span=50, keep_texts=True)
-    cut = stored(cut.where("n_removed > 0").select(
+    cut = stored_alone(spark, "pipeline-cut", lambda: substring.drop_repeated_windows(docs, span=50, keep_texts=True)
+                       .where("n_removed > 0").select(
         F.col("doc_id").alias("cut_id"), F.col("md5").alias("cut_md5"), "n_words", "n_removed", "kept")
-        .dropDuplicates(["cut_id", "cut_md5"]), "pipeline-cut")
+        .dropDuplicates(["cut_id", "cut_md5"]))
     out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("md5") == F.col("cut_md5")), "left")
     text = F.coalesce("kept", "text")
     return (out.where(F.col("n_removed").isNull() | (F.col("n_removed") < F.col("n_words")))
@@ -59,7 +70,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     last one; null text has no words and is never taken; repeated rows are taken on their own.  An
     empty table gives an empty one."""
     docs = docs.select(*COLUMNS)
-    return mixing.mixed_documents(docs, mixing.mix(docs)).select(*COLUMNS)
+    mixed = stored_alone(spark, "pipeline-mixed", lambda: mixing.mix(docs).where("copies > 0").select(
+        "copies", "key1", "key2", "placements"))
+    return mixing.mixed_documents(docs, mixed).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,9 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     on the way is dropped."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch_dir(spark, f"pipeline-{name}")
-        with scratch_space(spark):
-            out = stage(spark, docs, sf_dir)
-            out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = stored_alone(spark, f"pipeline-{name}", lambda: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

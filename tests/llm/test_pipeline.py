@@ -158,3 +158,14 @@ def test_stages_row_by_row(spark, corpus):
     assert set(mixed) <= set(rows)
     assert {r["doc_id"]: r["n"] for r in copies if r["n"]} == {i: sum(r[0] == i for r in mixed) for i in {r[0] for r in mixed}}
     assert run("packing", mixed) == order(packing.pack(frame(mixed), queries.tokenizer_path(), seq_len=2048).collect())
+
+
+def test_stages_leave_no_tables_of_their_operators(spark):
+    """Outside of ``run`` too, a stage keeps only the table that its result is read from."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_passages, corpus_pipeline.mix_sources):
+        assert stage(spark, docs, SF).count() > 0
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"pipeline-kept", "pipeline-cut", "pipeline-mixed"}
