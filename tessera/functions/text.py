@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,6 +107,63 @@ def tag_tokens(col, names) -> tuple[Column, Column]:
     return (F.regexp_extract_all(_c(col), F.lit(rx), 0), F.split(_c(col), rx, -1))
 
 
+def tag_stretches(col, names) -> Column:
+    """Every tag ``<name_i>`` / ``</name_i>`` of a text in order, each with the text up to the next one: one
+    pass that steps from ``<`` to ``<``.  Text before the first tag is left out, as it is in no block."""
+    tag = "/?(?:" + "|".join(re.escape(n) for n in names) + ")_[0-9]+>"
+    # a possessive group is repeated in a loop, without a stack frame for every "<" of a text; "[^<]*" alone is
+    # one loop if it is greedy, but a call for every character if it is possessive
+    return F.regexp_extract_all(_c(col), F.lit(f"<{tag}[^<]*(?:<(?!{tag})[^<]*)*+"), 0)
+
+
+def stretch_tokens(stretches) -> tuple[Column, Column]:
+    """``tag_tokens`` from the column of ``tag_stretches`` (the text before the first tag is empty here)."""
+    tag = lambda s: F.concat(F.substring_index(s, ">", 1), F.lit(">"))
+    text = lambda s: F.substring(s.cast("binary"), F.octet_length(tag(s)) + F.lit(1), F.octet_length(s)).cast("string")
+    return F.transform(_c(stretches), tag), F.concat(F.array(F.lit("")), F.transform(_c(stretches), text))
+
+
+def first_blocks(stretches: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, pa.Array]:
+    """The first ``<tag>…</tag>`` block of every tag in every row of ``tag_stretches``: its row, an index into
+    the names (``json_3``), the names, and its content, untouched.  A block goes from the first opening tag to
+    the first closing tag after it; other tags between them are kept."""
+    n = len(stretches)
+    ends = stretches.offsets.to_numpy() - stretches.offsets[0].as_py() if n else np.zeros(1, np.int32)
+    flat = stretches.flatten()
+    halves = pc.split_pattern(flat, ">", max_splits=1).flatten()          # "<tag", text
+    at = np.arange(len(flat))
+    tags = halves.take(pa.array(2 * at)).dictionary_encode()
+    texts = halves.take(pa.array(2 * at + 1))
+    spelled = tags.dictionary.to_pylist()
+    names: dict[str, int] = {}
+    code = np.array([names.setdefault(t.lstrip("</"), len(names)) for t in spelled], np.int64)
+    closing = np.array([t[1] == "/" for t in spelled], bool)
+    tag = tags.indices.to_numpy()
+    code, closing = code[tag], closing[tag]
+    row = np.repeat(np.arange(n), np.diff(ends))
+    if not len(at):
+        return np.zeros(0, int), np.zeros(0, int), pa.array([], pa.string()), pa.array([], pa.string())
+    key = row * len(names) + code
+    order = np.argsort(key, kind="stable")
+    code, closing, row, key = code[order], closing[order], row[order], key[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+    never = len(at)
+    first = np.minimum.reduceat(np.where(closing, never, order), starts)
+    since = np.repeat(first, np.diff(np.r_[starts, len(order)]))
+    last = np.minimum.reduceat(np.where(closing & (order > since), order, never), starts)
+    whole = last < never
+    first, last, starts = first[whole], last[whole], starts[whole]
+    content = texts.take(pa.array(first))
+    wide = np.flatnonzero(last > first + 1)                               # other tags inside: joined one by one
+    if len(wide):
+        joined = [texts[a].as_py() + "".join(flat.slice(a + 1, b - a - 1).to_pylist()) for a, b in zip(
+            first[wide].tolist(), last[wide].tolist())]
+        mask = np.zeros(len(first), bool)
+        mask[wide] = True
+        content = pc.replace_with_mask(content, pa.array(mask), pa.array(joined, content.type))
+    return row[starts], code[starts], pa.array(list(names), pa.string()), content
+
+
 def tag_from_tokens(tags, pieces, tag) -> Column:
     """First ``<tag>…</tag>`` content from ``tag_tokens`` output, or null.
 

@@ -3,12 +3,15 @@ accept/reject of single answers."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.jsonx import completion_part_count
-from tessera.functions.text import (first_tag_or_null, is_blank, not_blank, strip, strip_long,
-                                    tag_from_tokens, tag_tokens)
+from tessera.functions.text import (PY_WHITESPACE, first_blocks, first_tag_or_null, is_blank, not_blank, strip,
+                                    strip_long, stretch_tokens, tag_from_tokens, tag_stretches)
 
 TURN_FIELDS = (("input", "prompt"), ("think", "think"), ("json", "json"))
 
@@ -35,11 +38,13 @@ def unbatch(requests: DataFrame, responses: DataFrame, batch_size: int,
 
 
 def _sample_blocks(responses: DataFrame, batch_size: int, response_col: str) -> DataFrame:
-    """``batch_id, _blocks``: the samples of every response in order, tokenised once."""
-    tags, pieces = tag_tokens(F.col(response_col), ["sample"])
+    """``batch_id, _blocks``: the samples of every response in order, tokenised once.  No Python here: its
+    step would lose the buckets that ``unbatch_colocated`` joins by."""
+    tags, pieces = stretch_tokens("_s")
     blocks = F.transform(F.sequence(F.lit(1), F.lit(batch_size)), lambda i: strip_long(
         tag_from_tokens("_t", "_p", F.concat(F.lit("sample_"), i.cast("string")))))
-    return responses.select("batch_id", tags.alias("_t"), pieces.alias("_p")).select("batch_id", blocks.alias("_blocks"))
+    return (responses.select("batch_id", tag_stretches(F.col(response_col), ["sample"]).alias("_s"))
+            .select("batch_id", tags.alias("_t"), pieces.alias("_p")).select("batch_id", blocks.alias("_blocks")))
 
 
 def unbatch_colocated(requests: DataFrame, responses: DataFrame, batch_size: int,
@@ -57,26 +62,33 @@ def with_turns(df: DataFrame, max_parts: int | None = None, content_col: str = "
     """Add ``array<struct<turn, input, think, json>>`` of the turns that exist in the row's own tags,
     in order (X8, P16); an absent field of an existing turn is ``""``.
 
-    The content is tokenised once (two regex passes); a row's work depends on its own tags only.
+    The content is tokenised once (one regex pass); a row's work depends on its own tags only.
     Turns after ``max_parts`` are ignored, as the answers of parts the dataset does not have."""
-    tags, pieces = tag_tokens(F.col(content_col), [t for _, t in TURN_FIELDS])
-    step = df.withColumn("_tags", tags).withColumn("_pieces", pieces)
-    rx = r"<(?:" + "|".join(t for _, t in TURN_FIELDS) + r")_([1-9][0-9]*)>"
-    # the opening tags of all tokens in one pass: the numbers have no leading zeros, so texts are as distinct
-    opened = F.array_distinct(F.regexp_extract_all(F.array_join("_tags", ""), F.lit(rx), 1))
-    numbers = F.sort_array(F.filter(F.transform(opened, lambda n: n.try_cast("int")), lambda n: n.isNotNull()))
-    if max_parts is not None:
-        numbers = F.filter(numbers, lambda n: n <= F.lit(max_parts))
-    items = F.transform(numbers, lambda n: F.struct(n.alias("turn"), *[
-        strip_long(tag_from_tokens("_tags", "_pieces", F.concat(F.lit(f"{tag}_"), n.cast("string")))).alias(name)
-        for name, tag in TURN_FIELDS]))
-    found = F.filter(items, lambda t: F.coalesce(*[t[name] for name, _ in TURN_FIELDS]).isNotNull())
-    filled = F.transform(found, lambda t: F.struct(t["turn"].alias("turn"), *[
-        F.coalesce(t[name], F.lit("")).alias(name) for name, _ in TURN_FIELDS]))
-    # a row without content has no turns
-    return step.withColumn(out, F.coalesce(filled, F.filter(F.array(F.struct(
-        F.lit(0).alias("turn"), *[F.lit("").alias(name) for name, _ in TURN_FIELDS])), lambda t: t["turn"] > 0))
-        ).drop("_tags", "_pieces")
+    last = 2**31 - 1 if max_parts is None else max_parts
+    fields = {tag: i for i, (_, tag) in enumerate(TURN_FIELDS)}
+
+    @F.arrow_udf("array<struct<turn: int, " + ", ".join(f"{name}: string" for name, _ in TURN_FIELDS) + ">>")
+    def turns(contents: pa.Array) -> pa.Array:
+        row, name, names, content = first_blocks(contents)
+        place = [(-1, 0)] * len(names)
+        for i, (field, _, number) in enumerate(x.partition("_") for x in names.to_pylist()):
+            if number[0] != "0" and len(number) < 11 and int(number) <= last:      # an int has ten digits at most
+                place[i] = (int(number), fields[field])
+        number, field = np.array(place, np.int64).reshape(-1, 2)[name].T
+        kept = np.flatnonzero(number >= 0)
+        row, number, field = row[kept], number[kept], field[kept]
+        turn, at = np.unique(row << 31 | number, return_inverse=True)
+        columns = []
+        for i in range(len(fields)):
+            where = np.full(len(turn), -1)
+            where[at[field == i]] = kept[field == i]
+            found = content.take(pa.array(where, mask=where < 0))
+            columns.append(pc.fill_null(pc.utf8_trim(found, PY_WHITESPACE), ""))
+        ends = np.searchsorted(turn >> 31, np.arange(len(contents) + 1))
+        flat = pa.StructArray.from_arrays([pa.array(turn & (2**31 - 1), pa.int32()), *columns], ["turn", *[n for n, _ in TURN_FIELDS]])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+    return df.withColumn(out, turns(tag_stretches(F.col(content_col), [t for _, t in TURN_FIELDS])))
 
 
 def _complete(t) -> Column:
