@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.jsonx import OPERATIONS
+from tessera.functions.text import let
 from tessera.operators.position import input_partitions, with_batches, with_ord
 
 
@@ -108,8 +109,7 @@ def cad_items_ord(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_completion(items: DataFrame) -> DataFrame:
     """Add the document text ``completion`` and part count ``n`` to ``items``."""
     completion = F.concat(F.lit('<json>\n{"final_shape":"","parts":{'),
-                          F.array_join(F.transform("items", lambda x: x["s"]), ","),
-                          F.lit("}}\n</json>"))
+                          F.array_join(F.col("items.s"), ","), F.lit("}}\n</json>"))
     return items.withColumn("completion", completion).withColumn(
         "n", F.size("items").cast("bigint"))
 
@@ -145,10 +145,8 @@ def stand_in_model(batched_items: DataFrame) -> DataFrame:
     think, a blank prompt or no sample at all, and every ninth batch gets no
     response."""
     i, n = F.col("id"), F.size("items")
-    docs = F.transform("items", lambda x, j: F.concat(
-        F.lit('{"parts":{'),
-        F.array_join(F.transform(F.slice("items", 1, j + 1), lambda y: y["s"]), ","),
-        F.lit("}}")))
+    docs = let(F.col("items.s"), lambda parts: F.transform("items", lambda x, j: F.concat(
+        F.lit('{"parts":{'), F.array_join(F.slice(parts, 1, j + 1), ","), F.lit("}}"))))
     # zipped, not looked up: inside the lambda all of ``docs`` would be built anew for every turn
     turns = F.zip_with("items", docs, lambda x, doc: F.concat(
         F.lit("<json_"), x["k"].cast("string"), F.lit(">"), doc, F.lit("</json_"),
